@@ -279,6 +279,7 @@ def near_duplicates(
     named = linked.groupBy("component").agg(F.min("least").alias("root"))
     roots = linked.join(named, "component").select("fp", "root")
     labels = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
+    labels = materialize(labels, "labels")  # so that nothing but exchanges feed the last join, and AQE can split it
     return marked.join(labels, "fp").select(
         F.col("doc").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
