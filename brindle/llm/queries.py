@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import simhash
+from brindle.llm import audio, chat, html_extract, mixing, packing, quality, simhash, tokens, winnow
 from brindle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,72 @@ def _query(name: str, sql: str | None = None):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints that differ in two bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, score and decision of every document."""
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op3_mixing", mixing.MIX_SQL.format(docs="documents"))
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its draw says, shuffled; the texts go along but aren't returned."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), mixing.WEIGHTS, mixing.OTHER)
+    return mixed.select("doc_id", "source", "copy", "copies")
+
+
+@_query("op4_tokens")
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op6_html")
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query("op7_lines", winnow.DEDUP_SQL.format(docs="documents"))
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeated runs of lines."""
+    return winnow.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op8_chat")
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation reads like, decoded from the prefix tree; with one that holds control strings."""
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(*chat.prefix_tree(turns))
+
+
+@_query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place, and a checksum of its ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length"
+    )
+
+
+@_query("op10_audio")
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's audio stream, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    heard = audio.scan_media(audio.add_media(docs))
+    return heard.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.octet_length("audio.payload").cast("long").alias("payload_bytes"),
+        F.sha2("audio.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("audio.payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "audio.feature",
+        "audio.frames",
+        "audio.samples",
+        "audio.rate",
+    )
