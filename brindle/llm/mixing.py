@@ -131,7 +131,7 @@ with recursive weights as (
   from (select *, row_number() over () as row from docs) d join parts p on d.bucket is not distinct from p.bucket
   join tables t on t.bucket is not distinct from d.bucket, unnest(range(1, p.draws + 1)) as r(j)
 ), counts as (
-  select any_value(doc_id) as doc_id, any_value(source) as source, sum(len(list_filter(sums, c -> c < u)))::int as copies from draws group by row
+  select any_value(doc_id) as doc_id, any_value(source) as source, sum(len(list_filter(sums, lambda c: c < u)))::int as copies from draws group by row
 )
 select doc_id, source, copy::int as copy, copies from counts, unnest(range(copies)) as r(copy)
 """

@@ -105,7 +105,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, window: int, piec
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = enc.ids(text or "") + end
+            ids = enc.ids(text or "", control=True) + end
             n = len(ids) // 4
             whole = n - n % window
             for start in range(0, whole, window):
@@ -132,7 +132,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_length.
 
-    A document is its text's ids and end_id; null and empty texts have end_id alone. Every id
+    A document is its text's ids and end_id; the vocabulary's control string in a text is its
+    control id, as the vocabulary's own reader takes it; null and empty texts have end_id alone. Every id
     is in one piece; the pieces of a sequence follow each other without a gap and fill at
     most window. ids are little-endian unsigned 32-bit numbers. Repeated rows and repeated or
     null ids are documents of their own; an empty table gives no rows; other columns are not

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import audio, chat, html_extract, mixing, packing, quality, simhash, tokens, winnow
+from brindle.llm import ann, audio, chat, html_extract, mixing, packing, quality, simhash, tokens, winnow
 from brindle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query("op6_html")
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""

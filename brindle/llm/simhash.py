@@ -6,10 +6,15 @@ its value), and each such group is sorted by Gray rank and searched by a hierarc
 that hold the bit pattern all their members share. Groups that are too large are dealt out
 again by three blocks of their remaining bits; after four such steps at most 13 bits remain,
 so that no group can have over 8,192 members whatever the data are.
+
+Links at a set similarity need more bits than that and a larger radius, which blocks can't
+deal out. similar_groups() takes wide fingerprints and several tables of drawn bits, orders
+each table by key and Gray rank over all partitions, and searches it by the same hierarchy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,31 +36,51 @@ FAN = 8
 _ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of a text; no words give zero.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included.
 
-    A-Z are lower-cased; words are runs of characters other than space and \\t to \\r; a bit is
-    1 if it is set in over half of the XXH64 values (seed 42) of all shingles, repeats included.
+    A-Z are lower-cased; words are runs of characters other than space and \\t to \\r. Fewer
+    words than a shingle's are one shingle; no words give none.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    lengths = [len(w) + 1 for w in words]
+    ends = np.cumsum(lengths)
+    starts, ends = (ends - lengths).tolist(), (ends[k - 1 :] - 1).tolist()
     hashed = xxhash.xxh64_intdigest
-    values = np.fromiter(
-        (hashed(joined[s:e], 42) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)),
-        np.uint64,
-        len(words) - k + 1,
-    )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(values), 1 << 16):
-        part = values[at : at + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = ones * 2 > len(values)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.fromiter((hashed(joined[s:e], 42) for s, e in zip(starts, ends, strict=False)), np.uint64, len(ends))
+
+
+def _more_words(values: np.ndarray, words: int) -> np.ndarray:
+    """(hashes, words): each hash, and others mixed from it."""
+    out = np.empty((len(values), words), "<u8")
+    out[:, 0] = values
+    for i in range(1, words):
+        x = values + np.uint64(i * 0x9E3779B97F4A7C15 & _ALL)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out[:, i] = x ^ x >> np.uint64(31)
+    return out
+
+
+def fingerprint_words(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """The fingerprint of a text in 64-bit words; no words of text give zeros. A bit is 1 if it is set in over half of the hashes."""
+    values = shingle_hashes(text, shingle)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(values), 255 * 16):
+        part = _more_words(values[at : at + 255 * 16], words).view(np.uint8)
+        for low in range(0, len(part), 255):  # as many ones as a byte can count
+            bits = np.unpackbits(part[low : low + 255], axis=1, bitorder="little")
+            ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return int(fingerprint_words(text, shingle)[0])
 
 
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,19 +113,21 @@ def split_mask(mask: int, parts: int) -> list[int]:
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int16)
+    """Bits set in each row of words."""
+    return np.bitwise_count(x).sum(-1, dtype=np.int16)
 
 
 class GrayIndex:
-    """Nodes over codes that are sorted by group and Gray rank.
+    """Nodes over codes (rows of 64-bit words) that are sorted by group and Gray rank.
 
     Level 0 holds the codes. A node of a higher level stands for up to FAN neighbours of the
     same group; mask has the bits on which all codes below it agree, and pattern their values.
     """
 
     def __init__(self, codes: np.ndarray, groups: np.ndarray):
+        codes = codes.reshape(len(codes), -1)
         self.codes = codes
-        self.masks, self.patterns = [np.full(len(codes), _ALL, np.uint64)], [codes]
+        self.masks, self.patterns = [np.full(codes.shape, _ALL, np.uint64)], [codes]
         self.first: list[np.ndarray] = []
         all_one, any_one = codes, codes
         while True:
@@ -109,7 +136,7 @@ class GrayIndex:
                 break
             place = np.arange(len(groups)) - np.repeat(change, np.diff(np.r_[change, len(groups)]))
             starts = np.flatnonzero(place % FAN == 0)
-            all_one, any_one = np.bitwise_and.reduceat(all_one, starts), np.bitwise_or.reduceat(any_one, starts)
+            all_one, any_one = np.bitwise_and.reduceat(all_one, starts, 0), np.bitwise_or.reduceat(any_one, starts, 0)
             groups = groups[starts]
             self.first.append(np.r_[starts, len(place)])
             self.masks.append(all_one | ~any_one)
@@ -147,7 +174,8 @@ class GrayIndex:
         labels = _joined(labels, near, near + 1)
         uniform = self._uniform(labels)
         i = np.flatnonzero(np.diff(self.first[-1]) > 0)
-        stack = [(top, i, i, np.zeros(len(i), np.int16), np.zeros(len(i), np.uint64))]
+        stack = [(top, i, i, np.zeros(len(i), np.int16), np.zeros((len(i), self.codes.shape[1]), np.uint64))]
+        most = max(256, 4096 // self.codes.shape[1])
         while stack:
             level, i, j, acc, seen = stack.pop()
             same = (uniform[level][i] == uniform[level][j]) & (uniform[level][i] >= 0)
@@ -160,9 +188,9 @@ class GrayIndex:
                     labels = merged
                     uniform = self._uniform(labels)
                 continue
-            if len(i) > 4096:
-                for at in range(0, len(i), 4096):
-                    cut = slice(at, at + 4096)
+            if len(i) > most:
+                for at in range(0, len(i), most):
+                    cut = slice(at, at + most)
                     stack.append((level, i[cut], j[cut], acc[cut], seen[cut]))
                 continue
             first = self.first[level - 1]
@@ -285,3 +313,134 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+#: Words of a wide fingerprint, and how surely the tables find a pair of just the set similarity.
+WIDE, RECALL = 8, 0.97
+#: Distinct fingerprints that should share a key of a table by chance.
+CROWD = 64
+#: Rows that a task searches at once, and how many of them it takes over into the next search.
+CHUNK, SEAM = 16384, 256
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which fingerprints of two texts of that Jaccard similarity and of equal length differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float, words: int = WIDE) -> int:
+    """Differing bits up to which texts count as that similar: the mean at that similarity and 1.25 deviations."""
+    p, n = differing_share(similarity), 64 * words
+    return int(n * p + 1.25 * math.sqrt(n * p * (1 - p)))
+
+
+def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = RECALL) -> list[list[int]]:
+    """The bits of each table's key: more bits the more rows there are, and as many tables as recall then takes."""
+    bits = max(8, math.ceil(math.log2(max(n, 1) / CROWD)))
+    found = (1 - differing_share(similarity)) ** bits
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - found))
+    rng = np.random.default_rng(11)
+    return [rng.choice(64 * words, bits, replace=False).tolist() for _ in range(tables)]
+
+
+def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """As _search, in pieces of CHUNK rows at most that overlap by SEAM rows where they cut a group."""
+    held = pd.DataFrame()
+
+    def links(x: pd.DataFrame) -> pd.DataFrame:
+        key = x["key"].to_numpy()
+        codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
+        roots = GrayIndex(codes, np.cumsum(np.r_[True, key[1:] != key[:-1]])).roots(radius)
+        linked = np.flatnonzero(roots != np.arange(len(roots)))
+        nodes = x["node"].to_numpy()
+        return pd.DataFrame({"a": nodes[linked], "b": nodes[roots[linked]]})
+
+    for x in batches:
+        held = pd.concat([held, x], ignore_index=True)
+        while len(held) >= CHUNK:
+            yield links(held.iloc[:CHUNK])
+            last = held["key"].iloc[CHUNK - 1]
+            same = int((held["key"].iloc[:CHUNK] == last).sum())
+            held = held.iloc[CHUNK - (same if same <= CHUNK // 2 else SEAM) :].reset_index(drop=True)
+    if len(held):
+        yield links(held)
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    words: int = WIDE,
+    recall: float = RECALL,
+) -> DataFrame:
+    """(doc, copy, node, group): each row's id, its text's hash, its fingerprint's hash and its group's.
+
+    Texts are grouped over links of wide fingerprints that differ in wide_radius(similarity)
+    bits or fewer; equal word sequences always are. A pair of just that similarity shares a
+    table's key with probability `recall`, more similar ones more surely. A table is ordered
+    by key and Gray rank over all partitions, so a group of any size is spread over tasks, and
+    neighbours meet in some table or other. Texts without words are one group of their own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            fps = [fingerprint_words(t, shingle, words).tobytes() for t in x["body"]]
+            yield pd.DataFrame({"doc": x["doc"].astype("Int64"), "copy": x["copy"], "fp": fps})
+
+    body = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(body).alias("copy"), body.alias("body"))
+    marked = rows.mapInPandas(run, "doc long, copy long, fp binary").withColumn("node", F.xxhash64("fp"))
+    marked = materialize(marked, "wide")
+    distinct = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp")), "distinct")
+    tables = table_bits(distinct.count(), similarity, words, recall)
+    rank_word = [t[0] // 64 for t in tables]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
+            bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+            for place, (table, word) in enumerate(zip(tables, rank_word, strict=True)):
+                key = bits[:, table].astype(np.int64) @ (1 << np.arange(len(table), dtype=np.int64))
+                rank = codes[:, word].copy()
+                for by in (1, 2, 4, 8, 16, 32):
+                    rank ^= rank >> np.uint64(by)
+                yield pd.DataFrame(
+                    {"key": key << np.int64(16) | place, "rank": (rank ^ np.uint64(1 << 63)).view(np.int64), "node": x["node"], "fp": x["fp"]}
+                )
+
+    dealt = distinct.mapInPandas(keys, "key long, rank long, node long, fp binary")
+    radius = wide_radius(similarity, words)
+    links = (
+        dealt.repartitionByRange("key", "rank")
+        .sortWithinPartitions("key", "rank")
+        .mapInPandas(lambda it: _search_wide(it, radius), "a long, b long")
+        .distinct()
+    )
+    parts = connected_components(links)
+    groups = parts.select("node", F.col("component").alias("group"))
+    labels = distinct.select("node").join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    return marked.select("doc", "copy", "node").join(materialize(labels, "labels"), "node")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """docs with the row of the smallest id of each group of similar texts, and all of its columns.
+
+    Of equal ids that with the smallest hash of its text stays, of equal rows one; null ids
+    come last. Texts without words (null, empty) are no copies of each other and stay. An
+    empty table gives none. Helper columns have names that docs doesn't use.
+    """
+    groups = materialize(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "copy")).alias("first"))
+    names = {c.lower() for c in docs.columns}
+    tag = next(t for t in (f"_k{i}_" for i in range(len(names) + 1)) if not any(c.startswith(t) for c in names))
+    none = F.lit(-(1 << 63))
+    kept = first.select(F.coalesce("first.doc", none).alias(tag + "doc"), F.col("first.copy").alias(tag + "copy")).distinct()
+    body = F.col(text_col).cast("string")
+    rows = docs.withColumns({tag + "doc": F.coalesce(F.col(id_col).cast("long"), none), tag + "copy": F.xxhash64(body)})
+    said = F.coalesce(body, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = rows.where(said).join(kept, [tag + "doc", tag + "copy"], "left_semi").dropDuplicates([tag + "doc", tag + "copy"])
+    return chosen.select(*docs.columns).unionByName(rows.where(~said).select(*docs.columns))

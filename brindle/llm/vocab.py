@@ -1,7 +1,7 @@
 """Byte-level BPE by a public vocabulary, with a memory of words.
 
 BPE never merges across the pieces that its pattern cuts, and that pattern always cuts before
-a space that stands between two other characters. A text without two spaces in a row is thus
+a space that doesn't stand between other white space. A text without such spaces is thus
 encoded word by word, and each word (with the space before it) is looked up before it is
 encoded. Texts with runs of spaces are encoded whole.
 """
@@ -9,6 +9,7 @@ encoded. Texts with runs of spaces are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -19,6 +20,21 @@ import numpy as np
 WORDS, LONGEST = 200_000, 64
 
 
+#: The vocabulary's control string and its id.
+CONTROL, CONTROL_ID = "<|endoftext|>", 50256
+
+_AMONG_SPACE = re.compile(r"\s (?:\s|\Z)")
+
+
+def by_words(text: str) -> bool:
+    """Whether the pattern cuts before every space of a text."""
+    if "  " in text:
+        return False
+    if text.isascii() and not any(c + " " in text for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f"):
+        return True
+    return _AMONG_SPACE.search(text) is None
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -57,9 +73,11 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if "  " in text:
+    def ids(self, text: str, control: bool = False) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers; CONTROL is one id if control, ordinary text if not."""
+        if control and CONTROL in text:
+            return np.array(CONTROL_ID, "<u4").tobytes().join(map(self.ids, text.split(CONTROL)))
+        if not by_words(text):
             return self._encode(text)
         first, *rest = text.split(" ")
         return self._encode(first) + b"".join(map(self._ids.__getitem__, rest))
@@ -90,7 +108,7 @@ class Encoder:
 
     def spans(self, text: str) -> np.ndarray:
         """(tokens, 2): first character of each token, and the one after its last."""
-        if "  " in text:
+        if not by_words(text):
             return np.frombuffer(self._encode_spans(text)[0], "<i8").reshape(-1, 2)
         first, *rest = text.split(" ")
         parts = [self._encode_spans(first), *map(self._spans.__getitem__, rest)]
