@@ -316,7 +316,7 @@ def near_duplicates(
 
 
 #: Words of a wide fingerprint, and how surely the tables find a pair of just the set similarity.
-WIDE, RECALL = 8, 0.97
+WIDE, RECALL = 16, 0.97
 #: Distinct fingerprints that should share a key of a table by chance.
 CROWD = 64
 #: Rows that a task searches at once, and how many of them it takes over into the next search.
@@ -329,9 +329,9 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_radius(similarity: float, words: int = WIDE) -> int:
-    """Differing bits up to which texts count as that similar: the mean at that similarity and 1.25 deviations."""
+    """Differing bits up to which texts count as that similar: the mean at that similarity and a deviation."""
     p, n = differing_share(similarity), 64 * words
-    return int(n * p + 1.25 * math.sqrt(n * p * (1 - p)))
+    return int(n * p + math.sqrt(n * p * (1 - p)))
 
 
 def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = RECALL) -> list[list[int]]:
