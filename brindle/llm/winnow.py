@@ -126,6 +126,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
 
     places = made.select("doc", "copy", F.inline(F.arrays_zip("picks", "pick_hashes")).alias("place", "hash"))
     twice = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    twice = materialize(twice, "twice")  # so that nothing but exchanges feed the join, and AQE can split a common line
     marked = places.join(twice, "hash").groupBy("doc", "copy").agg(F.collect_set("place").alias("marked"))
     runs = (
         made.select(F.col("doc").alias("d"), F.col("copy").alias("c"), "hashes", "words")
