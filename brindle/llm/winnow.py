@@ -143,6 +143,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
         .where("n > 1")
         .drop("n")
     )
+    origin = materialize(origin, "origins")  # as above, for a common passage
     same = F.col("doc").eqNullSafe(F.col("origin.doc")) & (F.col("copy") == F.col("origin.copy"))
     later = (
         runs.join(origin, ["c1", "c2"])
