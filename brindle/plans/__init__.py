@@ -1 +1,3 @@
+"""Named queries over the tables of a data folder; importing this registers them."""
 
+from brindle.plans import listings, scoring  # noqa: F401
