@@ -121,8 +121,8 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest found of each row of vectors for which is_query holds.
 
     Nearness is the inner product of the original vectors in double precision, ties go to the
-    smaller id, and a query isn't its own neighbour. is_query is a condition on the column vec_id. Vectors that are null, zero or empty,
-    or have null or non-finite components, and rows without an id take no part; nor do vectors
+    smaller id, and a query isn't its own neighbour. is_query is a condition on the column
+    vec_id. Vectors that are null, zero or empty, or have null or non-finite components, and rows without an id take no part; nor do vectors
     whose length isn't the commonest (the smallest of equally common ones). Ids are taken as
     unique; rows that repeat an id and vector count once. Other columns aren't looked at; no
     valid rows give none. A query with fewer than k candidates in all gets them all.

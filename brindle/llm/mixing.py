@@ -105,12 +105,12 @@ def mix(
 WEIGHTS = {f"src{k}": 1.0 for k in range(20)}
 OTHER = 1.0
 
-#: DuckDB SQL for the rows (doc_id, source, copy, copies) of mix() with the production weights.
+#: DuckDB SQL for the rows of mix() with the production weights.
 MIX_SQL = f"""
 with recursive weights as (
   select 'src' || k as bucket, 1.0::double as weight from range(20) t(k) union all select null, {OTHER}::double
 ), docs as (
-  select doc_id, source, case when source in (select bucket from weights where bucket is not null) then source end as bucket from {{docs}}
+  select *, row_number() over () as row, case when source in (select bucket from weights where bucket is not null) then source end as bucket from {{docs}}
 ), sizes as (
   select d.bucket, count(*)::double as n, any_value(w.weight) as weight
   from docs d join weights w on d.bucket is not distinct from w.bucket group by d.bucket
@@ -125,13 +125,13 @@ with recursive weights as (
 ), tables as (
   select bucket, list(below order by k) as sums from steps group by bucket
 ), draws as (
-  select d.doc_id, d.source, p.mean, t.sums,
+  select t.sums,
     (('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, 'null') || ':' || j), 1, 13))::bigint::double + 0.5) / {float(1 << 52)} as u,
-    p.draws, d.row
-  from (select *, row_number() over () as row from docs) d join parts p on d.bucket is not distinct from p.bucket
+    d.row
+  from docs d join parts p on d.bucket is not distinct from p.bucket
   join tables t on t.bucket is not distinct from d.bucket, unnest(range(1, p.draws + 1)) as r(j)
 ), counts as (
-  select any_value(doc_id) as doc_id, any_value(source) as source, sum(len(list_filter(sums, lambda c: c < u)))::int as copies from draws group by row
+  select row, sum(len(list_filter(sums, lambda c: c < u)))::int as copies from draws group by row
 )
-select doc_id, source, copy::int as copy, copies from counts, unnest(range(copies)) as r(copy)
+select d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::int as copy, copies from counts join docs d using (row), unnest(range(copies)) as r(copy)
 """

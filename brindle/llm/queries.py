@@ -38,9 +38,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_mixing", mixing.MIX_SQL.format(docs="documents"))
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as often as its draw says, shuffled; the texts go along but aren't returned."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), mixing.WEIGHTS, mixing.OTHER)
-    return mixed.select("doc_id", "source", "copy", "copies")
+    """Every document, whole, as often as its draw says, shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mix(docs, mixing.WEIGHTS, mixing.OTHER).drop("mean", "shuffle_key")
 
 
 @_query("op4_tokens")
