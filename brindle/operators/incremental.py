@@ -24,11 +24,12 @@ def trailing_failures(events: DataFrame, user: str, ts: str, failed: Column, sec
     return events.withColumn("prior_failures", F.coalesce(F.sum(failed.cast("long")).over(span), F.lit(0)))
 
 
-def claim(queue: DataFrame, order: Sequence[str], now: Column, lease_seconds: int, most_attempts: int, limit: int) -> DataFrame:
-    """The oldest rows that are due: not done, not under a live lease, and with attempts left."""
+def claim(queue: DataFrame, order: Sequence[str], now: Column, lease_seconds: int, most_attempts: int, limit: int | None = None) -> DataFrame:
+    """Rows that are due (not done, not under a live lease, and with attempts left), oldest first; all of them, or a worker's batch."""
     free = F.col("claimed_at").isNull() | (F.col("claimed_at") < now - F.make_dt_interval(secs=F.lit(lease_seconds)))
     due = F.col("processed_at").isNull() & free & (F.col("attempts") < most_attempts) & (F.col("run_after") <= now)
-    return queue.where(due).orderBy(*order).limit(limit)
+    found = queue.where(due).orderBy(*order)
+    return found if limit is None else found.limit(limit)
 
 
 def after_attempt(attempts: Column, failed: Column, now: Column) -> Column:
