@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import numbers as N
 from brindle.functions import text as T
+from brindle.functions.pay import pay
 from brindle.operators import incremental, matching
 from brindle.operators.relational import best_per_key
 from brindle.plans.registry import query
@@ -281,3 +282,25 @@ def token_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Share of a query's words in each text."""
     asked = F.array(*map(F.lit, ("the", "and", "water", "city")))
     return table(spark, d, "benchmark").select("item_id", F.round(T.relevance(T.tokens(F.col("text")), asked), 6).alias("relevance"))
+
+
+@query(
+    "pay_extraction",
+    """
+with t as (select o_orderkey, o_orderkey % 5 as k, cast(floor(o_totalprice) as bigint) as n from orders)
+select o_orderkey, case when k = 0 then 'HOUR' when k = 1 then 'YEAR' when k = 2 then case when n >= 20000 then 'YEAR' when n >= 1500 then 'MONTH' when n >= 200 then 'WEEK' else 'HOUR' end end as unit_text,
+  case when k < 3 then n * 100 + case when k = 0 then 50 else 0 end end as min_value, case when k = 1 then (n + 1000) * 100 end as max_value,
+  (case when k = 3 then 'USD' when k < 3 then 'CAD' end) as currency, (case when k < 2 then 0.9 when k = 2 then 0.5 else 0 end)::double as confidence from t""",
+)
+def pay_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Pay read back from texts in several forms."""
+    k, n = F.col("o_orderkey") % 5, F.floor("o_totalprice").cast("long")
+    text = (
+        F.when(k == 0, F.concat(n.cast("string"), F.lit(",5$/heure")))
+        .when(k == 1, F.concat(F.lit("$"), F.format_number(n, 0), F.lit(" to $"), F.format_number(n + 1000, 0), F.lit(" per year")))
+        .when(k == 2, n.cast("string"))
+        .when(k == 3, F.concat(F.lit("US$ "), n.cast("string")))
+        .otherwise("Competitive ")
+    )
+    found = table(spark, d, "orders").select("o_orderkey", pay(text).alias("p"))
+    return found.select("o_orderkey", "p.unit_text", "p.min_value", "p.max_value", "p.currency", "p.confidence")

@@ -74,3 +74,16 @@ def test_limits(spark):
     events = spark.createDataFrame(rows, "id long, u long, ts string, bad boolean").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.id: r.prior_failures for r in incremental.trailing_failures(events, "u", "ts", F.col("bad")).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("25$/heure", ("HOUR", 2500, None, None, "CAD", 0.9)), ("60 000$ a 75 000$ par annee", ("YEAR", 6000000, 7500000, None, "CAD", 0.9)),
+     ("28$ de l'heure, 35 heures/semaine", ("HOUR", 2800, 3500, 35, "CAD", 0.9)), ("some wage text with no numbers", (None, None, None, None, "CAD", 0.0)),
+     ("$56,987.50", ("YEAR", 5698750, None, None, "CAD", 0.5)), ("26,78", ("HOUR", 2678, None, None, "CAD", 0.5)), ("40 EUR", (None, None, None, None, "EUR", 0.0)),
+     (" N/A", (None, None, None, None, None, 0.0)), ("9" * 40, (None, None, None, None, "CAD", 0.0))],
+)
+def test_pay(spark, text, want):
+    from brindle.functions.pay import pay
+
+    assert tuple(one(spark, pay(F.col("t")), t=text)) == want
