@@ -90,17 +90,18 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def marker_count(words: Column, markers: Sequence[str]) -> Column:
-    """Words that are among the markers."""
-    return F.size(F.filter(words, lambda w: w.isin(list(markers))))
+def marker_count(x: Column, markers: Sequence[str]) -> Column:
+    """Words of a lower-case text that are among the markers."""
+    return F.regexp_count(x, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(markers)})(?!\p{{L}})"))
 
 
-def language(x: Column, least_chars: int = 40, sure: float = 0.62) -> Column:
-    """en, fr or bilingual by the markers' shares; null for short texts and those without markers."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}]+", " "), " "), lambda w: w != "")
-    en, fr = marker_count(words, ENGLISH), marker_count(words, FRENCH)
+def language_of(chars: Column, en: Column, fr: Column, least_chars: int = 40, sure: float = 0.62) -> Column:
+    """en, fr or bilingual by the markers' counts; null for short texts and those without markers.
+
+    Counts should be columns of their own, so that each text is read once for each language.
+    """
     share = F.try_divide(fr, en + fr)
-    return F.when((F.length(x) < least_chars) | share.isNull(), F.lit(None).cast("string")).otherwise(
+    return F.when((chars < least_chars) | share.isNull(), F.lit(None).cast("string")).otherwise(
         F.when(share >= sure, "fr").when(share <= 1 - sure, "en").otherwise("bilingual")
     )
 

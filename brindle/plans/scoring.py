@@ -192,7 +192,11 @@ select doc_id, case when n < 40 or en + fr = 0 then null when fr / (en + fr) >=
 )
 def language_markers(spark: SparkSession, d: str) -> DataFrame:
     """Languages of whole texts by their frequent words."""
-    return table(spark, d, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+    low = F.lower("text")
+    counted = table(spark, d, "documents").select(
+        "doc_id", F.length("text").alias("n"), T.marker_count(low, T.ENGLISH).alias("en"), T.marker_count(low, T.FRENCH).alias("fr")
+    )
+    return counted.select("doc_id", T.language_of(F.col("n"), F.col("en"), F.col("fr")).alias("language"))
 
 
 @query(

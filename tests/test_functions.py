@@ -36,7 +36,9 @@ def test_scalars(spark):
     assert round(one(spark, T.trigram_similarity(F.lit("word"), F.lit("two words"))), 4) == 0.3636
     assert one(spark, T.tokens(F.lit("C++ and C#, Été"))) == ["cplusplus", "and", "csharp", "ete"]
     assert one(spark, T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0
-    assert one(spark, T.language(F.lit("short"))) is None
+    assert one(spark, T.language_of(F.lit(5), F.lit(3), F.lit(0))) is None
+    assert one(spark, T.language_of(F.lit(50), F.lit(1), F.lit(1))) == "bilingual"
+    assert one(spark, T.marker_count(F.lit("the theme, and the end"), T.ENGLISH)) == 3
     assert one(spark, T.first_mapped(F.lit("Temps plein"), [("plein", "full"), ("temps", "other")])) == "full"
     assert one(spark, N.ago_days(F.lit("Posted 3 weeks ago"))) == 21
     assert one(spark, N.ago_days(F.lit("99999 days ago"))) is None
