@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import rules as R
 from brindle.functions import text as T
 from brindle.operators import curation, relational
 from brindle.plans.registry import query
@@ -344,3 +345,39 @@ def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     merged = table(spark, d, "customer").where("c_custkey % 10 = 3").select("c_custkey", (F.col("c_custkey") - 3).alias("survivor"))
     moved = curation.absorb(table(spark, d, "orders").select("o_custkey"), merged, "o_custkey", "c_custkey")
     return moved.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tri_state_rules",
+    """
+select d.doc_id, case when l.quality is null then null when l.quality = 1 then length(d.text) > 300 else false end as eligible,
+  case when l.quality = 0 then 'EXCLUDED' else 'GOV_' || (d.doc_id % 5 + 1) end as category,
+  case when d.doc_id % 4 >= 3 then null when d.doc_id % 4 > 0 then 'partial_fill' else 'no_new_fields' end as reason
+from documents d left join labels l using (doc_id)""",
+)
+def tri_state_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Eligibility that waits for its parent's, categories of subtypes, and reasons to skip."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("of"), "quality")
+    rows = relational.star(table(spark, d, "documents"), [(labels, "doc_id", "of")])
+    subtype = F.when(F.col("quality") == 0, "EXCLUDED").otherwise(F.concat_ws("_", F.lit("SUB"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("a")))
+    return rows.select(
+        "doc_id",
+        R.eligible(F.length("text") > 300, F.col("quality") == 1).alias("eligible"),
+        R.category_of(subtype).alias("category"),
+        R.skip_reason(F.lit(3), F.col("doc_id") % 4).alias("reason"),
+    )
+
+
+# What a text says of the kind of work, in the order in which it is looked for.
+KINDS = [("urgent", "full_time"), ("high", "full_time"), ("medium", "part_time"), ("low", "casual")]
+
+
+@query(
+    "employment_types",
+    """
+select case when contains(lower(o_orderpriority), 'urgent') or contains(lower(o_orderpriority), 'high') then 'full_time'
+  when contains(lower(o_orderpriority), 'medium') then 'part_time' when contains(lower(o_orderpriority), 'low') then 'casual' end as kind, count(*) as n from orders group by 1""",
+)
+def employment_types(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of each kind of work, by the first word that says one."""
+    return table(spark, d, "orders").groupBy(T.first_mapped(F.col("o_orderpriority"), KINDS).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
