@@ -76,14 +76,19 @@ def relevance(label: Column, query: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, label)), F.size(asked)), F.lit(0.0))
 
 
-def trigrams(x: Column) -> Column:
-    """Distinct three-letter pieces of each folded word, two blanks before it and one after."""
+def trigram_list(x: Column) -> Column:
+    """Three-letter pieces of each folded word in order, two blanks before it and one after."""
     words = F.filter(F.split(F.regexp_replace(fold(x), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     pieces = F.transform(
         words,
         lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
     )
-    return F.array_distinct(F.flatten(pieces))
+    return F.flatten(pieces)
+
+
+def trigrams(x: Column) -> Column:
+    """The distinct ones of trigram_list."""
+    return F.array_distinct(trigram_list(x))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

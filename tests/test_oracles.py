@@ -22,7 +22,7 @@ def rows(df, names):
     return sorted(map(tuple, df.where(df.notna(), None).values.tolist()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, sf, con, name):
     got, want = registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
