@@ -63,7 +63,7 @@ def _prepared(df: DataFrame) -> DataFrame:
     fluff = F.array(*map(F.lit, FLUFF))
     body = F.trim(F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), r"\s+", " "))
     plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce("body", F.lit("")), "<[^>]+>", " ")), r"\s+", " "))
-    hours = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"(?U)\b(\d{1,2}\s*(?:hours?|h(?:eures?)?))\b"), F.lit(1))
+    hours = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"(?<![\p{L}\d_])(\d{1,2}\s*(?:hours?|h(?:eures?)?))(?![\p{L}\d_])"), F.lit(1))
     head = F.substring(body, 1, BODY)
     rows = df.select(
         "id", "org", normal_url(F.col("url")).alias("url"), role_tokens(F.col("title")).alias("words"), posted_day(F.col("posted")).alias("day"),
@@ -94,6 +94,11 @@ def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "ab")
 
 
+def _spread(pairs: DataFrame, *columns: str) -> DataFrame:
+    """pairs over all shuffle partitions: ratios cost far more than their bytes tell, so small parts must not be merged."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
+
+
 def _titled(pairs: DataFrame) -> DataFrame:
     """pairs with alike (shared part of the words) and order (ratio of the sorted words, where alike doesn't settle it)."""
     pairs = pairs.withColumn("alike", jaccard(F.col("a_words"), F.col("b_words")))
@@ -120,7 +125,7 @@ def clusters(df: DataFrame) -> DataFrame:
     a, b = _sides(bodies)
     open_ = pairs.where("need > 0").join(a, "a_cls").join(b, "b_cls")
     shorter, both = F.least(F.length("a_head"), F.length("b_head")), F.length("a_head") + F.length("b_head")
-    close = open_.where(2 * shorter / both >= F.col("need")).withColumn("ratio", sequence_ratio("a_head", "b_head")).where("ratio >= need")
+    close = _spread(open_.where(2 * shorter / both >= F.col("need")), "a_head", "b_head").withColumn("ratio", sequence_ratio("a_head", "b_head")).where("ratio >= need")
     edges = (
         rows.join(classes.select("cls", "rep"), "cls").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         .unionByName(pairs.where("need = 0").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
@@ -155,7 +160,7 @@ def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False
     hosts = board(F.col("a_url")), board(F.col("b_url"))
     known_hosts = hosts[0].isin(BOARDS) & hosts[1].isin(BOARDS) & (hosts[0] != hosts[1])
     cross = F.coalesce(F.when(F.col("a_source").isNotNull() & F.col("b_source").isNotNull(), (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts[0] != hosts[1]), F.lit(False))
-    pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
+    pairs = _spread(pairs, "a_id", "b_id").withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
     ratio = sequence_ratio(F.when(F.col("need").isNotNull(), F.col("a_head")), F.col("b_head"))
     hits = pairs.withColumn("ratio", ratio).where("sure or ratio >= need")
     return hits.groupBy(F.col("a_id").alias("id")).agg(F.min("b_id").alias("duplicate_of"))

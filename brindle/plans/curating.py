@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import names as N
-from brindle.operators import postings, search
+from brindle.operators import loading, postings, search
 from brindle.plans.registry import query
+from brindle.sources import feeds
 from brindle.sources.tables import table
 
 
@@ -76,7 +77,7 @@ def word_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "label_search",
     f"""
-with g as (select p_partkey, string_split(lower(p_name), ' ') || string_split(lower(p_type), ' ') as w, {_GRAMS.format(w="'steel'")} as q,
+with g as (select p_partkey, string_split(lower(p_name), ' ') || string_split(lower(p_type), ' ') as w, {_GRAMS.format(w="'blue'")} as q,
   list_distinct(flatten(list_transform(string_split(lower(p_name), ' '), lambda x: {_GRAMS.format(w="x")}))) as a, list_distinct(flatten(list_transform(string_split(lower(p_type), ' '), lambda x: {_GRAMS.format(w="x")}))) as b from part),
 s as (select p_partkey, len(list_intersect(a, q)) / len(list_distinct(list_concat(a, q))) as s, len(list_intersect(b, q)) / len(list_distinct(list_concat(b, q))) as t from g)
 select p_partkey, round(greatest(s, t), 6) as score from s where greatest(s, t) >= 0.3 order by greatest(s, t) desc, p_partkey limit 20""",
@@ -84,7 +85,7 @@ select p_partkey, round(greatest(s, t), 6) as score from s where greatest(s, t)
 def label_search(spark: SparkSession, d: str) -> DataFrame:
     """The 20 labels that resemble a word most, by their names or aliases."""
     rows = table(spark, d, "part").withColumn("aliases", F.array("p_type"))
-    return search.label_search(rows, "p_partkey", F.col("p_name"), F.col("aliases"), "Steel ", 20).select("p_partkey", F.round("score", 6).alias("score"))
+    return search.label_search(rows, "p_partkey", F.col("p_name"), F.col("aliases"), "Blüe ", 20).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 _LEX = f"""list_transform(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: not list_contains({search.STOPS['en']!r}, w)),
@@ -102,3 +103,74 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
     """Which whole texts a single word's prefix and a web-style search find."""
     lexed = table(spark, d, "documents").select("doc_id", search.lexemes(F.col("text")).alias("w"))
     return lexed.select("doc_id", search.matches(F.col("w"), "wat").alias("prefix"), search.matches(F.col("w"), 'waters -cities or "public libraries"').alias("web"))
+
+
+@query("save_status")
+def save_status(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch of postings does to a stored table; near-duplicates have no SQL, so tests hold it against given rows."""
+    rows = _postings(spark, d)
+    return loading.save_status(rows, rows.where("id % 4 = 0"), refused=F.col("city") == "es", override=True)
+
+
+@query(
+    "bulk_update",
+    "select e.event_id, case when e.event_id % 3 = 0 then e.event_id * 2.0 else e.value end as value, case when e.event_id % 3 = 0 then 'new' else e.event_type end as event_type from events e",
+)
+def bulk_update(spark: SparkSession, d: str) -> DataFrame:
+    """Values put in by key from JSON arrays."""
+    events = table(spark, d, "events").select("event_id", "value", "event_type")
+    k = F.col("event_id")
+    payload = F.to_json(F.array(F.struct(k, (k * 2.0).alias("value"), F.lit("new").alias("event_type"))))
+    return loading.bulk_update(events, events.where(k % 3 == 0).select(payload.alias("p")), "p", "event_id", "value:double,event_type:string")
+
+
+@query(
+    "checked_rows",
+    """
+select o_orderkey, case when o_totalprice < 1000 then 'small' else '' end || case when o_orderstatus = 'P' then 'open' else '' end as broken from orders""",
+)
+def checked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Which checks each row breaks."""
+    checks = {"small": F.col("o_totalprice") >= 1000, "open": F.col("o_orderstatus") != "P"}
+    return loading.checked(table(spark, d, "orders"), checks).select("o_orderkey", F.array_join("broken", "").alias("broken"))
+
+
+@query(
+    "clear_audit",
+    """
+select count(*) filter (where c_acctbal < 0) as audited, count(*) filter (where c_acctbal >= 0 and c_mktsegment is not null) as filled from customer""",
+)
+def clear_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose values were cleared and recorded, and those that keep theirs."""
+    cleared, audit = loading.clear_with_audit(table(spark, d, "customer"), "c_custkey", F.col("c_acctbal") < 0, ["c_mktsegment"], "negative")
+    return audit.agg(F.count(F.lit(1)).alias("audited")).crossJoin(cleared.agg(F.count("c_mktsegment").alias("filled")))  # one row each
+
+
+@query(
+    "bilingual_index",
+    """
+with en as (select p_name as k, min(p_type) as label, list_sort(list_distinct(list(p_brand))) as al from part where p_partkey % 3 > 0 group by 1),
+fr as (select p_name as k, min(p_brand) as label, list_sort(list_distinct(list(p_brand))) as al from part where p_partkey % 3 < 2 group by 1)
+select coalesce(en.k, fr.k) as p_name, en.label as label_en, fr.label as label_fr, coalesce(en.label, fr.label) as term, coalesce(len(en.al), 0)::int as n_en,
+  coalesce(len(list_filter(fr.al, lambda a: a <> fr.label)), 0)::int as n_fr from en full join fr using (k)""",
+)
+def bilingual_index(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and aliases of two languages by key."""
+    part = table(spark, d, "part")
+    en = part.where("p_partkey % 3 > 0").select("p_name", F.col("p_type").alias("label"), F.array("p_brand").alias("al"))
+    fr = part.where("p_partkey % 3 < 2").select("p_name", F.col("p_brand").alias("label"), F.array("p_brand").alias("al"))
+    found = feeds.bilingual_index(en, fr, "p_name", "label", "al")
+    return found.select("p_name", "label_en", "label_fr", "term", F.size("aliases_en").alias("n_en"), F.size("aliases_fr").alias("n_fr"))
+
+
+@query(
+    "source_resolution",
+    """
+select c_custkey, case when c_custkey % 4 = 3 then null else c_nationkey end as source_id from customer""",
+)
+def source_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Sources found by slug, id or name."""
+    registry = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("nation-"), "n_nationkey").alias("slug"), F.concat(F.lit("Nâtion "), "n_nationkey").alias("name"))
+    k, n = F.col("c_custkey") % 4, F.col("c_nationkey").cast("string")
+    wanted = F.when(k == 0, F.concat(F.lit("nation-"), n)).when(k == 1, n).when(k == 2, F.concat(F.lit(" NATION "), n)).otherwise("nowhere")
+    return feeds.resolve_sources(table(spark, d, "customer").select("c_custkey", wanted.alias("w")), registry, "w").select("c_custkey", "source_id")
