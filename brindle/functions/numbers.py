@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.text import unaccent
+
 #: Metres of the sphere that distances are taken on.
 EARTH = 6378168.0
 
@@ -100,3 +102,17 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.try_divide(dot, norm(a) * norm(b))
+
+
+# Beginnings of French and English months without marks, in their order.
+MONTHS = ["jan", "fe[vb]", "mar", "a[vp]r", "ma[iy]", "ju(?:in|n)", "jui?l", "ao?u", "sep", "oct", "nov", "dec"]
+
+
+def french_day(x: Column) -> Column:
+    """A day from a text such as "1er févr. 2024" or "March 5, 2024"; other texts, and days that don't exist, give null."""
+    t = F.lower(unaccent(x))
+    month = F.regexp_extract(t, r"([a-z]{3,})\.?,?\s+(?:\d{1,2},?\s+)?\d{4}", 1)
+    number = F.coalesce(*[F.when(month.rlike(f"^{m}"), F.lit(i)) for i, m in enumerate(MONTHS, 1)])
+    day = F.coalesce(F.nullif(F.regexp_extract(t, r"(?<!\d)(\d{1,2})(?:er)?\s+[a-z]{3,}\.?,?\s+\d{4}", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"[a-z]{3,}\.?\s+(\d{1,2}),?\s+\d{4}", 1), F.lit("")))
+    year = F.nullif(F.regexp_extract(t, r"\s(\d{4})(?!\d)", 1), F.lit(""))
+    return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")

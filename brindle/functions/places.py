@@ -29,3 +29,37 @@ def province_code(x: Column) -> Column:
     """The code of a province's code or name, whatever its case and marks; else null."""
     t = fold(x)
     return F.coalesce(*[F.when(t.isin(code.lower(), *names), F.lit(code)) for code, names in PROVINCES.items()])
+
+# What says remote and hybrid work.
+REMOTE = r"remote|remotely|virtual|anywhere|télétravail|telework|work from home|wfh|home office|canada[- ]wide"
+HYBRID = r"\bhybrid\b|\bflexible\b|\bflex\b|\bremote.*office\b|\boffice.*remote\b|\bdays.*office\b|\bdays.*on-?site\b|\bwork from home.*office\b|\boffice.*work from home\b"
+# States by code; CA is left out of the codes, as it may be Canada.
+STATES = {
+    "AL": "alabama", "AK": "alaska", "AZ": "arizona", "AR": "arkansas", "CA": "california", "CO": "colorado", "CT": "connecticut", "DC": "district of columbia", "DE": "delaware",
+    "FL": "florida", "GA": "georgia", "HI": "hawaii", "IA": "iowa", "ID": "idaho", "IL": "illinois", "IN": "indiana", "KS": "kansas", "KY": "kentucky", "LA": "louisiana",
+    "MA": "massachusetts", "MD": "maryland", "ME": "maine", "MI": "michigan", "MN": "minnesota", "MO": "missouri", "MS": "mississippi", "MT": "montana", "NC": "north carolina",
+    "ND": "north dakota", "NE": "nebraska", "NH": "new hampshire", "NJ": "new jersey", "NM": "new mexico", "NV": "nevada", "NY": "new york", "OH": "ohio", "OK": "oklahoma",
+    "OR": "oregon", "PA": "pennsylvania", "RI": "rhode island", "SC": "south carolina", "SD": "south dakota", "TN": "tennessee", "TX": "texas", "UT": "utah", "VA": "virginia",
+    "VT": "vermont", "WA": "washington", "WI": "wisconsin", "WV": "west virginia", "WY": "wyoming",
+}
+
+
+def work_type(x: Column, city: Column) -> Column:
+    """hybrid, remote or office; remote work with a city is hybrid, and nothing said is office."""
+    t = F.coalesce(x, F.lit(""))
+    some_city = F.coalesce(F.trim(city), F.lit("")) != ""
+    return F.when(t.rlike(f"(?iu){HYBRID}"), "hybrid").when(t.rlike(rf"(?iu)(?<![\p{{L}}\d])(?:{REMOTE})(?![\p{{L}}\d])"), F.when(some_city, "hybrid").otherwise("remote")).otherwise("office")
+
+
+def us_only(x: Column) -> Column:
+    """Whether a place is in the United States, and Canada isn't named too; null and blank aren't."""
+    t = F.coalesce(x, F.lit(""))
+    names, codes = "|".join(STATES.values()), "|".join(c for c in STATES if c != "CA")
+    country = r"(?i)\b(?:united\s+states(?:\s+of\s+america)?|u\.s\.a\.|usa|u\.s\.)(?!\w)"
+    state = rf"(?i),\s*(?:{names})\b|[,\s]\s*(?:{codes})(?=\s*(?:[,.;:!?]|$|\s+united|\s+usa|\s+u\.s))"
+    return (t.rlike(country) | t.rlike(r",\s*US\s*$") | t.rlike(state)) & ~t.rlike(r"(?i)\bcanad(?:a|ian)s?\b")
+
+
+def unglued(x: Column) -> Column:
+    """A word that is repeated without a gap ("LavalLaval") once."""
+    return F.regexp_replace(x, r"(?iu)(?<![\p{L}\d])(\p{L}{3,}?)\1+(?![\p{L}\d])", "$1")

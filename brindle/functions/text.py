@@ -122,3 +122,18 @@ def first_mapped(x: Column, mapping: Sequence[tuple[str, str]]) -> Column:
     for part, value in reversed(mapping):
         out = F.when(F.contains(fold(x), F.lit(part)), value).otherwise(out)
     return out
+
+
+def labeled(x: Column, labels: Sequence[str], stops: Sequence[str]) -> Column:
+    """What follows the first of the labels and a colon, up to the line's end or the next label of stops; blank as null.
+
+    Labels are patterns and may be in any case.
+    """
+    found = F.regexp_extract(x, rf"(?im)(?<![\p{{L}}\d])(?:{'|'.join(labels)})\h*:\h*(.*?)\h*(?:$|(?<![\p{{L}}\d])(?:{'|'.join([*labels, *stops])})\s*:)", 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
+def tags(xs: Column, longest: int = 48, most: int = 8) -> Column:
+    """Distinct tags in snake case in their order, each at most longest letters and most of them; null gives none."""
+    snake = F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda t: F.substring(F.regexp_replace(F.regexp_replace(fold(t), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, longest))
+    return F.slice(F.array_distinct(F.filter(snake, lambda t: t != "")), 1, most)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from brindle.functions.numbers import backoff
 
@@ -39,3 +42,26 @@ def after_attempt(attempts: Column, failed: Column, now: Column) -> Column:
 
 def retained(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+def greedy_batches(df: DataFrame, group: str, order: str, weight: str, limit: int) -> DataFrame:
+    """df with batch: rows of a group in order, a new batch where the next row would bring its weight over limit.
+
+    Rows are sorted by range, so a large group takes several tasks, and each task goes through
+    its rows once, whatever their number; a batch ends with its task. A row over the limit is
+    a batch of its own. Null weights count as 0.
+    """
+    schema = StructType([*df.schema.fields, StructField("batch", StringType())])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, number, total, current = TaskContext.get().partitionId(), 0, 0.0, object()
+        for frame in frames:
+            names = []
+            for g, w in zip(frame[group], frame[weight].fillna(0)):
+                if g != current or total + w > limit:
+                    number, total, current = number + 1, 0.0, g
+                total += w
+                names.append(f"{task}-{number}")
+            yield frame.assign(batch=names)
+
+    return df.repartitionByRange(group, order).sortWithinPartitions(group, order).mapInPandas(fold, schema)

@@ -61,16 +61,19 @@ def board(url: Column) -> Column:
 
 def _prepared(df: DataFrame) -> DataFrame:
     fluff = F.array(*map(F.lit, FLUFF))
-    body = F.trim(F.regexp_replace(F.lower(F.coalesce("body", F.lit(""))), r"\s+", " "))
-    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce("body", F.lit("")), "<[^>]+>", " ")), r"\s+", " "))
-    hours = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"(?<![\p{L}\d_])(\d{1,2}\s*(?:hours?|h(?:eures?)?))(?![\p{L}\d_])"), F.lit(1))
-    head = F.substring(body, 1, BODY)
+    low = F.lower(F.coalesce("body", F.lit("")))
+    hours = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\d_])(\d{1,2}\s*(?:hours?|h(?:eures?)?))(?![\p{L}\d_])"), F.lit(1))
+    # each long text is gone through once: later columns refer to columns, which Spark doesn't compute again
     rows = df.select(
         "id", "org", normal_url(F.col("url")).alias("url"), role_tokens(F.col("title")).alias("words"), posted_day(F.col("posted")).alias("day"),
         F.nullif(fold(F.col("city")), F.lit("")).alias("city"), province_code(F.col("province")).alias("prov"),
         F.nullif(F.trim("province"), F.lit("")).isNotNull().alias("has_prov"), F.nullif(F.lower(F.trim("kind")), F.lit("")).alias("kind"), "source",
-        F.when(F.length(head) >= THIN, head).alias("head"), F.when(F.length(plain) >= THIN, F.sha2(plain, 256)).alias("clone"), F.length(F.coalesce("body", F.lit(""))).alias("size"),
-        F.array_sort(F.array_distinct(F.transform(hours, lambda h: F.regexp_replace(h, r"\s", "")))).alias("hours"),
+        F.substring(F.trim(F.regexp_replace(low, r"\s+", " ")), 1, BODY).alias("_head"), F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]+>", " "), r"\s+", " ")).alias("_plain"),
+        F.length(F.coalesce("body", F.lit(""))).alias("size"), hours.alias("_hours"),
+    )
+    rows = rows.select(
+        *[c for c in rows.columns if c[0] != "_"], F.when(F.length("_head") >= THIN, F.col("_head")).alias("head"), F.when(F.length("_plain") >= THIN, F.sha2("_plain", 256)).alias("clone"),
+        F.array_sort(F.array_distinct(F.transform("_hours", lambda h: F.regexp_replace(h, r"\s", "")))).alias("hours"),
     )
     rows = rows.where("org is not null and url <> '' and size(words) > 0")
     # two titles without distinctive leftovers have the same words but for fluff: an equi-join finds all of them

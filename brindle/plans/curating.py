@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import names as N
-from brindle.operators import loading, postings, search
+from brindle.functions import numbers, places
+from brindle.functions import text as T
+from brindle.operators import incremental, loading, matching, postings, search
 from brindle.plans.registry import query
 from brindle.sources import feeds
 from brindle.sources.tables import table
@@ -15,7 +17,7 @@ from brindle.sources.tables import table
 def _postings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        k.alias("id"), F.col("source").alias("org"), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3)).alias("title"), F.concat(F.lit("https://x.org/job/"), k).alias("url"),
+        k.alias("id"), F.col("source").alias("org"), F.substring_index("text", " ", 3).alias("title"), F.concat(F.lit("https://x.org/job/"), k).alias("url"),
         F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int")).cast("string").alias("posted"), F.col("text").alias("body"), F.when(k % 5 > 0, F.col("lang")).alias("city"),
         F.lit("ON").alias("province"), F.lit(None).cast("string").alias("kind"), (k % 3).cast("string").alias("source"),
     )
@@ -174,3 +176,60 @@ def source_resolution(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("c_custkey") % 4, F.col("c_nationkey").cast("string")
     wanted = F.when(k == 0, F.concat(F.lit("nation-"), n)).when(k == 1, n).when(k == 2, F.concat(F.lit(" NATION "), n)).otherwise("nowhere")
     return feeds.resolve_sources(table(spark, d, "customer").select("c_custkey", wanted.alias("w")), registry, "w").select("c_custkey", "source_id")
+
+
+@query(
+    "work_types",
+    """
+select c_custkey, case c_custkey % 5 when 0 then 'hybrid' when 1 then 'remote' when 2 then 'hybrid' else 'office' end as work_type, c_custkey % 5 = 3 as us_only,
+  'Calgary' || c_nationkey as place from customer""",
+)
+def work_types(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of work and places that texts of several forms say."""
+    k = F.col("c_custkey") % 5
+    text = F.when(k == 0, "Hybrid, 2 days in office").when(k == 1, "Remote, anywhere in Canada").when(k == 2, "Remote - Laval").when(k == 3, "Boston, MA").otherwise("Remoteness, Canada or USA")
+    glued = F.concat(F.lit("CalgaryCalgaryCalgary "), "c_nationkey")
+    return table(spark, d, "customer").select(
+        "c_custkey", places.work_type(text, F.when(k == 2, "Laval")).alias("work_type"), places.us_only(text).alias("us_only"), F.replace(places.unglued(glued), F.lit(" "), F.lit("")).alias("place")
+    )
+
+
+@query("french_dates", "select distinct cast(cast(o_orderdate as date) as varchar) as d, cast(cast(o_orderdate as date) as varchar) as parsed from orders")
+def french_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Days read back from French texts."""
+    day = F.to_date("o_orderdate")
+    months = F.array(*map(F.lit, "janv. févr. mars avril mai juin juillet août sept. oct. novembre déc.".split()))
+    n = F.when(F.dayofmonth(day) == 1, "1er").otherwise(F.dayofmonth(day).cast("string"))
+    text = F.concat_ws(" ", n, F.element_at(months, F.month(day)), F.year(day).cast("string"))
+    return table(spark, d, "orders").select(day.cast("string").alias("d"), numbers.french_day(text).cast("string").alias("parsed")).distinct()
+
+
+@query(
+    "labeled_values",
+    "select o_orderkey, o_orderpriority as priority, array_to_string(list_transform(string_split(lower(o_orderpriority), '-'), lambda x: regexp_replace(trim(x), '[^a-z0-9]+', '_', 'g'))[1:2], ' ') as tags from orders",
+)
+def labeled_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values after labels in a line of several, and tags in one form."""
+    line = F.concat(F.lit("Clerk: x Priority :  "), "o_orderpriority", F.lit("  Status: "), "o_orderstatus")
+    return table(spark, d, "orders").select("o_orderkey", T.labeled(line, ["priority"], ["clerk", "status"]).alias("priority"), F.array_join(T.tags(F.split("o_orderpriority", "-"), 48, 2), " ").alias("tags"))
+
+
+@query("greedy_batches")
+def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in their order by source, in batches of 4,000 estimated tokens; a sequential fold, so tests hold it."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("tokens"))
+    return incremental.greedy_batches(rows, "source", "doc_id", "tokens", 4000)
+
+
+@query(
+    "skill_shortlist",
+    """
+with s as (select l_orderkey, l_partkey, l_discount * 10 as sim, l_tax * 12.5 as rel, l_quantity as prom from lineitem),
+b as (select l_orderkey, l_partkey, max(sim * (least(greatest(prom, 1), 10) / 10) * rel) as score from s where sim >= 0.25 and rel >= 0.4 group by 1, 2),
+r as (select *, row_number() over (partition by l_orderkey order by score desc, l_partkey) as n from b) select l_orderkey, l_partkey, round(score, 6) as score from r where n <= 3""",
+)
+def skill_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    """The three best skills of each owner by likeness, prominence and relevance."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_discount") * 10).alias("sim"), (F.col("l_tax") * 12.5).alias("rel"), F.col("l_quantity").alias("prom"))
+    found = matching.shortlist(rows, "l_orderkey", "l_partkey", F.col("sim"), F.col("prom"), F.col("rel"), 3)
+    return found.withColumn("score", F.round("score", 6))
