@@ -140,19 +140,38 @@ def clusters(df: DataFrame) -> DataFrame:
     return found.select("id", "cluster").join(told.where("urls > 1"), "cluster").select("id", "cluster", "keeper", "n")
 
 
+def _two_least(df: DataFrame, key: str) -> DataFrame:
+    """(key, first, second) of rows (key, id, url): the smallest id with its URL, and the smallest with another URL."""
+    first = df.groupBy(key).agg(F.min(F.struct("id", "url")).alias("first"))
+    other = df.join(first, key).where(F.col("url") != F.col("first.url")).groupBy(key).agg(F.min(F.struct("id", "url")).alias("second"))
+    return first.join(other, key, "left")
+
+
+_CONTENT = "org words day city prov has_prov kind source head clone hours core number host".split()
+
+
+def _by_content(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Prepared rows as (id, url, cls), and the content of each class; rows of a class differ in id and URL only."""
+    number = F.nullif(F.regexp_extract("url", r"(?i)(?:/job/[^/\s]*-|jobId=)(\d{4,})", 1), F.lit(""))
+    rows = _prepared(df).withColumn("number", number).withColumn("host", board(F.col("url")))
+    rows = materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
+    return rows.select("id", "url", "cls"), rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT])
+
+
 def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
-    """(id, duplicate_of): rows of new that are surely a known posting, and the smallest id of such.
+    """(id, duplicate_of): rows of new that are surely a known posting of another URL, and the smallest id of such.
 
     The role must be the same; then a shared listing number decides, or, with no conflict of
     city, hours and kind, equal bodies, bodies 0.9 alike, or 0.7 in the same city on another board.
     earlier takes only known postings of smaller ids.
+
+    Rows of equal content are one class, and classes are paired: of its partners a class needs
+    just the smallest id and the smallest of another URL, whatever their number.
     """
-    a, _ = _sides(_prepared(new))
-    _, b = _sides(_prepared(known))
-    pairs = _near(a, b).where("a_url <> b_url")
-    pairs = _titled(pairs.where("b_id < a_id") if earlier else pairs).where("alike >= 0.7 or order >= 0.85")
-    number = lambda c: F.nullif(F.regexp_extract(c, r"(?i)(?:/job/[^/\s]*-|jobId=)(\d{4,})", 1), F.lit(""))
-    listed = F.coalesce(number("a_url") == number("b_url"), F.lit(False))
+    rows, left = _by_content(new, "postings-new")
+    stored, right = (rows, left) if known is new else _by_content(known, "postings-known")
+    pairs = _titled(_near(_sides(left)[0], _sides(right)[1])).where("alike >= 0.7 or order >= 0.85")
+    listed = F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False))
     vague = (F.col("a_has_prov") & F.col("a_prov").isNull()) | (F.col("b_has_prov") & F.col("b_prov").isNull())
     other_prov = F.coalesce(F.col("a_prov") != F.col("b_prov"), F.lit(False))
     cities = F.col("a_city").isNotNull() & F.col("b_city").isNotNull()
@@ -160,10 +179,16 @@ def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False
     hours = (F.size("a_hours") > 0) & (F.size("b_hours") > 0) & (F.col("a_hours") != F.col("b_hours"))
     veto = (cities & ~same) | hours | F.coalesce(F.col("a_kind") != F.col("b_kind"), F.lit(False))
     clone = F.coalesce(F.col("a_clone") == F.col("b_clone"), F.lit(False))
-    hosts = board(F.col("a_url")), board(F.col("b_url"))
-    known_hosts = hosts[0].isin(BOARDS) & hosts[1].isin(BOARDS) & (hosts[0] != hosts[1])
-    cross = F.coalesce(F.when(F.col("a_source").isNotNull() & F.col("b_source").isNotNull(), (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts[0] != hosts[1]), F.lit(False))
-    pairs = _spread(pairs, "a_id", "b_id").withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
-    ratio = sequence_ratio(F.when(F.col("need").isNotNull(), F.col("a_head")), F.col("b_head"))
-    hits = pairs.withColumn("ratio", ratio).where("sure or ratio >= need")
-    return hits.groupBy(F.col("a_id").alias("id")).agg(F.min("b_id").alias("duplicate_of"))
+    hosts = F.col("a_host") != F.col("b_host")
+    known_hosts = F.col("a_host").isin(BOARDS) & F.col("b_host").isin(BOARDS) & hosts
+    both = F.col("a_source").isNotNull() & F.col("b_source").isNotNull()
+    cross = F.coalesce(F.when(both, (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts), F.lit(False))
+    pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
+    pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)"), "a_cls", "b_cls")
+    ratio = sequence_ratio(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"))
+    hits = materialize(pairs.withColumn("ratio", ratio).where("sure or ratio >= need").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
+    each = hits.join(_two_least(stored, "cls"), "cls").select("of", F.explode(F.array_compact(F.array("first", "second"))).alias("x")).select("of", "x.*")
+    best = _two_least(each, "of").withColumnRenamed("of", "cls")
+    found = F.when(F.col("first.url") != F.col("url"), F.col("first.id")).otherwise(F.col("second.id"))
+    told = rows.join(best, "cls").select("id", found.alias("duplicate_of")).where("duplicate_of is not null")
+    return told.where("duplicate_of < id") if earlier else told

@@ -89,3 +89,29 @@ def test_confident(spark):
            change(9, province="Ontario"), change(10, province="somewhere"), change(11, url="https://x.org/1/"), change(12, posted=None, body="<b>" + LONG * 2 + "</b>")]
     got = P.confident_duplicates(spark.createDataFrame(new, SCHEMA), known)
     assert {r.id: r.duplicate_of for r in got.collect()} == dict.fromkeys([2, 5, 8, 9, 12], 1)
+
+
+def test_confident_against_brute_force(spark):
+    def sure(a, b):
+        wa, wb = words(a["title"] or ""), words(b["title"] or "")
+        if a["org"] is None or a["org"] != b["org"] or not a["url"] or not b["url"] or a["url"] == b["url"] or not wa or not wb or (wa ^ wb) - set(P.FLUFF):
+            return False
+        if a["posted"] and b["posted"] and abs((date.fromisoformat(a["posted"]) - date.fromisoformat(b["posted"])).days) > 21:
+            return False
+        if len(wa & wb) / len(wa | wb) < 0.7 and SequenceMatcher(None, " ".join(sorted(wa)), " ".join(sorted(wb))).ratio() < 0.85:
+            return False
+        if a["city"] and b["city"] and a["city"].lower() != b["city"].lower():
+            return False
+        x, y = (" ".join((r["body"] or "").lower().split()) for r in (a, b))
+        return min(len(x), len(y)) >= 80 and SequenceMatcher(None, x, y).ratio() >= 0.9
+
+    raw = [r[:3] + (f"https://h/{r[0] // 2}" if r[3] else None,) + r[4:] for r in rows_of_many_kinds()]
+    df = spark.createDataFrame(raw, SCHEMA)
+    rows = [dict(zip(df.columns, r)) for r in raw]
+    want = {}
+    for b, a in itertools.combinations(rows, 2):
+        if sure(a, b):
+            want.setdefault(a["id"], b["id"])
+    assert len(want) > 10
+    want = {a: min(b["id"] for b in rows if b["id"] < a and sure(rows[a], b)) for a in want}
+    assert {r.id: r.duplicate_of for r in P.confident_duplicates(df, df, earlier=True).collect()} == want
