@@ -37,6 +37,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def ratio_from(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
+    """sequence_ratio, or null where it's below need; counts of letters, which bound it, settle most such pairs."""
+
+    def ratio(x: str | None, y: str | None, least: float) -> float | None:
+        if x is None or y is None:
+            return None
+        m = SequenceMatcher(None, x, y)
+        found = 1.0 if x == y else m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else None
+        return found if found is not None and found >= least else None
+
+    return pd.Series([ratio(*row) for row in zip(a, b, need)], dtype="float64")
+
+
 def role_tokens(title: Column) -> Column:
     """Sorted distinct words of a title without stop words, plural s and a glued "new"."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z0-9]+", " "), " ")
@@ -128,7 +142,7 @@ def clusters(df: DataFrame) -> DataFrame:
     a, b = _sides(bodies)
     open_ = pairs.where("need > 0").join(a, "a_cls").join(b, "b_cls")
     shorter, both = F.least(F.length("a_head"), F.length("b_head")), F.length("a_head") + F.length("b_head")
-    close = _spread(open_.where(2 * shorter / both >= F.col("need")), "a_head", "b_head").withColumn("ratio", sequence_ratio("a_head", "b_head")).where("ratio >= need")
+    close = _spread(open_.where(2 * shorter / both >= F.col("need")), "a_head", "b_head").withColumn("ratio", ratio_from("a_head", "b_head", "need")).where("ratio is not null")
     edges = (
         rows.join(classes.select("cls", "rep"), "cls").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         .unionByName(pairs.where("need = 0").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
@@ -185,8 +199,8 @@ def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False
     cross = F.coalesce(F.when(both, (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts), F.lit(False))
     pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
     pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)"), "a_cls", "b_cls")
-    ratio = sequence_ratio(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"))
-    hits = materialize(pairs.withColumn("ratio", ratio).where("sure or ratio >= need").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
+    ratio = ratio_from(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"), F.coalesce("need", F.lit(0.0)))
+    hits = materialize(pairs.withColumn("ratio", ratio).where("sure or ratio is not null").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
     each = hits.join(_two_least(stored, "cls"), "cls").select("of", F.explode(F.array_compact(F.array("first", "second"))).alias("x")).select("of", "x.*")
     best = _two_least(each, "of").withColumnRenamed("of", "cls")
     found = F.when(F.col("first.url") != F.col("url"), F.col("first.id")).otherwise(F.col("second.id"))
