@@ -8,8 +8,9 @@ again by three blocks of their remaining bits; after four such steps at most 13
 so that no group can have over 8,192 members whatever the data are.
 
 Links at a set similarity need more bits than that and a larger radius, which blocks can't
-deal out. similar_groups() takes wide fingerprints and several tables of drawn bits, orders
-each table by key and Gray rank over all partitions, and searches it by the same hierarchy.
+deal out. similar_groups() takes wide fingerprints and several tables of drawn bits, and
+searches each group of one key by the same hierarchy; larger groups are dealt out as pairs of
+blocks, so that all pairs of a group meet whatever its size.
 """
 
 from __future__ import annotations
@@ -319,8 +320,10 @@ def near_duplicates(
 WIDE, RECALL = 16, 0.97
 #: Distinct fingerprints that should share a key of a table by chance.
 CROWD = 64
-#: Rows that a task searches at once, and how many of them it takes over into the next search.
-CHUNK, SEAM = 16384, 256
+#: A table's group of more rows than this is dealt out as pairs of blocks of half as many rows.
+WIDE_LIMIT = 4096
+#: Rows that a task gathers before it searches the groups that are whole.
+CHUNK = 16384
 
 
 def differing_share(similarity: float) -> float:
@@ -344,26 +347,43 @@ def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = REC
 
 
 def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """As _search, in pieces of CHUNK rows at most that overlap by SEAM rows where they cut a group."""
-    held = pd.DataFrame()
+    """As _search, for each (key, part); nothing but their borders cuts the rows."""
+    held: list[pd.DataFrame] = []
+    rows = 0
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        key = x["key"].to_numpy()
+        key, part = x["key"].to_numpy(), x["part"].to_numpy()
         codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
-        roots = GrayIndex(codes, np.cumsum(np.r_[True, key[1:] != key[:-1]])).roots(radius)
+        roots = GrayIndex(codes, np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])).roots(radius)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         nodes = x["node"].to_numpy()
         return pd.DataFrame({"a": nodes[linked], "b": nodes[roots[linked]]})
 
     for x in batches:
-        held = pd.concat([held, x], ignore_index=True)
-        while len(held) >= CHUNK:
-            yield links(held.iloc[:CHUNK])
-            last = held["key"].iloc[CHUNK - 1]
-            same = int((held["key"].iloc[:CHUNK] == last).sum())
-            held = held.iloc[CHUNK - (same if same <= CHUNK // 2 else SEAM) :].reset_index(drop=True)
-    if len(held):
-        yield links(held)
+        held.append(x)
+        rows += len(x)
+        if rows >= CHUNK:
+            x = pd.concat(held, ignore_index=True)
+            last = (x["key"] == x["key"].iloc[-1]) & (x["part"] == x["part"].iloc[-1])
+            held, rows = [x[last]], int(last.sum())
+            if rows < len(x):
+                yield links(x[~last].reset_index(drop=True))
+    if rows:
+        yield links(pd.concat(held, ignore_index=True))
+
+
+def deal_pairs(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """rows with a part: 0, or for keys of sizes (key, size) each pair of blocks that the row's own is one of.
+
+    A row's block is drawn by a hash of its node, of as many as hold about `block` rows each;
+    two rows of a key are in a part together at least once.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("node", F.lit(3)), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda t: t != own)
+    pairs = F.transform(others, lambda t: F.least(t, own) * blocks + F.greatest(t, own))
+    parts = F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))
+    return rows.join(F.broadcast(sizes), "key", "left").withColumn("part", F.explode(parts)).drop("size")
 
 
 def similar_groups(
@@ -374,14 +394,16 @@ def similar_groups(
     similarity: float = 0.8,
     words: int = WIDE,
     recall: float = RECALL,
+    group_limit: int = WIDE_LIMIT,
 ) -> DataFrame:
     """(doc, copy, node, group): each row's id, its text's hash, its fingerprint's hash and its group's.
 
     Texts are grouped over links of wide fingerprints that differ in wide_radius(similarity)
     bits or fewer; equal word sequences always are. A pair of just that similarity shares a
-    table's key with probability `recall`, more similar ones more surely. A table is ordered
-    by key and Gray rank over all partitions, so a group of any size is spread over tasks, and
-    neighbours meet in some table or other. Texts without words are one group of their own.
+    table's key with probability `recall`, more similar ones more surely. All pairs
+    that share a key are compared: a key's group is whole in a task up to group_limit
+    fingerprints, and beyond that each two of its blocks meet in a task, which grows with the
+    square of such a group over group_limit. Texts without words are one group of their own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -397,24 +419,30 @@ def similar_groups(
     tables = table_bits(distinct.count(), similarity, words, recall)
     rank_word = [t[0] // 64 for t in tables]
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame], alone: bool) -> Iterator[pd.DataFrame]:
         for x in batches:
             codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
             bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
             for place, (table, word) in enumerate(zip(tables, rank_word, strict=True)):
-                key = bits[:, table].astype(np.int64) @ (1 << np.arange(len(table), dtype=np.int64))
+                key = bits[:, table].astype(np.int64) @ (1 << np.arange(len(table), dtype=np.int64)) << np.int64(16) | place
+                if alone:
+                    yield pd.DataFrame({"key": key})
+                    continue
                 rank = codes[:, word].copy()
                 for by in (1, 2, 4, 8, 16, 32):
                     rank ^= rank >> np.uint64(by)
                 yield pd.DataFrame(
-                    {"key": key << np.int64(16) | place, "rank": (rank ^ np.uint64(1 << 63)).view(np.int64), "node": x["node"], "fp": x["fp"]}
+                    {"key": key, "rank": (rank ^ np.uint64(1 << 63)).view(np.int64), "node": x["node"], "fp": x["fp"]}
                 )
 
-    dealt = distinct.mapInPandas(keys, "key long, rank long, node long, fp binary")
+    dealt = distinct.mapInPandas(lambda it: keys(it, False), "key long, rank long, node long, fp binary")
+    counted = distinct.mapInPandas(lambda it: keys(it, True), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(counted.where(F.col("size") > group_limit), "sizes")  # at most the tables' rows over group_limit
+    dealt = dealt.withColumn("part", F.lit(0).cast("long")) if sizes.isEmpty() else deal_pairs(dealt, sizes, group_limit // 2)
     radius = wide_radius(similarity, words)
     links = (
-        dealt.repartitionByRange("key", "rank")
-        .sortWithinPartitions("key", "rank")
+        dealt.repartition("key", "part")
+        .sortWithinPartitions("key", "part", "rank")
         .mapInPandas(lambda it: _search_wide(it, radius), "a long, b long")
         .distinct()
     )

@@ -99,6 +99,29 @@ def test_keep_one(spark, docs):
     assert {i for i, r in loose.items() if i == r and list(loose.values()).count(r) == 1} <= kept
 
 
+@pytest.mark.parametrize("limit", [100, 4096])
+def test_large_groups_lose_no_pair(spark, monkeypatch, limit):
+    """Any two that share a table's key meet, in groups larger than a search and a task; brute force over the keys."""
+    monkeypatch.setattr(simhash, "table_bits", lambda *_: [[0, 70, 140, 210]])
+    common = [f"line{i}" for i in range(60)]
+    texts = [" ".join([*common[: 60 - i % 7 * 5], *(f"w{i // 2 * 31 + j}" for j in range(40)), *([] if i % 2 else ["end"])]) for i in range(1500)]
+    fps = [simhash.fingerprint_words(t, 5, 16) for t in texts]
+    codes = np.array(fps)
+    keys = np.array([[int(x[w]) & 1 if w == 0 else int(x[b // 64]) >> b % 64 & 1 for w, b in ((0, 0), (1, 70), (2, 140), (3, 210))] for x in fps])
+    radius = simhash.wide_radius(0.8)
+    pairs = []
+    for i in range(len(texts)):
+        same = np.flatnonzero((keys == keys[i]).all(1) & (simhash.popcount(codes ^ codes[i]) <= radius))
+        pairs += [(i, int(j)) for j in same if j > i]
+    want = roots(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.similar_groups(docs.repartition(3), group_limit=limit).collect()
+    least = {}
+    for r in sorted(got, key=lambda r: r.doc):
+        least.setdefault(r.group, r.doc)
+    assert len(set(want.values())) < len(texts) and {r.doc: least[r.group] for r in got} == want
+
+
 def test_keep_one_odd(odd):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns
