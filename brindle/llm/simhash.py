@@ -453,12 +453,13 @@ def similar_groups(
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, wordless: bool = True
 ) -> DataFrame:
     """docs with the row of the smallest id of each group of similar texts, and all of its columns.
 
     Of equal ids that with the smallest hash of its text stays, of equal rows one; null ids
-    come last. Texts without words (null, empty) are no copies of each other and stay. An
+    come last. Texts without words (null, empty) are no copies of each other and stay if
+    wordless is true; otherwise they are one group like any other, of which one row stays. An
     empty table gives none. Helper columns have names that docs doesn't use.
     """
     groups = materialize(similar_groups(docs, id_col, text_col, shingle, similarity), "groups")
@@ -470,5 +471,6 @@ def keep_one(
     body = F.col(text_col).cast("string")
     rows = docs.withColumns({tag + "doc": F.coalesce(F.col(id_col).cast("long"), none), tag + "copy": F.xxhash64(body)})
     said = F.coalesce(body, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    chosen = rows.where(said).join(kept, [tag + "doc", tag + "copy"], "left_semi").dropDuplicates([tag + "doc", tag + "copy"])
-    return chosen.select(*docs.columns).unionByName(rows.where(~said).select(*docs.columns))
+    chosen = (rows.where(said) if wordless else rows).join(kept, [tag + "doc", tag + "copy"], "left_semi").dropDuplicates([tag + "doc", tag + "copy"])
+    chosen = chosen.select(*docs.columns)
+    return chosen.unionByName(rows.where(~said).select(*docs.columns)) if wordless else chosen

@@ -21,8 +21,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 alike or more."""
-    return simhash.keep_one(docs)
+    """One document of each group whose five-word shingles are 0.8 alike or more.
+
+    Documents that the lines stage has emptied are one group too, so one row of them stays.
+    """
+    return simhash.keep_one(docs, wordless=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from brindle.llm import packing
+from brindle.llm import mixing, packing
 from brindle.sources.tables import materialize, table
 
 
@@ -24,6 +24,21 @@ def test_run_matches_stages(spark, sf):
     assert sorted(map(str, got.select(*keys).collect())) == sorted(map(str, docs.select(*keys).collect()))
 
 
+def test_emptied_copies_go(spark, sf):
+    """Exact copies that lines empties leave with near_dedup, and the mixing's counts hold one row of them at most."""
+    copy = "\n".join(f"line {i} of the copied document with words {i * 7} and {i * 11}" for i in range(12))
+    own = [" ".join(f"word{i * 100 + j}" for j in range(80)) for i in range(20)]
+    rows = [(i, copy, "en", "hot", len(copy)) for i in range(100)] + [(100 + i, t, "en", "hot", len(t)) for i, t in enumerate(own)]
+    lines = materialize(corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf), "lines")
+    assert lines.where("text = ''").count() == 99
+    near = materialize(corpus_pipeline.near_dedup(spark, lines, sf), "near")
+    assert sorted(r.doc_id for r in near.collect()) == [0, 1, *range(100, 120)]
+    sizes = mixing.rates(near, mixing.WEIGHTS, mixing.OTHER, "source", None)
+    assert [r["n"] for r in sizes.collect()] == [22]
+    mixed = corpus_pipeline.mix_sources(spark, near, sf).collect()
+    assert {r.doc_id for r in mixed} <= {0, 1, *range(100, 120)} and sum(not r.text for r in mixed) <= 8
+
+
 def test_empty(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
