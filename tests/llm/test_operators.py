@@ -145,6 +145,14 @@ def test_label_model_learns_accuracies():
     assert ((posterior[at] > 0.5) == truth).mean() > 0.93
 
 
+def test_varied_looks_at_every_word():
+    """Neither words between others nor a phrase in step with the text's length change the vote."""
+    phrase = [f"w{i}" for i in range(1000)]
+    assert quality._varied(quality.facts(" ".join(phrase * 20))) == quality._varied(quality.facts(" ".join(sorted(phrase * 20))))
+    rare = ["the" if i % 10 == 0 else f"w{i}" for i in range(20_000)]
+    assert quality._varied(quality.facts(" ".join(rare))) == quality.GOOD
+
+
 def test_quality_odd(odd):
     got = quality.classify(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
