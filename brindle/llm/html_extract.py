@@ -2,10 +2,12 @@
 
 The standard library's parser streams a page's events. Text gathers in lines, one for each
 block of the page; each line knows how many tags stand in it and how much of it is links. Lines
-in parts that say what they are (navigation, forms, adverts, comments) never count. The
+in parts that say what they are (navigation, adverts, comments) never count; those in a form,
+fieldset or menu count only where that holds most of the text that could count. The
 text-to-tag ratio of the others is smoothed by a Gaussian, and lines over a threshold cluster
 into content regions. Where the page names its article, the regions tell which of the named
-parts are meant, and those are taken whole; otherwise the regions are the main text.
+parts are meant, and those are taken whole, with the regions outside of any named part;
+otherwise the regions are the main text.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ SILENT = frozenset(
     "script style noscript template head title svg math canvas object iframe audio video map select textarea button"
     " datalist noframes noembed applet".split()
 )
-ASIDE = frozenset("nav footer aside form dialog menu fieldset search".split())
+ASIDE = frozenset("nav footer aside dialog search".split())
+#: Asides unless they hold most of the page's text, as where a server wraps the whole page in a form.
+HOLDERS = frozenset("form fieldset menu".split())
 #: Elements whose end isn't written; a new one of the group ends the open one.
 CLOSES = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
@@ -74,6 +78,7 @@ class Line:
     tags: int = 0
     linked: int = 0
     mains: tuple[int, ...] = ()
+    holders: tuple[int, ...] = ()
     text: str = ""
 
 
@@ -83,8 +88,8 @@ class PageLines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, silent, aside, main's number or 0
-        self.silent = self.aside = self.links = self.mains = 0
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, silent, aside, main's and holder's number or 0
+        self.silent = self.aside = self.links = self.mains = self.holders = 0
         self.articles: set[int] = set()
         self.line = Line()
 
@@ -92,7 +97,8 @@ class PageLines(HTMLParser):
         line = self.line
         line.text = " ".join("".join(line.parts).split())
         if line.text:
-            line.mains = tuple(m for _, _, _, m in self.open if m)
+            line.mains = tuple(x[3] for x in self.open if x[3])
+            line.holders = tuple(x[4] for x in self.open if x[4])
             self.lines.append(line)
             self.line = Line()
         else:
@@ -133,7 +139,7 @@ class PageLines(HTMLParser):
             return
         silent, aside, main = tag in SILENT, tag in ASIDE, False
         if tag == "header":
-            aside = not any(m for *_, m in self.open)  # of the page, not of an article
+            aside = not any(x[3] for x in self.open)  # of the page, not of an article
         if not silent and tag not in ("html", "body"):
             named, main = self._names(dict(attrs)) if attrs else (False, False)
             aside = aside or named
@@ -144,7 +150,11 @@ class PageLines(HTMLParser):
             number = self.mains
             if tag == "article":
                 self.articles.add(number)
-        self.open.append((tag, silent, aside, number))
+        holder = 0
+        if tag in HOLDERS and not aside:
+            self.holders += 1
+            holder = self.holders
+        self.open.append((tag, silent, aside, number, holder))
         self.silent += silent
         self.aside += aside
         self.links += tag == "a"
@@ -161,7 +171,7 @@ class PageLines(HTMLParser):
         """Close the element at a place, and all that is open within."""
         if any(x[0] in BLOCKS for x in self.open[place:]):
             self._cut()
-        for tag, silent, aside, _ in self.open[place:]:
+        for tag, silent, aside, *_ in self.open[place:]:
             self.silent -= silent
             self.aside -= aside
             self.links -= tag == "a"
@@ -213,13 +223,23 @@ def content_lines(lines: list[Line], sigma: float = SIGMA, share: float = SHARE)
     return (smoothed >= threshold) & (smoothed > 0)
 
 
+def without_holders(lines: list[Line]) -> list[Line]:
+    """lines but for those in a form, fieldset or menu that isn't most of the page's unlinked text."""
+    held: dict[int, int] = {}
+    for line in lines:
+        for h in line.holders:
+            held[h] = held.get(h, 0) + max(0, len(line.text) - line.linked)
+    whole = sum(max(0, len(x.text) - x.linked) for x in lines)
+    return [x for x in lines if all(held[h] * 2 > whole for h in x.holders)]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, joined by an empty line."""
     page = PageLines()
     page.feed(html or "")
     page.close()
     page._cut()
-    lines = page.lines
+    lines = without_holders(page.lines)
     inside = content_lines(lines)
     weight: dict[int, int] = {}
     for line, content in zip(lines, inside, strict=True):
@@ -232,7 +252,7 @@ def main_text(html: str | None) -> str:
     for part in (articles, outer):  # what the page calls article goes before what it calls main
         meant = {m for m in part if m and weight.get(m, 0)}
         if meant and sum(weight[m] for m in meant) * 2 >= whole:
-            return "\n\n".join(x.text for x, m in zip(lines, part, strict=True) if m in meant)
+            return "\n\n".join(x.text for x, m, c in zip(lines, part, inside, strict=True) if m in meant or c and not x.mains)
     if any(outer) and not whole:
         return "\n\n".join(x.text for x, m in zip(lines, outer, strict=True) if m)
     return "\n\n".join(x.text for x, c in zip(lines, inside, strict=True) if c)

@@ -241,6 +241,16 @@ def test_html():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_html_forms_and_regions_outside_the_named_part():
+    long = [f"Paragraph {i} of a page says at some length what it has to say, and {i} more words follow it here." for i in range(8)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    for tag in ("form", "fieldset", "menu"):
+        assert html_extract.main_text(f"<nav>Home</nav><{tag}><div>{body}</div></{tag}><footer>About</footer>").split("\n\n") == long
+        assert html_extract.main_text(f"<article>{body}</article><{tag}><label>Your name</label><p>Send us a note.</p></{tag}>").split("\n\n") == long
+    split = f"<article>{''.join(f'<p>{x}</p>' for x in long[:5])}</article><div>{''.join(f'<p>{x}</p>' for x in long[5:])}</div><aside><p>{long[0]}</p></aside>"
+    assert html_extract.main_text(split).split("\n\n") == long
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>a<b"), (None, None, "<div>" * 3000 + "deep text")], "page_id long, url string, html string")
     got = html_extract.extract(pages.withColumn("text", F.lit("x"))).collect()
