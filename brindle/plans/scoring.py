@@ -126,6 +126,12 @@ def vector_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d, "vec_id < 18", 5)
 
 
+@query("vector_search_topk", _TOP.format(which="vec_id % 20 = 0", k=5))
+def vector_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 rows nearest each row whose id is divisible by 20, among all rows."""
+    return _top(spark, d, "vec_id % 20 = 0", 5)
+
+
 @query(
     "vector_pooling",
     """
