@@ -1,13 +1,15 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Text gathers in lines, one for each
-block of the page; each line knows how many tags stand in it and how much of it is links. Lines
-in parts that say what they are (navigation, adverts, comments) never count; those in a form,
-fieldset or menu count only where that holds most of the text that could count. The
-text-to-tag ratio of the others is smoothed by a Gaussian, and lines over a threshold cluster
-into content regions. Where the page names its article, the regions tell which of the named
-parts are meant, and those are taken whole, with the regions outside of any named part;
-otherwise the regions are the main text.
+block of the page; each line knows how many tags stand in it, how much of it is links, and the
+element it stands in. A line's ratio is its unlinked text by its tags. Names weigh on it: parts
+that HTML or a whole class name calls an advert, a menu, comments and the like weigh nothing,
+parts with a doubtful name a fifth, and parts called article or main double.
+
+The weighted ratios are smoothed by a Gaussian within each part. Lines over a threshold are
+content, and cluster: lines between them, beside them in the same box, or in the article that
+they are in belong to their region. Nothing but the ratio tells content from the rest where a
+page has no names.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ SILENT = frozenset(
 ASIDE = frozenset("nav footer aside dialog search".split())
 #: Asides unless they hold most of the page's text, as where a server wraps the whole page in a form.
 HOLDERS = frozenset("form fieldset menu".split())
+#: Elements that are boxes if they hold other blocks; text-level blocks belong to the box around them.
+BOXES = frozenset("address article body center details dialog div dir fieldset form frameset html main menu section td th".split())
 #: Elements whose end isn't written; a new one of the group ends the open one.
 CLOSES = {
-    "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
-    "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 #: Where a search for an open element of CLOSES stops.
 SCOPES = frozenset("ul ol dl table select article section div body nav main aside header footer form menu".split())
@@ -51,16 +54,24 @@ ASIDE_ROLES = frozenset(
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Words of class and id that say a part isn't the article.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox banner banners sponsor sponsored sponsors promo"
-    " promos promotion sidebar sidebars rail widget widgets cookie cookies consent gdpr notice notices popup modal"
-    " overlay newsletter subscribe subscription signup paywall comment comments disqus reply replies respond share"
-    " sharing social related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation"
-    " footer masthead pagination pager toolbar skip login toc".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adunit banner banners sponsor sponsored sponsors"
+    " promo promos promotion promotions sidebar sidebars sidenav topnav subnav mainnav cookie cookies cookiebar consent gdpr popup modal"
+    " newsletter signup paywall comment comments commentlist disqus replies respond breadcrumb breadcrumbs nav navbar navigation footer"
+    " masthead pagination pager toolbar login".split()
 )
-#: The same where they are the whole of a class or id, or its end after "site", "page" or "top".
+#: Words that may say so.
+DOUBTFUL_WORDS = frozenset(
+    "notice notices overlay rail related recommended recommendations reply share sharing skip social subscribe subscription menu menus toc widget"
+    " widgets".split()
+)
+#: Words that say where or of what kind a part is; a name of these and aside words alone is that of an aside.
+PLACE_WORDS = frozenset(
+    "area article articles bar block blog body bottom box btn button buttons col column container content entry form global group icon icons inner"
+    " item items left link links list main message module outer page panel post posts reader right section site slot story text title top unit user"
+    " wrap wrapper".split()
+)
+#: The whole of a class or id that names the page's header.
 HEADERS = frozenset({"header", "siteheader", "pageheader", "topbar", "topheader", "globalheader"})
-#: Names with these words tell of a layout, not of the part itself.
-AROUND = frozenset("has with without no is wrapper container layout open grid row col".split())
 MAIN_WORDS = re.compile(
     r"^(?:(?:post|article|entry|story|main|page)[-_]?(?:content|body|text)|articlebody|content|article|post|entry|story|main)$", re.I
 )
@@ -68,62 +79,115 @@ MAIN_WORDS = re.compile(
 SIGMA = 1.0
 #: Lines count as content from this share of the ratios' mean, or of their deviation if smaller.
 SHARE = 0.5
+#: What names weigh: none for asides, and these for doubtful names and for what is called article or main.
+DOUBTFUL, MAIN = 0.2, 2.0
+#: Lines between two clusters that are still one, at most.
+GAP = 2
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     """A block's text and what the ratio needs."""
 
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0
-    mains: tuple[int, ...] = ()
-    holders: tuple[int, ...] = ()
+    node: int = 0
     text: str = ""
 
 
+@dataclass(slots=True)
+class Node:
+    """An element that is or could be a part of its own: its place in the tree, and what it says. -1 is no element."""
+
+    tag: str
+    up: int = -1
+    aside: bool = False
+    main: bool = False  # it, or an element around it
+    named: int = -1  # the innermost element called article or main
+    doubtful: int = -1  # the innermost element of a doubtful name
+    holder: int = -1  # the innermost form, fieldset or menu
+    blocks: bool = False
+
+
 class PageLines(HTMLParser):
-    """Lines of a page in order, without those in parts that aren't the article."""
+    """Lines of a page in order, with the tree of elements that they stand in. Every step takes constant time over the whole page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, int, int]] = []  # name, silent, aside, main's and holder's number or 0
-        self.silent = self.aside = self.links = self.mains = self.holders = 0
-        self.articles: set[int] = set()
+        self.nodes = [Node("")]
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.places: dict[str, list[int]] = {}  # of each name, its places in open
+        self.scopes: list[int] = []
+        self.silent = self.links = 0
         self.line = Line()
+        self.no_end: set[str] = set()
+
+    def read(self, html: str) -> list[Line]:
+        self.last = html.rfind(">")
+        self.feed(html)
+        self.close()
+        self._cut()
+        return self.lines
+
+    # What is cut off by the page's end, or only looks like a declaration, is skipped.
+
+    def _to(self, mark: str, i: int) -> int:
+        at = -1 if mark in self.no_end else self.rawdata.find(mark, i)
+        if at < 0:
+            self.no_end.add(mark)
+            return -1
+        return at + len(mark)
+
+    def parse_starttag(self, i: int) -> int:
+        return len(self.rawdata) if i > self.last else super().parse_starttag(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return len(self.rawdata) if i > self.last else super().parse_endtag(i)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.rawdata.startswith((">", "->"), i + 4):  # an empty comment
+            return self.rawdata.index(">", i) + 1
+        at = self._to("-->", i + 4)
+        return at if at >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return len(self.rawdata) if i > self.last else self.rawdata.index(">", i) + 1
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![CDATA[", i) and (at := self._to("]]>", i)) >= 0:
+            return at
+        return self.parse_pi(i)
 
     def _cut(self) -> None:
         line = self.line
         line.text = " ".join("".join(line.parts).split())
         if line.text:
-            line.mains = tuple(x[3] for x in self.open if x[3])
-            line.holders = tuple(x[4] for x in self.open if x[4])
             self.lines.append(line)
             self.line = Line()
         else:
             self.line = Line(tags=line.tags)  # tags without text weigh on what follows
 
-    def _names(self, attrs: dict[str, str | None]) -> tuple[bool, bool]:
-        """Whether an element's attributes say aside, or main."""
+    def _named(self, attrs: dict[str, str | None]) -> tuple[bool, bool, bool]:
+        """Whether an element's attributes say aside, main, or perhaps aside."""
         role = (attrs.get("role") or "").lower()
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True, False
+            return True, False, False
         style = (attrs.get("style") or "").lower().replace(" ", "")
         if "display:none" in style or "visibility:hidden" in style:
-            return True, False
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()
-        aside = role in ASIDE_ROLES
+            return True, False, False
+        aside, doubtful = role in ASIDE_ROLES, False
         main = role in MAIN_ROLES or "articlebody" in (attrs.get("itemprop") or "").lower()
-        for name in names:
-            words = {w.lower() for w in _WORDS.findall(name)}
-            if words & AROUND:
-                continue
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            words = {w for w in map(str.lower, _WORDS.findall(name)) if not w.isdigit()} - PLACE_WORDS
             if MAIN_WORDS.match(name):
                 main = True
-            elif words & ASIDE_WORDS or name.lower().replace("-", "").replace("_", "") in HEADERS:
+            elif words and words <= ASIDE_WORDS or name.lower().replace("-", "").replace("_", "") in HEADERS:
                 aside = True
-        return aside and not main, main
+            elif words and words <= ASIDE_WORDS | DOUBTFUL_WORDS:
+                doubtful = True
+        return aside and not main, main, doubtful and not main
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -131,51 +195,58 @@ class PageLines(HTMLParser):
         if tag in CLOSES:
             self._close_open(CLOSES[tag])
         if tag in BLOCKS:
-            if tag != "p" and self.open and self.open[-1][0] == "p" or tag == "p":
-                self._close_open(frozenset({"p"}))
+            if self.open[-1][0] == "p" or tag == "p":
+                self._close_open(("p",))
             self._cut()
+            self.nodes[self.open[-1][1]].blocks = True
         self.line.tags += 1
         if tag in VOID:
             return
-        silent, aside, main = tag in SILENT, tag in ASIDE, False
+        up = self.open[-1][1]
+        around = self.nodes[up]
+        aside, main, doubtful = tag in ASIDE, False, False
         if tag == "header":
-            aside = not any(x[3] for x in self.open)  # of the page, not of an article
-        if not silent and tag not in ("html", "body"):
-            named, main = self._names(dict(attrs)) if attrs else (False, False)
+            aside = not around.main  # of the page, not of an article
+        if attrs and tag not in SILENT and tag not in ("html", "body"):
+            named, main, doubtful = self._named(dict(attrs))
             aside = aside or named
-            main = (main or tag in ("article", "main")) and not aside
-        number = 0
-        if main and not self.aside:
-            self.mains += 1
-            number = self.mains
-            if tag == "article":
-                self.articles.add(number)
-        holder = 0
-        if tag in HOLDERS and not aside:
-            self.holders += 1
-            holder = self.holders
-        self.open.append((tag, silent, aside, number, holder))
-        self.silent += silent
-        self.aside += aside
+        main = (main or tag in ("article", "main")) and not aside
+        here = up
+        if aside or main or doubtful or tag in BOXES or tag in HOLDERS:
+            here = len(self.nodes)
+            self.nodes.append(
+                Node(
+                    tag, up, aside or around.aside, main or around.main, here if main else around.named,
+                    here if doubtful else around.doubtful, here if tag in HOLDERS else around.holder,
+                )
+            )
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, here))
+        self.silent += tag in SILENT
         self.links += tag == "a"
 
-    def _close_open(self, names: frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                self._pop(i)
-                return
-            if self.open[i][0] in SCOPES:
-                return
+    def _last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of the names; 0 without one."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def _close_open(self, names: tuple[str, ...]) -> None:
+        place = self._last(names)
+        if place > (self.scopes[-1] if self.scopes else 0):
+            self._pop(place)
 
     def _pop(self, place: int) -> None:
         """Close the element at a place, and all that is open within."""
-        if any(x[0] in BLOCKS for x in self.open[place:]):
+        if any(tag in BLOCKS for tag, _ in self.open[place:]):
             self._cut()
-        for tag, silent, aside, *_ in self.open[place:]:
-            self.silent -= silent
-            self.aside -= aside
+        for tag, _ in self.open[place:]:
+            self.places[tag].pop()
+            self.silent -= tag in SILENT
             self.links -= tag == "a"
         del self.open[place:]
+        while self.scopes and self.scopes[-1] >= place:
+            self.scopes.pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -186,84 +257,125 @@ class PageLines(HTMLParser):
         self.line.tags += 1
         if tag in VOID:
             return
-        inline = tag not in BLOCKS
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
-            if inline and self.open[i][0] in SCOPES:  # a stray end doesn't close the block it stands in
-                return
-        if tag == "p":
+        place = self._last((tag,))
+        if place:
+            # a stray end doesn't close the block it stands in
+            if tag in BLOCKS or place > (self.scopes[-1] if self.scopes else 0):
+                self._pop(place)
+        elif tag == "p":
             self._cut()
 
     def handle_data(self, data: str) -> None:
-        if self.silent or self.aside:
+        if self.silent:
             return
         self.line.parts.append(data)
-        if self.links:
-            self.line.linked += len(data)
-
-
-def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian smoothing; at the ends the weights that are there count alone."""
-    radius = max(1, round(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    return np.convolve(values, kernel, "full")[radius : radius + len(values)] / (
-        np.convolve(np.ones(len(values)), kernel, "full")[radius : radius + len(values)]
-    )
-
-
-def content_lines(lines: list[Line], sigma: float = SIGMA, share: float = SHARE) -> np.ndarray:
-    """Whether each line is in a content region."""
-    if not lines:
-        return np.zeros(0, bool)
-    ratio = np.array([max(0, len(x.text) - 2 * x.linked) / max(1, x.tags) for x in lines], float)
-    smoothed = smooth(ratio, sigma)
+        if data.strip():
+            self.line.node = self.open[-1][1]
+            if self.links:
+                self.line.linked += len(data)
+
+
+def smooth(values: np.ndarray, part: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing of each value with those of its own part that stand near; the weights that are there count alone."""
+    total, whole = values.copy(), np.ones(len(values))
+    for by in range(1, max(1, round(3 * sigma)) + 1):
+        k = np.exp(-0.5 * (by / sigma) ** 2)
+        same = part[by:] == part[:-by]
+        total[by:] += k * same * values[:-by]
+        total[:-by] += k * same * values[by:]
+        whole[by:] += k * same
+        whole[:-by] += k * same
+    return total / whole
+
+
+def weights(lines: list[Line], nodes: list[Node]) -> np.ndarray:
+    """What each line's names weigh. A form, fieldset or menu weighs nothing unless it holds most of the unlinked text that weighs."""
+    own = [0.0 if n.aside else DOUBTFUL if n.doubtful > n.named else MAIN if n.main else 1.0 for n in nodes]
+    held = [0] * len(nodes)
+    for x in lines:
+        held[x.node] += max(0, len(x.text) - x.linked) if own[x.node] else 0
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].up] += held[i]
+    for i, n in enumerate(nodes[1:], 1):
+        if n.holder == i and held[i] * 2 <= held[0] or n.holder >= 0 and not own[n.holder]:
+            own[i] = 0.0
+    return np.array([own[x.node] for x in lines])
+
+
+def content_lines(lines: list[Line], nodes: list[Node], weight: np.ndarray, sigma: float = SIGMA, share: float = SHARE) -> np.ndarray:
+    """Whether each line's smoothed ratio, as weighted by names, is over the threshold."""
+    out = np.zeros(len(lines), bool)
+    on = np.flatnonzero(weight)
+    if not len(on):
+        return out
+    ratio = np.array([weight[i] * max(0, len(lines[i].text) - 2 * lines[i].linked) / max(1, lines[i].tags) for i in on])
+    smoothed = smooth(ratio, np.array([nodes[lines[i].node].doubtful for i in on]), sigma)
     threshold = min(share * smoothed.mean(), smoothed.std() or np.inf)
-    return (smoothed >= threshold) & (smoothed > 0)
+    out[on] = (smoothed >= threshold) & (smoothed > 0)
+    return out
 
 
-def without_holders(lines: list[Line]) -> list[Line]:
-    """lines but for those in a form, fieldset or menu that isn't most of the page's unlinked text."""
-    held: dict[int, int] = {}
-    for line in lines:
-        for h in line.holders:
-            held[h] = held.get(h, 0) + max(0, len(line.text) - line.linked)
-    whole = sum(max(0, len(x.text) - x.linked) for x in lines)
-    return [x for x in lines if all(held[h] * 2 > whole for h in x.holders)]
+def regions(lines: list[Line], nodes: list[Node], weight: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Whether each line is in a region: it is content, or belongs to content by place.
+
+    A line belongs to content if it stands in an article or main part with most of the
+    content, directly in a box that has content of its own, or between two content lines that
+    are at most GAP lines apart. Lines that weigh nothing never belong, and lines of a part with
+    a doubtful name belong to content of that part alone.
+    """
+    mass, boxed = [0] * len(nodes), [False] * len(nodes)
+    box = [0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        box[i] = i if n.tag in BOXES and n.blocks else box[n.up]
+    for x, c in zip(lines, content, strict=True):
+        if c:
+            mass[x.node] += len(x.text)
+            boxed[box[x.node]] = True
+    for i in range(len(nodes) - 1, 0, -1):
+        mass[nodes[i].up] += mass[i]
+    meant = [False] * len(nodes)
+    for kinds in (("article",), None):  # what the page calls article goes before what it calls main
+        within, top = [False] * len(nodes), 0
+        for i, n in enumerate(nodes[1:], 1):
+            part = n.named == i and mass[i] > 0 and (kinds is None or n.tag in kinds)
+            within[i] = within[n.up] or part
+            top += mass[i] if part and not within[n.up] else 0
+        if top and top * 2 >= mass[0]:
+            meant = within
+            break
+    out = content.copy()
+    last, since = -1, 0
+    for i, x in enumerate(lines):
+        n = nodes[x.node]
+        if content[i]:
+            if last >= 0 and 0 < since <= GAP:
+                for j in range(last + 1, i):
+                    out[j] = out[j] or weight[j] > 0 and nodes[lines[j].node].doubtful == n.doubtful == nodes[lines[last].node].doubtful
+            last, since = i, 0
+        elif weight[i]:
+            since += 1
+            own = n.doubtful < 0 or mass[n.doubtful] > 0
+            out[i] = out[i] or own and (meant[x.node] or boxed[box[x.node]])
+    return out
 
 
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, joined by an empty line."""
     page = PageLines()
-    page.feed(html or "")
-    page.close()
-    page._cut()
-    lines = without_holders(page.lines)
-    inside = content_lines(lines)
-    weight: dict[int, int] = {}
-    for line, content in zip(lines, inside, strict=True):
-        if content:
-            for m in line.mains:
-                weight[m] = weight.get(m, 0) + len(line.text)
-    whole = sum(len(x.text) for x, c in zip(lines, inside, strict=True) if c)
-    articles = [next((m for m in x.mains if m in page.articles), 0) for x in lines]
-    outer = [x.mains[0] if x.mains else 0 for x in lines]
-    for part in (articles, outer):  # what the page calls article goes before what it calls main
-        meant = {m for m in part if m and weight.get(m, 0)}
-        if meant and sum(weight[m] for m in meant) * 2 >= whole:
-            return "\n\n".join(x.text for x, m, c in zip(lines, part, inside, strict=True) if m in meant or c and not x.mains)
-    if any(outer) and not whole:
-        return "\n\n".join(x.text for x, m in zip(lines, outer, strict=True) if m)
-    return "\n\n".join(x.text for x, c in zip(lines, inside, strict=True) if c)
+    lines = page.read(html or "")
+    weight = weights(lines, page.nodes)
+    kept = regions(lines, page.nodes, weight, content_lines(lines, page.nodes, weight))
+    return "\n\n".join(x.text for x, k in zip(lines, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """pages with the main text (empty if none) and its number of code points; all rows and columns stay.
 
     Null and empty pages have an empty text. Broken markup is read as far as the parser makes
-    sense of it. Columns of the results' names are replaced. Each page is read by itself, so
-    repeated rows come out alike, and an empty table gives none.
+    sense of it; what the page's end cuts off is skipped. Time grows with the page's length,
+    whatever its nesting. Lines whose ratios tie at the threshold are content. Columns of the
+    results' names are replaced. Each page is read by itself, so repeated rows come out alike,
+    and an empty table gives none.
     """
 
     @F.pandas_udf("string")
