@@ -1,9 +1,9 @@
 """Token counts of a document's sections by offset-mapped attribution.
 
 A document is encoded once, as a whole, so that counts are those of the text that a model
-reads. Each token has a span of characters; each section too. The spans are joined as
-intervals, and a token that several sections overlap goes to the one that holds most of its
-characters, the first of equal ones.
+reads. Each token has a span of characters, from the lengths of the tokens before it; each
+section too. The spans are joined as intervals, and a token that several sections overlap goes
+to the one that holds most of its characters, the first of equal ones.
 """
 
 from __future__ import annotations

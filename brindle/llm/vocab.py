@@ -1,18 +1,17 @@
 """Byte-level BPE by a public vocabulary, with a memory of words.
 
 BPE never merges across the pieces that its pattern cuts, and that pattern always cuts before
-a space that doesn't stand between other white space. A text without such spaces is thus
-encoded word by word, and each word (with the space before it) is looked up before it is
-encoded. Texts with runs of spaces are encoded whole.
+a space that doesn't stand between other white space. Where only ids are asked for, a text
+without such spaces is thus encoded word by word, and each word (with the space before it) is
+looked up before it is encoded. Texts with runs of spaces are encoded whole, and so is any text
+whose tokens' places are asked for.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from array import array
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 
@@ -24,6 +23,8 @@ WORDS, LONGEST = 200_000, 64
 CONTROL, CONTROL_ID = "<|endoftext|>", 50256
 
 _AMONG_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: White space as the pattern has it, in runs that its matcher can't go back over.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def by_words(text: str) -> bool:
@@ -68,10 +69,28 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids = _Words(self._encode)
-        self._spans = _Words(self._encode_spans)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.lengths[list(ranks.values())] = [len(token) for token in ranks]
+
+    def _tokens(self, text: str) -> list[int]:
+        """The ids of a whole text.
+
+        The pattern takes a run of white space before a word as a piece without its last
+        character; long runs are cut there beforehand.
+        """
+        run = _LONG_SPACE.search(text)
+        if run is None:
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        while run is not None:
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.bpe.encode_ordinary(text[at : run.start()])
+            out += self.bpe._core_bpe.encode_single_piece(text[run.start() : end].encode())
+            at, run = end, _LONG_SPACE.search(text, run.end())
+        return out + self.bpe.encode_ordinary(text[at:])
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self._tokens(text), "<u4").tobytes()
 
     def ids(self, text: str, control: bool = False) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; CONTROL is one id if control, ordinary text if not."""
@@ -85,36 +104,19 @@ class Encoder:
     def decode(self, ids: bytes) -> str:
         return self.bpe.decode(np.frombuffer(ids, "<u4").tolist())
 
-    def _encode_spans(self, text: str) -> tuple[bytes, int, int]:
-        """(start, end) of each token in characters, their number, and the text's length.
+    def spans(self, text: str) -> np.ndarray:
+        """(tokens, 2): first character of each token of the whole text, and the one after its last.
 
         A token of part of a character spans that whole character.
         """
-        ids = self.bpe.encode_ordinary(text)
-        if len(text) <= 2 * LONGEST:  # as below, faster for words
-            ends = list(accumulate(map(len, self.bpe.decode_tokens_bytes(ids))))
-            starts = [0, *ends[:-1]] if ids else []
-            if not text.isascii():
-                char = [i for i, c in enumerate(text) for _ in c.encode()]
-                starts, ends = [char[s] for s in starts], [char[e - 1] + 1 for e in ends]
-            return array("q", chain.from_iterable(zip(starts, ends, strict=True))).tobytes(), len(ids), len(text)
-        ends = np.cumsum([len(x) for x in self.bpe.decode_tokens_bytes(ids)], dtype=np.int64)
-        starts = np.r_[0, ends[:-1]] if len(ids) else ends
+        ids = np.array(self._tokens(text), np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
         if not text.isascii():
-            lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+            lead = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
             char = np.cumsum(lead) - 1  # of each byte
             starts, ends = char[starts], char[ends - 1] + 1
-        return np.stack([starts, ends], 1).astype("<i8").tobytes(), len(ids), len(text)
-
-    def spans(self, text: str) -> np.ndarray:
-        """(tokens, 2): first character of each token, and the one after its last."""
-        if not by_words(text):
-            return np.frombuffer(self._encode_spans(text)[0], "<i8").reshape(-1, 2)
-        first, *rest = text.split(" ")
-        parts = [self._encode_spans(first), *map(self._spans.__getitem__, rest)]
-        within = np.frombuffer(b"".join([p[0] for p in parts]), "<i8").reshape(-1, 2)
-        lengths = np.array([p[2] for p in parts])
-        return within + np.repeat(np.cumsum(lengths) - lengths, [p[1] for p in parts])[:, None]
+        return np.stack([starts, ends], 1)
 
 
 @lru_cache(maxsize=2)

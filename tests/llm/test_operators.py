@@ -189,6 +189,39 @@ def test_tokens(docs):
         assert "".join(text[i][s : s + n] for s, n in zip(g.start, g.length)) == text[i]
 
 
+def slow_counts(text, own):
+    """(tokens, shared tokens) of each line by a loop over the tokens' offsets, as the vocabulary's own reader gives them, and all lines."""
+    cuts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)), len(text)]
+    spans = list(zip(cuts, cuts[1:]))
+    n, shared = [0] * len(spans), [0] * len(spans)
+    for a, b in own.encode(text, add_special_tokens=False).offsets:
+        held = [max(0, min(b, e) - max(a, s)) for s, e in spans]
+        best = held.index(max(held))
+        n[best] += 1
+        shared[best] += sum(h > 0 for h in held) > 1
+    return n, shared
+
+
+def test_token_counts_against_brute_force(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    odd_texts = ["a\n\n\nb  \n  c", "é\n字字\r\n\n x", "\n", "<|endoftext|>\nx", "  \n\n  \n", "\U0001f600\n\U0001f600 don't\n", "x" * 5000 + "\n\n" + "y z" * 900]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd_texts)], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in frame.collect() if len(r.text) < 20_000}
+    got = tokens.count_tokens(frame).toPandas()
+    crossing = 0
+    for i, g in got.groupby("doc_id"):
+        if i in text:
+            g = g.sort_values("section")
+            n, shared = slow_counts(text[i], own)
+            crossing += sum(shared)
+            assert (g.n_tokens.tolist(), g.shared_tokens.tolist()) == (n, shared)
+    assert crossing > 2
+
+
 def test_token_attribution_rule():
     spans = np.array([[0, 3], [3, 5], [4, 8]])
     assert tokens.attribute(spans, np.array([0, 4]), 8).tolist() == [0, 0, 1]
@@ -366,6 +399,20 @@ def test_ids_are_those_of_the_vocabulary():
     same()
 
 
+def test_long_runs_of_one_character():
+    """Neither runs of white space nor of anything else are too long for the pattern's matcher."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), vocab.encoder()
+    for text in ("x" + " " * 5000 + "y", "\n" * 3000, "a" + "\u3000" * 2000 + "\nb", "\t" * 1500 + "z" + " " * 1000 + "\n" * 1000, "a" * 5000, "é" * 3000 + "!?" * 2000):
+        want = own.encode(text, add_special_tokens=False)
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == want.ids
+        assert enc.spans(text).tolist() == [list(o) for o in want.offsets]
+    for c in " \n\u3000aé!":
+        assert enc.decode(enc.ids(c * 1_000_000)) == c * 1_000_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 937, 938, 4000, 100_000])
 def test_audio_round_trip(n):
     payload = (np.random.default_rng(n).bytes(n) + b"\xff\xfb\x90\x44" * 3)[: max(n, 1)]
