@@ -1,8 +1,9 @@
 """MPEG audio as a media column: writing frames that carry bytes, and reading any stream of frames.
 
 The reader looks for frame headers again after anything it can't follow, reads ID3 tags and
-the Xing/Info and VBRI tables, checks the frames' CRC-16 and the CRC-32 that the writer leaves
-in its tag, and gives exact durations (as samples and sampling rate) and every frame's offset.
+the Xing/Info and VBRI tables, checks the CRC-16 of protected frames of all layers and the
+CRC-32 that the writer leaves in its tag, and gives exact durations (as samples and sampling
+rate) and every frame's offset.
 The writer stores bytes as they are in the main data of MPEG-1 Layer III frames at 48 kHz,
 where a frame of b kbit/s has exactly 3 b bytes; the last frames take smaller bit rates, so
 that the stream has a variable bit rate.
@@ -35,6 +36,10 @@ RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000,
 #: What two bits say of version and layer; None is reserved.
 VERSIONS = (25, None, 2, 1)
 LAYERS = (None, 3, 2, 1)
+#: Bits of allocation of each subband of Layer II, as (subbands, bits) in order: the four tables of version 1, then that of 2.
+ALLOCATION = (
+    ((11, 4), (12, 3), (4, 2)), ((11, 4), (12, 3), (7, 2)), ((2, 4), (6, 3)), ((2, 4), (10, 3)), ((4, 4), (7, 3), (19, 2)),
+)
 
 
 @dataclass(frozen=True)
@@ -84,16 +89,62 @@ def read_header(four: bytes) -> Header | None:
 
 
 @lru_cache(maxsize=65536)
-def crc16(data: bytes) -> int:
-    """The frames' checksum: polynomial 0x8005, from all ones, high bit first. Frames of a kind share it."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of data's first bits (all of them by default): polynomial 0x8005, from all ones, high bit first. Frames of a kind share it."""
     value = 0xFFFF
-    for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+    for at in range(8 * len(data) if bits is None else bits):
+        one = data[at >> 3] >> (7 - (at & 7)) & 1
+        value = (value << 1 ^ 0x8005 if (value >> 15) ^ one else value << 1) & 0xFFFF
     return value
 
 
+def _subbands(h: Header) -> list[int]:
+    """Bits of allocation of each subband of a Layer II frame; the table goes by version, rate and bit rate of a channel."""
+    each = h.bitrate // (1 if h.mono else 2)
+    if h.version != 1:
+        table = 4
+    elif 56 <= each <= 80 or each >= 56 and h.rate == 48000:
+        table = 0
+    elif each >= 96:
+        table = 1
+    else:
+        table = 3 if h.rate == 32000 else 2
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def checked_bits(frame: bytes, h: Header) -> int | None:
+    """How many bits after the checksum it covers, besides the header's last 16; None if the frame is too short for them.
+
+    In Layer III that is the side information, in Layer I the allocation, in Layer II the
+    allocation and two bits of scale factor selection for each allocated subband.
+    """
+    if h.layer == 3:
+        return 8 * h.side
+    widths = [4] * 32 if h.layer == 1 else _subbands(h)
+    bound = len(widths) if h.mono or h.mode != 1 else min(len(widths), 4 * (h.mode_extension + 1))
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * (bound * channels + len(widths) - bound)
+    whole, at, chosen = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6), 0
+    used = 0
+    for sub, width in enumerate(widths):
+        for _ in range(channels if sub < bound else 1):
+            used += width
+            if used > at:
+                return None
+            if whole >> (at - used) & ((1 << width) - 1):
+                chosen += 1 if sub < bound else channels
+    return used + 2 * chosen if used + 2 * chosen <= at else None
+
+
+def sound(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame's checksum holds."""
+    bits = checked_bits(frame[: 6 + 64], h) if h.layer == 2 else checked_bits(frame, h)
+    if bits is None or 6 + bits / 8 > len(frame):
+        return False
+    return crc16(frame[2:4] + frame[6 : 6 + (bits + 7) // 8], 16 + bits) == int.from_bytes(frame[4:6], "big")
+
+
 def _syncsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
@@ -170,38 +221,76 @@ class Scan:
         return self.offsets[-1] if self.offsets else 0
 
 
+def _kind(h: Header) -> tuple[int, int, int]:
+    return h.version, h.layer, h.rate
+
+
+def _follows(data: bytes, at: int, end: int, known: tuple[int, int, int] | None) -> bool:
+    """Whether the header at a place, found without one before it, can be trusted.
+
+    Its frame must be all there, and the stream's end or a header of the same kind must follow.
+    Where it is of another kind than the stream so far, that holds for the next frame too.
+    """
+    first = read_header(data[at : at + 4])
+    for _ in range(1 if known is None or first is not None and _kind(first) == known else 2):
+        here = read_header(data[at : at + 4])
+        if here is None or here.size < 4 or _kind(here) != _kind(first) or at + here.size > end:
+            return False
+        at += here.size
+        if at == end:
+            return True
+    after = read_header(data[at : at + 4]) if at + 4 <= end else None
+    return after is not None and _kind(after) == _kind(first)
+
+
+def _trusted(data: bytes, at: int, stop: int, end: int, known: tuple[int, int, int] | None) -> int:
+    """The first place from at and before stop whose header can be trusted, or -1."""
+    while (at := data.find(b"\xff", at, stop)) >= 0 and not _follows(data, at, end, known):
+        at += 1
+    return at
+
+
 def scan(data: bytes) -> Scan:
-    """Read a stream. A header counts if the next frame's, the stream's end or a closing tag follows it.
+    """Read a stream. A first header, and one after bytes that are no frame, counts if what follows it says so too.
 
-    After bytes that are no frame the next header is looked for; skipped and resyncs tell how
-    many bytes and times. A last frame that isn't all there counts as cut.
+    Frames that follow each other without a gap are of one kind (version, layer and rate). A
+    header in step whose frame isn't followed by another gives way to one within that frame
+    that is. After anything else the next header is looked for; skipped and resyncs tell how
+    many bytes and times. A last frame in step that isn't all there counts as cut.
     """
     out = Scan()
     at, out.tags = read_id3(data)
     end = len(data)
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end, out.id3v1 = end - 128, True
-    lost, first = False, True
+    lost, first, in_step = False, True, False
+    known: tuple[int, int, int] | None = None
     while at + 4 <= end:
         header = read_header(data[at : at + 4])
-        after = at + header.size if header else 0
-        if header and lost and after + 4 <= end and read_header(data[after : after + 4]) is None:
-            header = None
+        nxt = -1
         if header is None or header.size < 4:
-            nxt = data.find(b"\xff", at + 1, end)
+            header = None
+        elif in_step and _kind(header) == known:
+            if not _follows(data, at, end, known):
+                nxt = _trusted(data, at + 1, min(at + header.size, end), end, known)
+                header = header if nxt < 0 else None
+        elif not _follows(data, at, end, known):
+            header = None
+        if header is None:
+            nxt = nxt if nxt >= 0 else data.find(b"\xff", at + 1, end)
             nxt = nxt if nxt >= 0 else end
             out.resyncs += not lost
             out.skipped += nxt - at
-            at, lost = nxt, True
+            at, lost, in_step = nxt, True, False
             continue
+        after = at + header.size
         if after > end:
-            out.cut = end - at
             break
-        lost = False
-        if header.protected and header.layer == 3:
-            stored = int.from_bytes(data[at + 4 : at + 6], "big")
-            out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + header.side]) != stored
-        table = read_vbr(data[at:after], header) if first else None
+        lost, in_step, known = False, True, _kind(header)
+        frame = data[at:after]
+        if header.protected:
+            out.bad_crc += not sound(frame, header)
+        table = read_vbr(frame, header) if first else None
         if table:
             out.vbr = table
         else:
@@ -209,6 +298,8 @@ def scan(data: bytes) -> Scan:
             out.offsets.append(at)
         first = False
         at = after
+    out.cut = end - at if in_step else 0
+    out.skipped += 0 if in_step else end - at
     return out
 
 
@@ -299,7 +390,7 @@ SCAN_SCHEMA = (
 
 
 def scan_media(docs: DataFrame, media_col: str = "media", out_col: str = "audio") -> DataFrame:
-    """docs with a struct of what the reader finds in media_col; null media give null.
+    """docs with a struct of what the reader finds in media_col; null media give null. A column of that name is replaced.
 
     Streams that add_media didn't write, or that are damaged, have no payload and intact false;
     their frames and durations are given as far as they can be followed.
@@ -328,4 +419,4 @@ def scan_media(docs: DataFrame, media_col: str = "media", out_col: str = "audio"
                 )
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return docs.withColumn(out_col, scanned(F.col(media_col)))
+    return docs.withColumn(out_col, F.when(F.col(media_col).isNotNull(), scanned(F.col(media_col))))

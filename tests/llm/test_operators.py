@@ -434,6 +434,64 @@ def test_audio_damage():
     assert audio.scan(b"").duration == 0 and audio.scan(data[:-10]).cut > 0
 
 
+def frame_of(version, layer, index, rate, mode=3, body=b"", protected=True):
+    """A frame with its header's bits as given; the checksum is put in by the caller."""
+    v, y = {1: 3, 2: 2, 25: 0}[version], {1: 3, 2: 2, 3: 1}[layer]
+    head = bytes((0xFF, 0xE0 | v << 3 | y << 1 | (not protected), index << 4 | rate << 2, mode << 6))
+    size = audio.read_header(head).size
+    return head + ((b"\0\0" if protected else b"") + body).ljust(size - 4, b"\x55")[: size - 4]
+
+
+def test_audio_false_header_while_lost():
+    """Junk that looks like a header costs no frame, whatever length it claims."""
+    frames = [frame_of(1, 3, 1, 1, protected=False) for _ in range(4)]
+    false = bytes((0xFF, 0xFB, 14 << 4 | 1 << 2, 3 << 6)) + b"\0\0"
+    for place in range(5):
+        data = b"".join(frames[:place]) + false + b"".join(frames[place:])
+        found = audio.scan(data)
+        assert (len(found.headers), found.skipped, found.cut) == ((4, 6, 0) if place < 4 else (4, 0, 6)), place
+    other = frame_of(2, 3, 8, 0, protected=False)  # of another kind, once: not the stream's
+    found = audio.scan(frames[0] * 2 + other + frames[0] * 3)
+    assert len(found.headers) == 5 and found.skipped == len(other)
+    found = audio.scan(frames[0] * 2 + other * 3 + frames[0] * 3)  # a stream that does change
+    assert len(found.headers) == 8 and found.skipped == 0
+
+
+def slow_crc(bits):
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 ^ (0x8005 if (value >> 15 & 1) != b else 0)) & 0xFFFF
+    return value
+
+
+@pytest.mark.parametrize(
+    ("version", "layer", "index", "rate", "mode", "covered"),
+    [
+        (1, 1, 8, 0, 3, 128), (1, 1, 8, 0, 0, 256), (1, 1, 8, 0, 1, 4 * (4 * 2 + 28)), (2, 1, 8, 0, 3, 128),
+        # Layer II, all subbands allocated: of one channel, 27 subbands of 88 bits, or 30 of 94; of 8 and 12 of few bits
+        (1, 2, 4, 1, 3, 88 + 54), (1, 2, 10, 0, 3, 94 + 60), (1, 2, 1, 0, 3, 26 + 16), (1, 2, 1, 2, 3, 38 + 24), (2, 2, 8, 0, 3, 75 + 60), (1, 2, 10, 1, 0, 2 * (88 + 54)),
+        (1, 3, 9, 0, 3, 17 * 8), (2, 3, 9, 0, 0, 17 * 8),
+    ],
+)
+def test_audio_checksums_of_all_layers(version, layer, index, rate, mode, covered):
+    frame = bytearray(frame_of(version, layer, index, rate, mode, b"\xff" * 60))
+    bits = [int(b) for b in "".join(f"{x:08b}" for x in frame[2:4] + frame[6:])][: 16 + covered]
+    frame[4:6] = slow_crc(bits).to_bytes(2, "big")
+    assert audio.scan(bytes(frame) * 3).bad_crc == 0
+    inside, outside = bytearray(frame), bytearray(frame)
+    inside[6 + 1] ^= 1 << 3
+    outside[6 + (covered + 7) // 8] ^= 1
+    assert audio.scan(bytes(frame) + bytes(inside) + bytes(frame)).bad_crc == 1
+    assert audio.scan(bytes(frame) + bytes(outside) + bytes(frame)).bad_crc == 0
+
+
+def test_audio_clashes_and_null_media(spark):
+    rows = spark.createDataFrame([(1, "a", bytearray(b"x"), "s"), (2, None, None, "t")], "doc_id long, text string, media binary, audio string")
+    heard = audio.scan_media(rows).orderBy("doc_id").collect()
+    assert heard[0].audio.payload is None and not heard[0].audio.intact and heard[0].audio.frames == 0 and heard[1].audio is None
+    assert [r.audio.intact for r in audio.scan_media(audio.add_media(rows)).collect()] == [True, True]
+
+
 def test_audio(docs, odd):
     for frame in (docs, odd):
         rows = audio.scan_media(audio.add_media(frame)).select("text", "audio.*").collect()
