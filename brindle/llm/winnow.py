@@ -172,8 +172,8 @@ def dedup_lines(
     text that repeats itself in overlapping runs, the first run stays whole. An empty table
     gives none. Helper columns have names that docs doesn't use.
     """
-    taken = set(docs.columns)
-    name = next(n for n in (f"_ranges{i}" for i in range(len(taken) + 1)) if n not in taken)
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"_ranges{i}" for i in range(len(taken) + 1)) if not any(c.startswith(n) for c in taken))
     ranges = repeated_ranges(docs, id_col, text_col, min_words).select(
         F.col("doc").alias(f"{name}_d"), F.col("copy").alias(f"{name}_c"), F.col("ranges").alias(name)
     )
