@@ -2,9 +2,11 @@
 
 A source with weight w of the mixture should give w * total rows; with n rows of its own, each
 is repeated w * total / n times on average. Every row gets its own number of copies by
-inverting the Poisson distribution of that mean at a uniform number hashed from seed and id,
+inverting the Poisson distribution of that mean at a uniform number hashed from seed and row,
 so that a row's copies don't depend on what other rows there are, or on partitions. Copies
-are then dealt out over all partitions and ordered within them by a hash of seed, id and copy.
+are then dealt out over all partitions and ordered within them by a hash of seed, row and copy.
+A row's hash is over all of its columns, so that rows of one id (or of none) draw by themselves
+and aren't dealt to one partition.
 """
 
 from __future__ import annotations
@@ -62,7 +64,6 @@ def mix(
     other_weight: float = 0.0,
     total: float | None = None,
     seed: int = 17,
-    id_col: str = "doc_id",
     source_col: str = "source",
     extras: bool = True,
 ) -> DataFrame:
@@ -71,7 +72,8 @@ def mix(
     weights are relative; sources that aren't listed, and null ones, share other_weight.
     Weights of sources without rows are shared out among the rest. total is the number of rows
     aimed at, by default as many as docs has. Rows of weight zero, or whose draw is zero, have
-    no copies: that is the operation. Rows with the same id draw alike, null ids as one id.
+    no copies: that is the operation. Rows that are equal in all columns draw alike, and their
+    copies stand together; other rows, of one id or without one, draw by themselves.
     Columns that clash with the extras are replaced by them. An empty table gives none.
     """
     if any(w < 0 for w in (*weights.values(), other_weight)):
@@ -83,16 +85,14 @@ def mix(
     source = F.col(source_col).cast("string")
     listed = F.when(source.isin(list(weights)), source) if weights else F.lit(None).cast("string")
     rows = docs.join(F.broadcast(table), listed.eqNullSafe(F.col(tag + "bucket")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col(tag + "draws")),
-        F.lit(0),
-        lambda acc, j: acc + F.size(F.filter(tag + "sums", lambda c: c < uniform(F.lit(str(seed)), key, j.cast("string")))),
-    )
-    rows = rows.withColumn(tag + "n", drawn).where(F.col(tag + "n") > 0)
-    copies = rows.withColumn(tag + "copy", F.explode(F.sequence(F.lit(0), F.col(tag + "n") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col(tag + "copy").cast("string")))
-    copies = copies.withColumn(tag + "order", order)
+    key, n = F.col(tag + "key"), F.col(tag + "n")
+    rows = rows.withColumn(tag + "key", F.md5(F.concat_ws(":", *[F.col(f"`{c}`").cast("string") for c in docs.columns])))
+    numbers = F.transform(F.sequence(F.lit(1), F.col(tag + "draws")), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter(tag + "sums", lambda c: c < u)))
+    rows = rows.withColumn(tag + "n", drawn)
+    # outer, and filtered later: a filter on n would be pushed down, and every draw made twice
+    copies = rows.withColumn(tag + "copy", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1)))).where(F.col(tag + "copy").isNotNull())
+    copies = copies.withColumn(tag + "order", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col(tag + "copy").cast("string"))))
     copies = copies.repartition(F.col(tag + "order")).sortWithinPartitions(tag + "order")
     if not extras:
         return copies.select(*docs.columns)
@@ -126,7 +126,7 @@ with recursive weights as (
   select bucket, list(below order by k) as sums from steps group by bucket
 ), draws as (
   select t.sums,
-    (('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, 'null') || ':' || j), 1, 13))::bigint::double + 0.5) / {float(1 << 52)} as u,
+    (('0x' || substr(md5('17:' || md5(concat_ws(':', d.doc_id::varchar, d.text, d.lang, d.source, d.n_chars::varchar)) || ':' || j), 1, 13))::bigint::double + 0.5) / {float(1 << 52)} as u,
     d.row
   from docs d join parts p on d.bucket is not distinct from p.bucket
   join tables t on t.bucket is not distinct from d.bucket, unnest(range(1, p.draws + 1)) as r(j)

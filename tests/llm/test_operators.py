@@ -170,6 +170,29 @@ def test_mixing(spark, docs):
     assert sorted(map(str, again.collect())) == sorted(map(str, once.collect()))
 
 
+@pytest.fixture
+def all_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_mixing_rows_of_one_id(spark, all_partitions):
+    """A third of all rows without an id, and a third with one: they draw by themselves and go to all partitions."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id"))
+    rows = spark.range(6000).select(ids.alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    got = mixing.mix(rows, {"a": 1.0}, total=20_000)
+    assert abs(got.count() - 20_000) < 5 * 20_000**0.5
+    for one in ("doc_id is null", "doc_id = 7"):
+        sizes = [r["count"] for r in got.where(one).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        parts = got.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert len(sizes) == parts > 1 and max(sizes) < 1.5 * sum(sizes) / parts
+    copies = [r.copies for r in got.where("doc_id = 7").select("text", "copies").distinct().collect()]
+    assert len(set(copies)) > 4
+    twice = mixing.mix(rows.unionAll(rows), {"a": 1.0}, total=40_000).groupBy("text").agg(F.count("*").alias("n"), F.max("copies").alias("m")).collect()
+    assert all(r.n == 2 * r.m for r in twice)
+
+
 def test_mixing_odd(odd):
     clash = odd.withColumnRenamed("n", "copies").withColumnRenamed("score", "_m0_x")
     got = mixing.mix(clash, {"a": 1.0}, 1.0, total=40)
