@@ -72,13 +72,15 @@ def node_names(turns: list[tuple[str, str]]) -> list[bytes]:
 
 
 def gather(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv_id, turns): each conversation's roles and texts by turn; ties by role, then text."""
+    """(conv_id, turns): each conversation's roles and texts by turn; ties by role, then text. A row without conv_id stands alone."""
     one = F.struct(
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    return turns.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), one.alias("one"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    return whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("one").alias("turns")))
 
 
 def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,8 +189,8 @@ def prefix_tree(
     merged).
 
     Turns go by number; equal numbers by role and text, so repeated rows are turns of their own.
-    Null roles and texts are empty, null turns come first, and a null conv_id is a conversation
-    of its own. Other columns aren't looked at; an empty table gives empty results.
+    Null roles and texts are empty, null turns come first, and each row with a null conv_id is a
+    conversation of its own. Other columns aren't looked at; an empty table gives empty results.
     """
     named = gather(turns, conv_col, turn_col, role_col, text_col).mapInPandas(
         _named, "conv_id long, path array<binary>, turns array<struct<turn:long,role:string,text:string>>"

@@ -20,8 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the scorer is fitted on, at most about, of each class.
-SAMPLE = 1500
+#: Documents that the scorer is fitted on, about, of each class; MOST times that is the limit for both together.
+SAMPLE, MOST = 1500, 4
+#: With fewer documents of either class than this, there's nothing to learn and all are kept.
+LEAST = 5
 BUCKETS = 1 << 11
 #: Documents of a lower score go. It is low, as a lost good document costs more than a kept bad one.
 THRESHOLD = 0.2
@@ -205,12 +207,16 @@ _SHAPES = np.array(
 )
 
 
+#: The bias of a scorer that keeps everything.
+KEEP = 10.0
+
+
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250, penalty: float = 1e-4) -> np.ndarray:
     """Weights and bias of a logistic scorer for soft labels; classes weigh alike."""
     x, y = x.astype(np.float32), y.astype(np.float32)
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     if not len(y):
-        return np.r_[w, 10.0]  # nothing to learn from: all is kept
+        return np.r_[w, KEEP]
     good, bad = y.sum(), (1 - y).sum()
     weight = y / max(good, 1e-9) + (1 - y) / max(bad, 1e-9) if min(good, bad) > 1e-3 else np.ones(len(y))
     weight = weight / weight.sum()
@@ -229,15 +235,15 @@ class Model:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Count votes over all documents, and fit the scorer on about `sample` documents of each class.
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """Count votes over all documents, and fit the scorer on about `sample` distinct texts of each class, MOST * sample at most.
 
-    The sample is drawn by a hash of the id and text, so that it is the same on every run.
+    Texts are drawn by a hash of their own, so that the draw is the same on every run and copies
+    of a text are drawn as one. With fewer than LEAST documents that the labellers take for
+    good, or for bad, the scorer keeps everything.
     """
-    body = docs.select(
-        F.col(text_col).cast("string").alias("body"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(2)), F.lit(1 << 30)).alias("draw"),
-    )
+    text = F.col(text_col).cast("string")
+    body = docs.select(text.alias("body"), F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 30)).alias("draw"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -248,47 +254,53 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     patterns, counts = got["pattern"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     posterior = fit_label_model(patterns, counts, len(LABELLERS)) if len(got) else np.zeros(0)
     known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
-    if not len(got):
-        return Model(known, fit_scorer(np.zeros((0, BUCKETS)), np.zeros(0)))
     sure = (posterior > 0.5).astype(int)
     total = [counts[sure == c].sum() for c in (0, 1)]
-    limit = [int(min(1.0, sample / max(t, 1)) * (1 << 30)) for t in total]
+    if min(total) < LEAST:
+        return Model(known, fit_scorer(np.zeros((0, BUCKETS)), np.zeros(0)))
+    limit = [int(min(1.0, sample / t) * (1 << 30)) for t in total]
     most = max(limit)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
+            rows = {}
             for t, d in zip(x["body"], x["draw"], strict=True):
                 p = known.get(votes(t), 0.5)
                 if d < limit[p > 0.5]:
-                    rows.append((p, features(t).astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["p", "x"])
+                    rows[d, p] = features(t).astype("<f4").tobytes()
+            yield pd.DataFrame([(d, p, f) for (d, p), f in rows.items()], columns=["draw", "p", "x"])
 
-    got = body.where(F.col("draw") < most).mapInPandas(draw, "p double, x binary").toPandas()
+    drawn = body.where(F.col("draw") < most).mapInPandas(draw, "draw long, p double, x binary")
+    got = drawn.groupBy("draw", "p").agg(F.min("x").alias("x")).orderBy("draw", "p").limit(MOST * sample).toPandas()
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, BUCKETS)
-    order = np.lexsort((x @ np.arange(BUCKETS), got["p"].to_numpy()))  # rows come in any order
-    return Model(known, fit_scorer(x[order], got["p"].to_numpy(np.float64)[order]))
+    return Model(known, fit_scorer(x, got["p"].to_numpy(np.float64)))
 
 
 def score(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, names=("posterior", "score", "keep")
 ) -> DataFrame:
-    """docs with the label model's posterior, the scorer's probability and its decision."""
+    """docs with the label model's posterior, the scorer's probability and its decision; columns of these names are replaced."""
     weights, known = model.weights, model.posteriors
-    probability, judged = F.pandas_udf("double"), names
 
-    @probability
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([1 / (1 + np.exp(-np.clip(features(t) @ weights[:-1] + weights[-1], -500, 500))) for t in texts], dtype="float64")
+    @F.pandas_udf("p double, s double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        p = [known.get(votes(t), 0.5) for t in texts]
+        s = [1 / (1 + np.exp(-np.clip(features(t) @ weights[:-1] + weights[-1], -500, 500))) for t in texts]
+        return pd.DataFrame({"p": p, "s": s}, dtype="float64")
 
-    @probability
-    def posterior(texts: pd.Series) -> pd.Series:
-        return pd.Series([known.get(votes(t), 0.5) for t in texts], dtype="float64")
+    judged = judge(F.col(text_col).cast("string"))
+    taken = {c.lower() for c in docs.columns}
+    own = next(n for n in (f"_j{i}" for i in range(len(taken) + 1)) if n not in taken)
+    rows = docs.withColumn(own, judged).withColumns({names[0]: F.col(own)["p"], names[1]: F.col(own)["s"]})
+    return rows.withColumn(names[2], F.col(names[1]) >= threshold).drop(own)
 
-    body = F.col(text_col).cast("string")
-    return docs.withColumns({judged[0]: posterior(body), judged[1]: scored(body)}).withColumn(
-        judged[2], F.col(judged[1]) >= threshold
-    )
+
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that a model fitted on docs itself doesn't reject; no column is added or replaced."""
+    taken = {c.lower() for c in docs.columns}
+    tag = next(t for t in (f"_q{i}_" for i in range(len(taken) + 1)) if not any(c.startswith(t) for c in taken))
+    scored = score(docs, fit(docs, text_col, sample), text_col, threshold, (tag + "p", tag + "s", tag + "keep"))
+    return scored.where(tag + "keep").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def classify(
@@ -297,8 +309,8 @@ def classify(
     """(doc_id, posterior, score, keep) for every row, from a model fitted on docs itself.
 
     Null texts count as empty. Empty texts, and those too short for a trigram, have the score
-    of the scorer's bias. Null and repeated ids and rows are judged each by itself; equal
+    of the scorer's bias. Where there's nothing to learn (see fit) all are kept. Null and repeated ids and rows are judged each by itself; equal
     texts have equal scores; an empty table gives none; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    return score(rows, fit(docs, id_col, text_col, sample), "body", threshold).drop("body")
+    return score(rows, fit(docs, text_col, sample), "body", threshold).drop("body")

@@ -11,13 +11,13 @@ from brindle.sources.tables import materialize, table
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents, doesn't reject."""
-    scored = quality.score(docs, quality.fit(docs), names=("_posterior", "_score", "_keep"))
-    return scored.where("_keep").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of passages; n_chars is that of the text that is left."""
-    return winnow.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    kept = winnow.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

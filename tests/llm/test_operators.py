@@ -153,6 +153,91 @@ def test_varied_looks_at_every_word():
     assert quality._varied(quality.facts(" ".join(rare))) == quality.GOOD
 
 
+def slow_quality(texts):
+    """(posterior, score) of each text: expectation-maximisation document by document, features and scorer by plain loops."""
+    n = len(quality.LABELLERS)
+    vote = [[label(quality.facts(t or "")) for label in quality.LABELLERS] for t in texts]
+    about = [[(1.0, 0.5, 0.5)] * n, [(1.0, 0.03, 0.97)] * n]
+    prior, posterior = (0.3, 0.7), [0.0] * len(texts)
+    for _ in range(200):
+        new = []
+        for v in vote:
+            like = [prior[c] * float(np.prod([about[c][i][v[i]] for i in range(n)])) for c in (0, 1)]
+            new.append(like[1] / (like[0] + like[1]))
+        moved = max(abs(a - b) for a, b in zip(new, posterior))
+        if moved < 1e-9:
+            break
+        posterior = new
+        weight = [[1 - p for p in posterior], posterior]
+        prior = tuple((sum(w) + 1) / (len(texts) + 2) for w in weight)
+        for c in (0, 1):
+            for i in range(n):
+                bad, good = (1 + sum(w for w, v in zip(weight[c], vote) if v[i] == k) for k in (quality.BAD, quality.GOOD))
+                about[c][i] = (1.0, bad / (bad + good), good / (bad + good))
+
+    def seen(t):
+        raw = (t or "").encode()
+        out = np.zeros(quality.BUCKETS)
+        if len(raw) < 3:
+            return out
+        shape = bytes(48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else c for c in raw)
+        for kind, salt in ((raw, 0x9E3779B1), (shape, 0x85EBCA77)):
+            for a, b, c in zip(kind, kind[1:], kind[2:]):
+                out[((a << 16 | b << 8 | c) * salt & 0xFFFFFFFF) >> 21] += 1
+        w = (t or "").split()
+        same = sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w))
+        out /= out.sum()
+        out[xxhash.xxh32_intdigest("same") % quality.BUCKETS] += same
+        out[xxhash.xxh32_intdigest("other") % quality.BUCKETS] += 1 - same
+        return np.sqrt(out)
+
+    distinct = {t: p for t, p in zip(texts, posterior)}
+    x = {t: seen(t) for t in distinct}
+    good, bad = sum(distinct.values()), sum(1 - p for p in distinct.values())
+    each = {t: p / good + (1 - p) / bad for t, p in distinct.items()}
+    whole = sum(each.values())
+    w, bias, move_w, move_b = np.zeros(quality.BUCKETS), 0.0, np.zeros(quality.BUCKETS), 0.0
+    for _ in range(250):
+        down_w, down_b = np.zeros(quality.BUCKETS), 0.0
+        for t, p in distinct.items():
+            gap = (1 / (1 + np.exp(-(x[t] @ (w + 0.9 * move_w) + bias + 0.9 * move_b))) - p) * each[t] / whole
+            down_w, down_b = down_w + gap * x[t], down_b + gap
+        move_w, move_b = 0.9 * move_w - 4 * (down_w + 1e-4 * w), 0.9 * move_b - 4 * down_b
+        w, bias = w + move_w, bias + move_b
+    return [(p, 1 / (1 + np.exp(-(x[t] @ w + bias)))) for t, p in zip(texts, posterior)]
+
+
+def test_quality_against_brute_force(docs):
+    """All of a small table is drawn, so the plain version is fitted on the same texts."""
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r for r in quality.classify(docs).collect()}
+    for (i, _), (p, s) in zip(rows, slow_quality([t for _, t in rows])):
+        assert abs(got[i].posterior - p) < 1e-6 and abs(got[i].score - s) < 0.01
+        assert got[i].keep == (s >= quality.THRESHOLD) or abs(s - quality.THRESHOLD) < 0.01
+
+
+def test_quality_sample_is_bounded(spark, docs, monkeypatch):
+    """A text of very many copies is collected once, whatever their ids; other texts only up to the limit."""
+    asked = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: asked.append(len(x)) or np.r_[np.zeros(quality.BUCKETS), 0.0])
+    many = docs.select("doc_id", "text").unionByName(spark.range(3000).selectExpr("id as doc_id", "'One clean sentence stands here. Another follows it.' as text"))
+    quality.fit(many)
+    quality.fit(docs, sample=2)
+    n = docs.select("text").distinct().count()
+    assert asked[0] <= n + 1 and asked[1] <= 8
+
+
+def test_quality_with_nothing_to_learn(spark):
+    rows = spark.createDataFrame([(1, "A short and clean text."), (2, "Another one, quite like it.")], "doc_id long, text string")
+    assert [r.keep for r in quality.classify(rows).collect()] == [True, True] and quality.keep_good(rows).count() == 2
+
+
+def test_quality_clashes(odd):
+    clash = odd.withColumnRenamed("score", "_q0_keep").withColumn("_posterior", F.lit("p")).withColumn("_KEEP", F.lit("k")).withColumn("_j0", F.lit(1))
+    got = quality.keep_good(clash)
+    assert got.columns == clash.columns and {r._KEEP for r in got.collect()} == {"k"} and {r._posterior for r in got.collect()} == {"p"}
+
+
 def test_quality_odd(odd):
     got = quality.classify(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
@@ -387,6 +472,15 @@ def test_chat_tree(spark):
     assert paths.count() == 7
 
 
+def test_chat_rows_without_conversation(spark):
+    """Each is a conversation of its own, and none are gathered."""
+    rows = [(None, i % 3, "assistant", f"text {i % 50}") for i in range(400)] + [(1, 0, "user", "a"), (1, 0, "user", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(*chat.prefix_tree(turns)).toPandas()
+    assert len(got) == 401 and sorted(got[got.conv_id.isna()].n_turns.unique()) == [1] and got[got.conv_id == 1].n_turns.tolist() == [2]
+    assert sorted(got[got.conv_id.isna()].turns_sha256) == sorted(digests([r[2:]])[1] for r in rows[:400])
+
+
 def test_chat_odd(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(*chat.prefix_tree(empty)).count() == 0
