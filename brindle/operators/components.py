@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     edges = materialize(edges, "links")
     while not _is_star_forest(edges):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = materialize(_small_star(_large_star(edges)), "stars", spent=[edges])
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )

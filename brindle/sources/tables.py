@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,23 +19,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own if that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="brindle-shared-")
     return _OWN[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor costs no recomputation.
 
     Unlike a checkpoint of serialised rows, the Parquet copy is compressed and columnar,
-    and gives the optimiser its true size.
+    and gives the optimiser its true size. Copies in spent, which nothing but df needed, are
+    deleted once df is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, key=id(out): _PATHS.pop(key, None)), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the copy that materialize() wrote for this very frame; other frames are left alone."""
+    ref, path = _PATHS.pop(id(df), (None, None))
+    if ref is not None and ref() is df:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
