@@ -277,21 +277,21 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
 
 
 def score(
-    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, names=("posterior", "score", "keep")
+    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str | None, str, str] = ("posterior", "score", "keep")
 ) -> DataFrame:
-    """docs with the label model's posterior, the scorer's probability and its decision; columns of these names are replaced."""
+    """docs with the label model's posterior (unless its name is None), the scorer's probability and its decision; columns of these names are replaced."""
     weights, known = model.weights, model.posteriors
 
     @F.pandas_udf("p double, s double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        p = [known.get(votes(t), 0.5) for t in texts]
+        p = [known.get(votes(t), 0.5) for t in texts] if names[0] else None
         s = [1 / (1 + np.exp(-np.clip(features(t) @ weights[:-1] + weights[-1], -500, 500))) for t in texts]
         return pd.DataFrame({"p": p, "s": s}, dtype="float64")
 
     judged = judge(F.col(text_col).cast("string"))
     taken = {c.lower() for c in docs.columns}
     own = next(n for n in (f"_j{i}" for i in range(len(taken) + 1)) if n not in taken)
-    rows = docs.withColumn(own, judged).withColumns({names[0]: F.col(own)["p"], names[1]: F.col(own)["s"]})
+    rows = docs.withColumn(own, judged).withColumns({n: F.col(own)[k] for n, k in zip(names, "ps", strict=False) if n})
     return rows.withColumn(names[2], F.col(names[1]) >= threshold).drop(own)
 
 
@@ -299,7 +299,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESH
     """The rows of docs that a model fitted on docs itself doesn't reject; no column is added or replaced."""
     taken = {c.lower() for c in docs.columns}
     tag = next(t for t in (f"_q{i}_" for i in range(len(taken) + 1)) if not any(c.startswith(t) for c in taken))
-    scored = score(docs, fit(docs, text_col, sample), text_col, threshold, (tag + "p", tag + "s", tag + "keep"))
+    scored = score(docs, fit(docs, text_col, sample), text_col, threshold, (None, tag + "s", tag + "keep"))
     return scored.where(tag + "keep").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
