@@ -8,9 +8,11 @@ again by three blocks of their remaining bits; after four such steps at most 13
 so that no group can have over 8,192 members whatever the data are.
 
 Links at a set similarity need more bits than that and a larger radius, which blocks can't
-deal out. similar_groups() takes wide fingerprints and several tables of drawn bits, and
-searches each group of one key by the same hierarchy; larger groups are dealt out as pairs of
-blocks, so that all pairs of a group meet whatever its size.
+deal out. similar_groups() takes wide fingerprints and several tables of drawn bits. Rows of a
+table carry a short sketch of the fingerprint only; the hierarchy searches each group of one key
+by sketches, at a radius that hardly any similar pair exceeds. What these loose links connect is
+searched again by whole fingerprints, of which each is shuffled once. Larger groups of either
+search are dealt out as pairs of blocks, so that all pairs of a group meet whatever its size.
 """
 
 from __future__ import annotations
@@ -55,24 +57,53 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((hashed(joined[s:e], 42) for s, e in zip(starts, ends, strict=False)), np.uint64, len(ends))
 
 
+class _Words(dict):
+    """word -> its XXH64; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_WORDS = _Words()
+
+
+def rolled_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A 64-bit hash of every shingle, mixed from its words' hashes; words and short texts as for shingle_hashes."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    if not len(each):
+        return each
+    k = min(shingle, len(each))
+    out = each[: len(each) - k + 1].copy()
+    for i in range(1, k):
+        out = (out ^ out >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + each[i : len(each) - k + 1 + i]
+    return out
+
+
+_SALTS = np.array([i * 0x9E3779B97F4A7C15 & _ALL for i in range(64)], np.uint64)
+
+
 def _more_words(values: np.ndarray, words: int) -> np.ndarray:
     """(hashes, words): each hash, and others mixed from it."""
     out = np.empty((len(values), words), "<u8")
     out[:, 0] = values
-    for i in range(1, words):
-        x = values + np.uint64(i * 0x9E3779B97F4A7C15 & _ALL)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        out[:, i] = x ^ x >> np.uint64(31)
+    x = values[:, None] + _SALTS[None, 1:words]
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    out[:, 1:] = x ^ x >> np.uint64(31)
     return out
 
 
-def fingerprint_words(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """The fingerprint of a text in 64-bit words; no words of text give zeros. A bit is 1 if it is set in over half of the hashes."""
-    values = shingle_hashes(text, shingle)
+def fingerprint_words(values: np.ndarray, words: int = 1) -> np.ndarray:
+    """The fingerprint of shingles' hashes in 64-bit words; none give zeros. A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(values), 255 * 16):
-        part = _more_words(values[at : at + 255 * 16], words).view(np.uint8)
+    for at in range(0, len(values), 255 * 4):
+        part = _more_words(values[at : at + 255 * 4], words).view(np.uint8)
         for low in range(0, len(part), 255):  # as many ones as a byte can count
             bits = np.unpackbits(part[low : low + 255], axis=1, bitorder="little")
             ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
@@ -81,7 +112,7 @@ def fingerprint_words(text: str | None, shingle: int = 3, words: int = 1) -> np.
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of a text."""
-    return int(fingerprint_words(text, shingle)[0])
+    return int(fingerprint_words(shingle_hashes(text, shingle))[0])
 
 
 def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,6 +183,18 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
+    def _near(self, first: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of codes below nodes i and j that differ in radius bits or fewer; of a node with itself, each once."""
+        place = np.arange(FAN)
+        a, b = first[i][:, None] + place, first[j][:, None] + place
+        there = (a < first[i + 1][:, None])[:, :, None] & (b < first[j + 1][:, None])[:, None, :] & (a[:, :, None] < b[:, None, :])
+        x, y = self.codes[np.minimum(a, len(self.codes) - 1)], self.codes[np.minimum(b, len(self.codes) - 1)]
+        differ = np.zeros(there.shape, np.uint16)
+        for word in range(self.codes.shape[1]):
+            differ += np.bitwise_count(x[:, :, None, word] ^ y[:, None, :, word])
+        pair, m, n = np.nonzero(there & (differ <= radius))
+        return a[pair, m], b[pair, n]
+
     def roots(self, radius: int) -> np.ndarray:
         """For every code the place of the first code that it is linked with over links of radius bits or fewer.
 
@@ -183,24 +226,24 @@ class GrayIndex:
             i, j, acc, seen = i[~same], j[~same], acc[~same], seen[~same]
             if not len(i):
                 continue
-            if level == 0:
-                merged = _joined(labels, i, j)
-                if not np.array_equal(merged, labels):
-                    labels = merged
-                    uniform = self._uniform(labels)
-                continue
             if len(i) > most:
                 for at in range(0, len(i), most):
                     cut = slice(at, at + most)
                     stack.append((level, i[cut], j[cut], acc[cut], seen[cut]))
                 continue
             first = self.first[level - 1]
+            if level == 1:  # what is below are codes: blocks of them meet
+                merged = _joined(labels, *self._near(first, i, j, radius))
+                if merged is not labels and not np.array_equal(merged, labels):
+                    labels = merged
+                    uniform = self._uniform(labels)
+                continue
             wide, high = np.diff(first)[i], np.diff(first)[j]
             size = wide * high
             pair = np.repeat(np.arange(len(i)), size)
             k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
             a, b = first[i][pair] + k // high[pair], first[j][pair] + k % high[pair]
-            keep = (a < b) if level == 1 else (a <= b)
+            keep = a <= b
             a, b, pair = a[keep], b[keep], pair[keep]
             shared = self.masks[level - 1][a] & self.masks[level - 1][b]
             differ = (self.patterns[level - 1][a] ^ self.patterns[level - 1][b]) & shared & ~seen[pair]
@@ -316,12 +359,12 @@ def near_duplicates(
     )
 
 
-#: Words of a wide fingerprint, and how surely the tables find a pair of just the set similarity.
-WIDE, RECALL = 16, 0.97
+#: Words of a wide fingerprint and of its sketch, and how surely the tables find a pair of just the set similarity.
+WIDE, SKETCH, RECALL = 16, 2, 0.97
 #: Distinct fingerprints that should share a key of a table by chance.
-CROWD = 64
-#: A table's group of more rows than this is dealt out as pairs of blocks of half as many rows.
-WIDE_LIMIT = 4096
+CROWD = 1024
+#: A group of more rows than this is dealt out as pairs of blocks of half as many rows.
+WIDE_LIMIT = 8192
 #: Rows that a task gathers before it searches the groups that are whole.
 CHUNK = 16384
 
@@ -331,10 +374,10 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_radius(similarity: float, words: int = WIDE) -> int:
-    """Differing bits up to which texts count as that similar: the mean at that similarity and a deviation."""
+def wide_radius(similarity: float, words: int = WIDE, deviations: float = 1.0) -> int:
+    """Differing bits up to which texts count as that similar: the mean at that similarity and so many deviations."""
     p, n = differing_share(similarity), 64 * words
-    return int(n * p + math.sqrt(n * p * (1 - p)))
+    return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
 def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = RECALL) -> list[list[int]]:
@@ -347,13 +390,16 @@ def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = REC
 
 
 def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """As _search, for each (key, part); nothing but their borders cuts the rows."""
+    """As _search, for each (key, part); nothing but their borders cuts the rows. Codes are in the columns w0, w1, ... or in fp."""
     held: list[pd.DataFrame] = []
     rows = 0
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
         key, part = x["key"].to_numpy(), x["part"].to_numpy()
-        codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
+        if "fp" in x:
+            codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
+        else:
+            codes = np.stack([x[c].to_numpy().view(np.uint64) for c in x.columns if c[0] == "w"], 1)
         roots = GrayIndex(codes, np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])).roots(radius)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         nodes = x["node"].to_numpy()
@@ -386,6 +432,21 @@ def deal_pairs(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     return rows.join(F.broadcast(sizes), "key", "left").withColumn("part", F.explode(parts)).drop("size")
 
 
+def _grouped_links(rows: DataFrame, keys: DataFrame, rank: Column, radius: int, group_limit: int) -> DataFrame:
+    """Links (a, b) of rows (key, node, codes) that span what is linked in each key's group; keys has the same keys again, to be counted."""
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(counted.where(F.col("size") > group_limit), "sizes")  # at most the rows over group_limit
+    rows = rows.withColumn("part", F.lit(0).cast("long")) if sizes.isEmpty() else deal_pairs(rows, sizes, group_limit // 2)
+    return (
+        rows.repartition("key", "part")
+        .withColumn("rank", rank)
+        .sortWithinPartitions("key", "part", "rank")
+        .drop("rank")
+        .mapInPandas(lambda it: _search_wide(it, radius), "a long, b long")
+        .distinct()
+    )
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -400,15 +461,17 @@ def similar_groups(
 
     Texts are grouped over links of wide fingerprints that differ in wide_radius(similarity)
     bits or fewer; equal word sequences always are. A pair of just that similarity shares a
-    table's key with probability `recall`, more similar ones more surely. All pairs
-    that share a key are compared: a key's group is whole in a task up to group_limit
-    fingerprints, and beyond that each two of its blocks meet in a task, which grows with the
-    square of such a group over group_limit. Texts without words are one group of their own.
+    table's key with probability `recall`, more similar ones more surely, and exceeds the
+    sketches' radius with probability 0.001. All pairs that share a key are compared by
+    sketches, and all pairs that such links connect by whole fingerprints: a group is whole in a
+    task up to group_limit rows; a larger connected one is first split by the tables' keys; and
+    beyond that each two blocks of a group meet in a task, which grows with the square of such
+    a group over group_limit. Texts without words are one group of their own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            fps = [fingerprint_words(t, shingle, words).tobytes() for t in x["body"]]
+            fps = [fingerprint_words(rolled_hashes(t, shingle), words).tobytes() for t in x["body"]]
             yield pd.DataFrame({"doc": x["doc"].astype("Int64"), "copy": x["copy"], "fp": fps})
 
     body = F.col(text_col).cast("string")
@@ -417,39 +480,44 @@ def similar_groups(
     marked = materialize(marked, "wide")
     distinct = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp")), "distinct")
     tables = table_bits(distinct.count(), similarity, words, recall)
-    rank_word = [t[0] // 64 for t in tables]
+    sketched = min(SKETCH, words)
 
-    def keys(batches: Iterator[pd.DataFrame], alone: bool) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame], want: str) -> Iterator[pd.DataFrame]:
+        """A row for each table: its key alone, or with the row's sketch, or with its fingerprint and group."""
         for x in batches:
             codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
             bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
-            for place, (table, word) in enumerate(zip(tables, rank_word, strict=True)):
+            sketch = {f"w{i}": codes[:, i].view(np.int64) for i in range(sketched)} if want == "sketch" else {}
+            for place, table in enumerate(tables):
                 key = bits[:, table].astype(np.int64) @ (1 << np.arange(len(table), dtype=np.int64)) << np.int64(16) | place
-                if alone:
-                    yield pd.DataFrame({"key": key})
-                    continue
-                rank = codes[:, word].copy()
-                for by in (1, 2, 4, 8, 16, 32):
-                    rank ^= rank >> np.uint64(by)
-                yield pd.DataFrame(
-                    {"key": key, "rank": (rank ^ np.uint64(1 << 63)).view(np.int64), "node": x["node"], "fp": x["fp"]}
-                )
-
-    dealt = distinct.mapInPandas(lambda it: keys(it, False), "key long, rank long, node long, fp binary")
-    counted = distinct.mapInPandas(lambda it: keys(it, True), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sizes = materialize(counted.where(F.col("size") > group_limit), "sizes")  # at most the tables' rows over group_limit
-    dealt = dealt.withColumn("part", F.lit(0).cast("long")) if sizes.isEmpty() else deal_pairs(dealt, sizes, group_limit // 2)
-    radius = wide_radius(similarity, words)
-    links = (
-        dealt.repartition("key", "part")
-        .sortWithinPartitions("key", "part", "rank")
-        .mapInPandas(lambda it: _search_wide(it, radius), "a long, b long")
-        .distinct()
-    )
+                out = {"key": key}
+                if want != "key":
+                    out |= {"node": x["node"], **sketch}
+                if want == "fp":
+                    out |= {"group": x["group"], "fp": x["fp"]}
+                yield pd.DataFrame(out)
+
+    columns = ", ".join(f"w{i} long" for i in range(sketched))
+    loose = _grouped_links(
+        distinct.mapInPandas(lambda it: keys(it, "sketch"), f"key long, node long, {columns}"),
+        distinct.mapInPandas(lambda it: keys(it, "key"), "key long"),
+        gray_rank(F.col("w0")), wide_radius(similarity, sketched, 3), group_limit,
+    )
+    near = connected_components(loose).select("node", F.col("component").alias("group"))
+    near = materialize(near.join(distinct, "node"), "near")
+    large = near.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("group")
+    large = materialize(large, "large")  # at most the rows over group_limit
+    fine = near.join(F.broadcast(large), "group", "left_anti").select(F.col("group").alias("key"), "node", "fp")
+    if not large.isEmpty():
+        crowded = near.join(F.broadcast(large), "group", "left_semi").mapInPandas(lambda it: keys(it, "fp"), "key long, node long, group long, fp binary")
+        fine = fine.unionByName(crowded.select(F.xxhash64("group", "key").alias("key"), "node", "fp"))
+    first_word = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    links = _grouped_links(fine, fine.select("key"), gray_rank(first_word), wide_radius(similarity, words), group_limit)
     parts = connected_components(links)
     groups = parts.select("node", F.col("component").alias("group"))
     labels = distinct.select("node").join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
-    return marked.select("doc", "copy", "node").join(materialize(labels, "labels"), "node")
+    labels = materialize(labels, "labels", spent=[near, large, distinct])
+    return marked.select("doc", "copy", "node").join(labels, "node")
 
 
 def keep_one(
