@@ -10,8 +10,10 @@ on the posteriors, and the scorer judges every document by its whole text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -20,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import discard, materialize
+
 #: Documents that the scorer is fitted on, about, of each class; MOST times that is the limit for both together.
 SAMPLE, MOST = 1500, 4
 #: With fewer documents of either class than this, there's nothing to learn and all are kept.
@@ -44,6 +48,8 @@ class Facts:
     upper: float
     marks: float
     words: list[bytes]
+    kinds: Counter[bytes]
+    same: list[bool]  # whether each word but the first is the one before it
     lines: list[bytes]
 
 
@@ -53,12 +59,15 @@ def facts(text: str) -> Facts:
     upper = len(raw) - len(raw.translate(None, _UPPER))
     lower = len(raw) - len(raw.translate(None, _LOWER))
     beyond = len(raw) - len(raw.translate(None, bytes(range(128, 256))))
+    words = raw.split()
     return Facts(
         n=len(raw),
         letters=(upper + lower + beyond) / n,
         upper=upper / max(1, upper + lower),
         marks=(len(raw) - len(raw.translate(None, _MARKS))) / n,
-        words=raw.split(),
+        words=words,
+        kinds=Counter(words),
+        same=list(map(eq, words, words[1:])),
         lines=[x for x in raw.split(b"\n") if x.strip()],
     )
 
@@ -84,7 +93,8 @@ def _worded(f: Facts) -> int:
     """Words that end in several marks, or are marks alone."""
     if not f.words:
         return BAD
-    odd = sum(len(w) > 2 and w[-2:].translate(None, _MARKS) == b"" or w.translate(None, _MARKS) == b"" for w in f.words)
+    ends = [(w, n) for w, n in f.kinds.items() if w[-1] in _MARKS]
+    odd = sum(n for w, n in ends if len(w) > 2 and w[-2] in _MARKS or w.translate(None, _MARKS) == b"")
     return _limits(odd / len(f.words), 0.02, 0.15)
 
 
@@ -99,7 +109,7 @@ def _varied(f: Facts) -> int:
     """Whether few words make up the text; short texts say nothing."""
     if len(f.words) < 50:
         return ABSTAIN
-    kinds = len(set(f.words)) / len(f.words) ** 0.8
+    kinds = len(f.kinds) / len(f.words) ** 0.8
     return BAD if kinds < 0.25 else GOOD if kinds > 0.8 else ABSTAIN
 
 
@@ -107,16 +117,14 @@ def _stutter(f: Facts) -> int:
     """Words that repeat the word before them; short texts say nothing."""
     if len(f.words) < 20:
         return ABSTAIN
-    return _limits(sum(map(eq, f.words, f.words[1:])) / max(1, len(f.words)), 0.04, 0.2)
+    return _limits(sum(f.same) / max(1, len(f.words)), 0.04, 0.2)
 
 
 def _runs(f: Facts) -> int:
     """The longest run of one word."""
-    most = now = 1
-    for same in map(eq, f.words, f.words[1:]):
-        now = now + 1 if same else 1
-        if now > most:
-            most = now
+    most = 1
+    if any(f.same):
+        most += max(sum(run) for _, run in groupby(f.same))
     return _limits(most, 2, 6)
 
 
@@ -124,7 +132,7 @@ def _piped(f: Facts) -> int:
     """Lists and tables that are held together by bars."""
     if not f.words:
         return BAD
-    return _limits(sum(w in (b"|", b"||", b">", b"\xc2\xbb") for w in f.words) / len(f.words), 0.01, 0.1)
+    return _limits(sum(f.kinds[w] for w in (b"|", b"||", b">", b"\xc2\xbb")) / len(f.words), 0.01, 0.1)
 
 
 def _cased(f: Facts) -> int:
@@ -242,36 +250,36 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
     of a text are drawn as one. With fewer than LEAST documents that the labellers take for
     good, or for bad, the scorer keeps everything.
     """
-    text = F.col(text_col).cast("string")
-    body = docs.select(text.alias("body"), F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 30)).alias("draw"))
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    body = docs.select(text.alias("body"), F.xxhash64(text, F.lit(2)).alias("copy"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"pattern": [votes(t) for t in x["body"]]}).groupby("pattern").size().rename("n").reset_index()
+            yield pd.DataFrame({"copy": x["copy"], "pattern": [votes(t) for t in x["body"]]})
 
-    counted = body.select("body").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most 3 ** len(LABELLERS) rows
+    voted = materialize(body.mapInPandas(vote, "copy long, pattern long"), "votes")
+    got = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()  # at most 3 ** len(LABELLERS) rows
     patterns, counts = got["pattern"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     posterior = fit_label_model(patterns, counts, len(LABELLERS)) if len(got) else np.zeros(0)
     known = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     sure = (posterior > 0.5).astype(int)
     total = [counts[sure == c].sum() for c in (0, 1)]
     if min(total) < LEAST:
+        discard(voted)
         return Model(known, fit_scorer(np.zeros((0, BUCKETS)), np.zeros(0)))
     limit = [int(min(1.0, sample / t) * (1 << 30)) for t in total]
-    most = max(limit)
+    table = spark.createDataFrame([(k, p, limit[p > 0.5]) for k, p in known.items()], "pattern long, p double, most long")
+    draw = F.pmod("copy", F.lit(1 << 30))
+    drawn = voted.join(F.broadcast(table), "pattern").where(draw < F.col("most")).select("copy", "p").distinct().orderBy(draw, "copy").limit(MOST * sample)
+    drawn = materialize(drawn, "drawn", spent=[voted])  # MOST * sample rows at most, so it may be broadcast
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def see(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = {}
-            for t, d in zip(x["body"], x["draw"], strict=True):
-                p = known.get(votes(t), 0.5)
-                if d < limit[p > 0.5]:
-                    rows[d, p] = features(t).astype("<f4").tobytes()
-            yield pd.DataFrame([(d, p, f) for (d, p), f in rows.items()], columns=["draw", "p", "x"])
-
-    drawn = body.where(F.col("draw") < most).mapInPandas(draw, "draw long, p double, x binary")
-    got = drawn.groupBy("draw", "p").agg(F.min("x").alias("x")).orderBy("draw", "p").limit(MOST * sample).toPandas()
+            yield pd.DataFrame({"copy": x["copy"], "p": x["p"], "x": [features(t).astype("<f4").tobytes() for t in x["body"]]})
+
+    seen = body.join(F.broadcast(drawn), "copy").mapInPandas(see, "copy long, p double, x binary")
+    got = seen.groupBy("copy", "p").agg(F.min("x").alias("x")).orderBy(draw, "copy").toPandas()  # as many rows as drawn
+    discard(drawn)
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, BUCKETS)
     return Model(known, fit_scorer(x, got["p"].to_numpy(np.float64)))
 
