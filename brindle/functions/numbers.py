@@ -62,6 +62,39 @@ def weighted_score(parts: Sequence[tuple[Column, float]]) -> Column:
     return F.try_divide(top, low)
 
 
+def match_score(value: Column, skill: Column, work: Column, place: Column) -> Column:
+    """Value and skill as 60 and 40 where there's nothing else; else weighted_score with 0.55, 0.35, 0.05, 0.05. At most 1, and 0 without any."""
+    only = value.isNotNull() & skill.isNotNull() & work.isNull() & place.isNull()
+    mixed = weighted_score([(value, 0.55), (skill, 0.35), (work, 0.05), (place, 0.05)])
+    return F.least(F.when(only, value * 0.6 + skill * 0.4).otherwise(F.coalesce(mixed, F.lit(0.0))), F.lit(1.0))
+
+
+#: What a skill counts by how widely it is used, where only its own vector speaks for it.
+REUSE = {"transversal": 0.35, "cross-sector": 0.6}
+
+
+def fallback_score(similarity: Column, reuse: Column) -> Column:
+    """soft_threshold from 0.6, weighted by how widely the skill is used."""
+    factor = F.lit(1.0)
+    for level, w in REUSE.items():
+        factor = F.when(reuse == level, w).otherwise(factor)
+    return soft_threshold(similarity, 0.6) * factor
+
+
+def clamped(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percents from 0 to 100, halves rounded up."""
+    return F.floor(clamped(share, 0.0, 1.0) * 100 + 0.5).cast("int")
+
+
+def day_cutoff(now: Column, days: int) -> Column:
+    """The beginning of the day so many days before now."""
+    return F.date_trunc("day", now) - F.make_dt_interval(days=F.lit(days))
+
+
 def value_score(overlap: Column, total: Column, shared: Column) -> Column:
     """Overlap's share and a bonus of a tenth for each shared value, three at most; at most 1."""
     bonus = F.least(F.lit(0.1) * shared, F.lit(0.3))

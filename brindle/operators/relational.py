@@ -135,3 +135,14 @@ def word_prefix_pairs(names: DataFrame, key: str, least_words: int = 2) -> DataF
         "long", F.explode(F.transform(F.sequence(F.lit(least_words), F.col("n") - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("short")
     )
     return prefixes.join(keys.select(F.col("long").alias("short")), "short").select("short", "long")
+
+
+def reason_lines(df: DataFrame, reason: str) -> DataFrame:
+    """(reason, n, line): each reason's rows, and both as one text; null reasons are left out."""
+    counted = df.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("line", F.concat(F.col(reason), F.lit(" × "), F.col("n").cast("string")))
+
+
+def name_lists(df: DataFrame, group: str, name: str) -> DataFrame:
+    """(group, names): the distinct names of each group in order, as one text; groups should be small, as each becomes one value."""
+    return df.select(group, name).distinct().groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))

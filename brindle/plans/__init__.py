@@ -1,3 +1,3 @@
 """Named queries over the tables of a data folder; importing this registers them."""
 
-from brindle.plans import curating, listings, scoring  # noqa: F401
+from brindle.plans import boards, curating, extracting, listings, resolving, scoring  # noqa: F401
