@@ -28,7 +28,7 @@ def save_status(new: DataFrame, stored: DataFrame, refused: Column | None = None
     # the smallest id of each URL, aggregated before the join so that a URL of many rows is one row in it
     first = rows.where("not _missing and not _refused").groupBy("_url").agg(F.min("id").alias("_first"))
     told = rows.join(known, "_url", "left").join(first, "_url", "left")
-    alike = postings.confident_duplicates(new, stored).unionByName(postings.confident_duplicates(new, new, earlier=True)).select("id").distinct().withColumn("_alike", F.lit(True))
+    alike = postings.surely_there(new, stored).withColumn("_alike", F.lit(True))
     reason = (
         F.when(F.col("_missing"), "missing").when(F.col("_refused"), "refused").when(F.col("_known"), "known")
         .when(F.col("id") != F.col("_first"), "repeated").when(F.col("_alike"), "duplicate")

@@ -73,7 +73,12 @@ def board(url: Column) -> Column:
     return F.when(short.isin(BOARDS), short).when(host.isin("indeed.ca", "glassdoor.ca"), F.regexp_replace(host, "ca$", "com")).otherwise(host)
 
 
-def _prepared(df: DataFrame) -> DataFrame:
+def _letters(x: Column) -> Column:
+    """How often each of the commonest letters, and the blank, stands in a text."""
+    return F.array(*[(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).alias(c) for c in " etaoinsrhldcum"])
+
+
+def _prepared(df: DataFrame, *more: str) -> DataFrame:
     fluff = F.array(*map(F.lit, FLUFF))
     low = F.lower(F.coalesce("body", F.lit("")))
     hours = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\d_])(\d{1,2}\s*(?:hours?|h(?:eures?)?))(?![\p{L}\d_])"), F.lit(1))
@@ -83,7 +88,7 @@ def _prepared(df: DataFrame) -> DataFrame:
         F.nullif(fold(F.col("city")), F.lit("")).alias("city"), province_code(F.col("province")).alias("prov"),
         F.nullif(F.trim("province"), F.lit("")).isNotNull().alias("has_prov"), F.nullif(F.lower(F.trim("kind")), F.lit("")).alias("kind"), "source",
         F.substring(F.trim(F.regexp_replace(low, r"\s+", " ")), 1, BODY).alias("_head"), F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]+>", " "), r"\s+", " ")).alias("_plain"),
-        F.length(F.coalesce("body", F.lit(""))).alias("size"), hours.alias("_hours"),
+        F.length(F.coalesce("body", F.lit(""))).alias("size"), hours.alias("_hours"), *more,
     )
     rows = rows.select(
         *[c for c in rows.columns if c[0] != "_"], F.when(F.length("_head") >= THIN, F.col("_head")).alias("head"), F.when(F.length("_plain") >= THIN, F.sha2("_plain", 256)).alias("clone"),
@@ -128,10 +133,13 @@ def clusters(df: DataFrame) -> DataFrame:
 
     Rows of one employer, title, city and day are one class; classes, not rows, are paired.
     Bodies are compared only where titles and cities leave it open, each distinct pair once,
-    and not where their lengths rule it out. keeper has a full body, then the longest, then
-    the smallest id.
+    and not where their lengths rule it out. keeper has a full body, then values, a summary and
+    any body (where df has the columns values and summary), then the longest body, was seen last
+    (column scraped), and has the smallest id.
     """
-    rows = materialize(_prepared(df).withColumn("cls", F.to_json(F.struct("org", "words", "city", "day"))), "postings")
+    filled = {"values": F.size("values") > 0, "summary": F.coalesce(F.trim("summary"), F.lit("")) != "", "scraped": F.col("scraped")}
+    extra = [F.coalesce(c, F.lit("" if n == "scraped" else False)).alias(f"k_{n}") for n, c in filled.items() if n in df.columns]
+    rows = materialize(_prepared(df, *extra).withColumn("cls", F.to_json(F.struct("org", "words", "city", "day"))), "postings")
     classes = materialize(rows.groupBy("cls", "org", "core", "words", "city", "day").agg(F.min("id").alias("rep")), "posting-classes")
     pairs = _titled(_near(*_sides(classes)).where("a_rep < b_rep"))
     role = (F.col("alike") >= 0.7) | (F.col("order") >= 0.85)
@@ -149,7 +157,8 @@ def clusters(df: DataFrame) -> DataFrame:
         .unionByName(close.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
     )
     found = rows.join(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
-    order = F.struct(F.col("head").isNotNull(), "size", -F.col("id"))
+    have = lambda n: [F.col(f"k_{n}")] if n in df.columns else []
+    order = F.struct(F.col("head").isNotNull(), *have("values"), *have("summary"), F.col("size") > 0, "size", *have("scraped"), -F.col("id"))
     told = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", order).alias("keeper"), F.count_distinct("url").alias("urls"))
     return found.select("id", "cluster").join(told.where("urls > 1"), "cluster").select("id", "cluster", "keeper", "n")
 
@@ -164,27 +173,21 @@ def _two_least(df: DataFrame, key: str) -> DataFrame:
 _CONTENT = "org words day city prov has_prov kind source head clone hours core number host".split()
 
 
-def _by_content(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Prepared rows as (id, url, cls), and the content of each class; rows of a class differ in id and URL only."""
+def _by_content(df: DataFrame, label: str) -> DataFrame:
+    """Prepared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, id and URL only."""
     number = F.nullif(F.regexp_extract("url", r"(?i)(?:/job/[^/\s]*-|jobId=)(\d{4,})", 1), F.lit(""))
-    rows = _prepared(df).withColumn("number", number).withColumn("host", board(F.col("url")))
-    rows = materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
-    return rows.select("id", "url", "cls"), rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT])
+    rows = _prepared(df, "new", "known").withColumn("number", number).withColumn("host", board(F.col("url")))
+    return materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
 
 
-def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
-    """(id, duplicate_of): rows of new that are surely a known posting of another URL, and the smallest id of such.
+def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
+    """(of, cls): classes of rows that meet left, each with those that meet right and are surely the same posting.
 
     The role must be the same; then a shared listing number decides, or, with no conflict of
     city, hours and kind, equal bodies, bodies 0.9 alike, or 0.7 in the same city on another board.
-    earlier takes only known postings of smaller ids.
-
-    Rows of equal content are one class, and classes are paired: of its partners a class needs
-    just the smallest id and the smallest of another URL, whatever their number.
     """
-    rows, left = _by_content(new, "postings-new")
-    stored, right = (rows, left) if known is new else _by_content(known, "postings-known")
-    pairs = _titled(_near(_sides(left)[0], _sides(right)[1])).where("alike >= 0.7 or order >= 0.85")
+    classes = rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT], F.max(left).alias("left"), F.max(right).alias("right"))
+    pairs = _titled(_near(_sides(classes.where("left"))[0], _sides(classes.where("right"))[1])).where("alike >= 0.7 or order >= 0.85")
     listed = F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False))
     vague = (F.col("a_has_prov") & F.col("a_prov").isNull()) | (F.col("b_has_prov") & F.col("b_prov").isNull())
     other_prov = F.coalesce(F.col("a_prov") != F.col("b_prov"), F.lit(False))
@@ -198,11 +201,50 @@ def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False
     both = F.col("a_source").isNotNull() & F.col("b_source").isNotNull()
     cross = F.coalesce(F.when(both, (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts), F.lit(False))
     pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
-    pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)"), "a_cls", "b_cls")
+    # matching parts of two texts are no longer than the shorter one, and have no more of a letter than either
+    shorter, lengths = F.least(F.length("a_head"), F.length("b_head")), F.length("a_head") + F.length("b_head")
+    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    rest = F.least(*[F.length(f"{side}_head") - F.aggregate(f"{side}_letters", F.lit(0), lambda s, x: s + x) for side in "ab"])
+    may = F.least(common + rest, shorter) * 2 / lengths >= F.col("need")
+    pairs = pairs.withColumns({f"{side}_letters": _letters(F.col(f"{side}_head")) for side in "ab"})
+    pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)").where(F.col("sure") | may), "b_cls")
     ratio = ratio_from(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"), F.coalesce("need", F.lit(0.0)))
-    hits = materialize(pairs.withColumn("ratio", ratio).where("sure or ratio is not null").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
-    each = hits.join(_two_least(stored, "cls"), "cls").select("of", F.explode(F.array_compact(F.array("first", "second"))).alias("x")).select("of", "x.*")
+    return materialize(pairs.withColumn("ratio", ratio).where("sure or ratio is not null").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
+
+
+def _first_partners(rows: DataFrame, hits: DataFrame, partners: DataFrame, earlier: bool) -> DataFrame:
+    """(id, duplicate_of): of each row's class's partners the smallest id of another URL.
+
+    Of its partners a class needs just the smallest id and the smallest of another URL, whatever their number.
+    """
+    each = hits.join(_two_least(partners.select("cls", "id", "url"), "cls"), "cls").select("of", F.explode(F.array_compact(F.array("first", "second"))).alias("x")).select("of", "x.*")
     best = _two_least(each, "of").withColumnRenamed("of", "cls")
     found = F.when(F.col("first.url") != F.col("url"), F.col("first.id")).otherwise(F.col("second.id"))
     told = rows.join(best, "cls").select("id", found.alias("duplicate_of")).where("duplicate_of is not null")
     return told.where("duplicate_of < id") if earlier else told
+
+
+def _flagged(new: DataFrame, known: DataFrame) -> DataFrame:
+    yes, no = F.lit(True), F.lit(False)
+    if known is new:
+        return new.withColumns({"new": yes, "known": yes})
+    columns = [c for c in new.columns if c in known.columns]
+    return new.select(*columns).withColumns({"new": yes, "known": no}).unionByName(known.select(*columns).withColumns({"new": no, "known": yes}))
+
+
+def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
+    """(id, duplicate_of): rows of new that are surely a known posting of another URL, and the smallest id of such.
+
+    earlier takes only known postings of smaller ids. Rows of equal content are one class, and
+    classes are paired, by the rules of _sure_pairs.
+    """
+    rows = _by_content(_flagged(new, known), "postings")
+    return _first_partners(rows.where("new"), _sure_pairs(rows, F.col("new"), F.col("known")), rows.where("known"), earlier)
+
+
+def surely_there(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id): rows of new that are surely a stored posting, or an earlier one of new itself; contents are prepared and paired once for both."""
+    rows = _by_content(_flagged(new, stored), "postings")
+    hits = _sure_pairs(rows, F.col("new"), F.lit(True))
+    fresh = rows.where("new")
+    return _first_partners(fresh, hits, rows.where("known"), False).unionByName(_first_partners(fresh, hits, fresh, True)).select("id").distinct()

@@ -11,12 +11,12 @@ from brindle.functions import text as T
 from brindle.operators import incremental, loading, matching, postings, search
 from brindle.plans.registry import query
 from brindle.sources import feeds
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         k.alias("id"), F.col("source").alias("org"), F.substring_index("text", " ", 3).alias("title"), F.concat(F.lit("https://x.org/job/"), k).alias("url"),
         F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int")).cast("string").alias("posted"), F.col("text").alias("body"), F.when(k % 5 > 0, F.col("lang")).alias("city"),
         F.lit("ON").alias("province"), F.lit(None).cast("string").alias("kind"), (k % 3).cast("string").alias("source"),
@@ -103,7 +103,7 @@ select doc_id, len(list_filter(w, lambda x: starts_with(x, 'wat'))) > 0 as prefi
 )
 def full_text(spark: SparkSession, d: str) -> DataFrame:
     """Which whole texts a single word's prefix and a web-style search find."""
-    lexed = table(spark, d, "documents").select("doc_id", search.lexemes(F.col("text")).alias("w"))
+    lexed = spread(table(spark, d, "documents")).select("doc_id", search.lexemes(F.col("text")).alias("w"))
     return lexed.select("doc_id", search.matches(F.col("w"), "wat").alias("prefix"), search.matches(F.col("w"), 'waters -cities or "public libraries"').alias("web"))
 
 

@@ -11,7 +11,7 @@ from brindle.functions.pay import pay
 from brindle.operators import incremental, matching
 from brindle.operators.relational import best_per_key
 from brindle.plans.registry import query
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 
 @query(
@@ -199,7 +199,7 @@ select doc_id, case when n < 40 or en + fr = 0 then null when fr / (en + fr) >=
 def language_markers(spark: SparkSession, d: str) -> DataFrame:
     """Languages of whole texts by their frequent words."""
     low = F.lower("text")
-    counted = table(spark, d, "documents").select(
+    counted = spread(table(spark, d, "documents")).select(
         "doc_id", F.length("text").alias("n"), T.marker_count(low, T.ENGLISH).alias("en"), T.marker_count(low, T.FRENCH).alias("fr")
     )
     return counted.select("doc_id", T.language_of(F.col("n"), F.col("en"), F.col("fr")).alias("language"))

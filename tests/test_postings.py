@@ -115,3 +115,12 @@ def test_confident_against_brute_force(spark):
     assert len(want) > 10
     want = {a: min(b["id"] for b in rows if b["id"] < a and sure(rows[a], b)) for a in want}
     assert {r.id: r.duplicate_of for r in P.confident_duplicates(df, df, earlier=True).collect()} == want
+
+
+def test_keeper(spark):
+    """A full body, then values, summary, length, and the latest; ties to the smallest id."""
+    rows = [(1, LONG * 3, None, "", "2024"), (2, LONG * 2, ["a"], None, "2024"), (3, LONG * 2, ["a"], "s", "2024"), (4, LONG * 2, ["a"], "s", "2025"), (5, LONG * 2, ["a"], "s", "2025"), (6, "x", ["a"], "s", "2026")]
+    df = spark.createDataFrame(rows, "id long, body string, values array<string>, summary string, scraped string").selectExpr(
+        "*", "'a' as org", "'Clerk' as title", "concat('https://h/', id) as url", "'2024-01-01' as posted", "null as city", "null as province", "null as kind", "null as source")
+    assert {(r.cluster, r.keeper, r.n) for r in P.clusters(df).collect()} == {(1, 4, 6)}
+    assert {(r.cluster, r.keeper, r.n) for r in P.clusters(df.drop("values", "summary", "scraped")).collect()} == {(1, 1, 6)}
