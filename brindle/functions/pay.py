@@ -23,15 +23,42 @@ VAGUE = (
     "|tbd|n/a|na|not available|à confirmer|to be confirmed|selon la convention|selon l'échelle"
 )
 
-_NUMBER = r"(\d{1,3}(?:[\s ]\d{3})+(?:[.,]\d{1,2})?|\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+[.,]\d{1,2}|\d+)"
-_DECIMALS = r"[.,](\d{1,2})$"
+#: What says that an amount is for two weeks.
+TWO_WEEKS = r"quinzaine|bi-?weekly|bi-?hebdomadaire|every two weeks"
 
+_BLANKS = " \u00a0\u202f"
+#: A run of digits with single separators between them; what these mean is settled afterwards.
+_RUN = rf"\d+(?:[{_BLANKS},.]\d+)*"
 
-def _cents(number: Column) -> Column:
-    """A number's cents; marks before its last two digits only group. Over twelve digits give null."""
-    whole = F.regexp_replace(F.regexp_replace(number, _DECIMALS, ""), r"[\s .,]", "")
-    decimals = F.rpad(F.regexp_extract(number, _DECIMALS, 1), 2, "0")
-    return F.when(F.length(whole) <= 12, F.concat(whole, decimals).cast("long"))
+
+def _cents(s: Column) -> Column:
+    """Cents of a number's digits and decimals. Over twelve digits give null."""
+    return F.when(F.length(s["whole"]) <= 12, F.concat(s["whole"], F.rpad(s["rest"], 2, "0")).cast("long"))
+
+
+def _amounts(run: Column) -> Column:
+    """Cents of the numbers of a run, from one pass over its groups of digits and the separators before them.
+
+    A blank or comma before three digits groups, if the number began with three at most and has
+    no other separator; a comma or dot before one or two digits begins decimals, but for a comma
+    after grouping ones. Anything else begins a number.
+    """
+    groups, between = F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(run, F.lit(rf"[{_BLANKS},.]"), F.lit(0))
+    steps = F.zip_with(between, F.slice(groups, F.lit(2), F.size(groups)), lambda sign, n: F.struct(F.when(sign.isin(*_BLANKS), " ").otherwise(sign).alias("sign"), n.alias("n")))
+    state = lambda done, whole, sign, rest: F.struct(done.alias("done"), whole.alias("whole"), sign.alias("sign"), rest.alias("rest"))
+    none = F.lit("")
+
+    def step(s: Column, p: Column) -> Column:
+        plain = s["rest"] == ""
+        more = plain & (p["sign"] != ".") & (F.length(p["n"]) == 3) & F.when(s["sign"] == "", F.length(s["whole"]) <= 3).otherwise(s["sign"] == p["sign"])
+        decimals = plain & (p["sign"] != " ") & (F.length(p["n"]) <= 2) & ~((s["sign"] == ",") & (p["sign"] == ","))
+        return (
+            F.when(more, state(s["done"], F.concat(s["whole"], p["n"]), p["sign"], none))
+            .when(decimals, state(s["done"], s["whole"], s["sign"], p["n"]))
+            .otherwise(state(F.concat(s["done"], F.array(_cents(s))), p["n"], none, none))
+        )
+
+    return F.aggregate(steps, state(F.array().cast("array<bigint>"), F.get(groups, F.lit(0)), none, none), step, lambda s: F.concat(s["done"], F.array(_cents(s))))
 
 
 def _first(x: Column, patterns: dict[str, str]) -> Column:
@@ -44,9 +71,10 @@ def pay(x: Column) -> Column:
     The least and largest of all positive numbers count, hours among them; max_value is null
     for a single one. Without numbers all but a unit that words say, and the currency, is null
     and confidence is 0. Texts that say nothing, and null, have no unit or currency either.
-    Amounts in other currencies than CAD are left out.
+    Amounts in other currencies than CAD are left out; amounts for two weeks become weekly ones,
+    halves to the even cent.
     """
-    amounts = F.filter(F.transform(F.regexp_extract_all(x, F.lit(_NUMBER), F.lit(1)), _cents), lambda c: c > 0)
+    amounts = F.filter(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(_RUN), F.lit(0)), lambda run: _amounts(run))), lambda c: c > 0)
     said, currency = _first(x, UNITS), F.coalesce(_first(x, CURRENCIES), F.lit("CAD"))
     least = F.array_min(amounts)
     guess = F.coalesce(*[F.when(least >= n, F.lit(u)) for u, n in LEAST.items()], F.when(least.isNotNull(), F.lit("HOUR")))
@@ -58,11 +86,14 @@ def pay(x: Column) -> Column:
     )
     own = currency == "CAD"
     vague = x.isNull() | x.rlike(rf"(?iu)^\s*({VAGUE})\s*$")
+    told, halved = ~vague & own, x.rlike(f"(?iu){TWO_WEEKS}")
+    most = F.when(F.size(amounts) > 1, F.array_max(amounts))
+    weekly = lambda c: F.when(halved, F.bround(c / 2).cast("long")).otherwise(c)
     return F.struct(
-        F.when(~vague & own, F.coalesce(said, guess)).alias("unit_text"),
-        F.when(~vague & own, least).alias("min_value"),
-        F.when(~vague & own & (F.size(amounts) > 1), F.array_max(amounts)).alias("max_value"),
-        F.when(~vague & own, hours).alias("hours_per_week"),
+        F.when(told, F.when(halved, "WEEK").otherwise(F.coalesce(said, guess))).alias("unit_text"),
+        F.when(told, weekly(least)).alias("min_value"),
+        F.when(told, weekly(most)).alias("max_value"),
+        F.when(told, hours).alias("hours_per_week"),
         F.when(~vague, currency).alias("currency"),
         F.when(vague | least.isNull() | ~own, 0.0).when(said.isNotNull(), 0.9).otherwise(0.5).alias("confidence"),
     )

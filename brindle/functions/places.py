@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +32,10 @@ def province_code(x: Column) -> Column:
     t = fold(x)
     return F.coalesce(*[F.when(t.isin(code.lower(), *names), F.lit(code)) for code, names in PROVINCES.items()])
 
-# What says remote and hybrid work.
-REMOTE = r"remote|remotely|virtual|anywhere|télétravail|telework|work from home|wfh|home office|canada[- ]wide"
-HYBRID = r"\bhybrid\b|\bflexible\b|\bflex\b|\bremote.*office\b|\boffice.*remote\b|\bdays.*office\b|\bdays.*on-?site\b|\bwork from home.*office\b|\boffice.*work from home\b"
+# Words of remote work, words of hybrid work, and pairs that say hybrid in this order.
+REMOTE = "remote; remotely; virtual; anywhere; télétravail; telework; work from home; wfh; home office; canada wide; canada-wide".split("; ")
+HYBRID = "hybrid; flexible; flex".split("; ")
+HYBRID_PAIRS = [("remote", "office"), ("office", "remote"), ("days", "office"), ("days", "onsite"), ("days", "on-site"), ("work from home", "office"), ("office", "work from home")]
 # States by code; CA is left out of the codes, as it may be Canada.
 STATES = {
     "AL": "alabama", "AK": "alaska", "AZ": "arizona", "AR": "arkansas", "CA": "california", "CO": "colorado", "CT": "connecticut", "DC": "district of columbia", "DE": "delaware",
@@ -44,20 +47,44 @@ STATES = {
 }
 
 
+def _says(x: Column, phrases: Sequence[str]) -> Column:
+    """Whether a lower-case text has any of the phrases as whole words."""
+    return x.rlike(rf"(?<![\p{{L}}\d])(?:{'|'.join(phrases)})(?![\p{{L}}\d])")
+
+
 def work_type(x: Column, city: Column) -> Column:
     """hybrid, remote or office; remote work with a city is hybrid, and nothing said is office."""
-    t = F.coalesce(x, F.lit(""))
+    t = F.lower(F.coalesce(x, F.lit("")))
     some_city = F.coalesce(F.trim(city), F.lit("")) != ""
-    return F.when(t.rlike(f"(?iu){HYBRID}"), "hybrid").when(t.rlike(rf"(?iu)(?<![\p{{L}}\d])(?:{REMOTE})(?![\p{{L}}\d])"), F.when(some_city, "hybrid").otherwise("remote")).otherwise("office")
+    hybrid = _says(t, HYBRID)
+    for first, then in HYBRID_PAIRS:
+        hybrid = hybrid | (_says(t, [first]) & t.rlike(rf"\b{first}.*\b{then}\b"))
+    return F.when(hybrid, "hybrid").when(_says(t, REMOTE), F.when(some_city, "hybrid").otherwise("remote")).otherwise("office")
+
+
+# Names of the country, as words without dots; "us" alone counts only as a whole part in capitals.
+COUNTRY = ["united states", "united states of america", "usa"]
 
 
 def us_only(x: Column) -> Column:
-    """Whether a place is in the United States, and Canada isn't named too; null and blank aren't."""
-    t = F.coalesce(x, F.lit(""))
-    names, codes = "|".join(STATES.values()), "|".join(c for c in STATES if c != "CA")
-    country = r"(?i)\b(?:united\s+states(?:\s+of\s+america)?|u\.s\.a\.|usa|u\.s\.)(?!\w)"
-    state = rf"(?i),\s*(?:{names})\b|[,\s]\s*(?:{codes})(?=\s*(?:[,.;:!?]|$|\s+united|\s+usa|\s+u\.s))"
-    return (t.rlike(country) | t.rlike(r",\s*US\s*$") | t.rlike(state)) & ~t.rlike(r"(?i)\bcanad(?:a|ian)s?\b")
+    """Whether a place is in the United States, and Canada isn't named too; null and blank aren't.
+
+    The country's name counts anywhere; a state's name at the beginning of a part after a comma, a
+    state's code as a part, or a part's last word before the country or the end of the text.
+    """
+    t = F.lower(F.coalesce(x, F.lit("")))
+    dotless = F.replace(F.replace(t, F.lit("u.s.a."), F.lit("usa")), F.lit("u.s."), F.lit("usa "))
+    parts = F.slice(F.transform(F.split(dotless, ","), lambda p: F.trim(F.regexp_replace(p, r"[.;:!?\s]+", " "))), F.lit(2), 1_000)
+    words = F.filter(F.split(F.regexp_replace(dotless, r"[\s,]+", " "), " "), lambda w: w != "")
+    codes = F.array(*[F.lit(c.lower()) for c in STATES if c != "CA"])
+    named = F.exists(parts, lambda p: F.exists(F.array(*map(F.lit, STATES.values())), lambda s: F.startswith(F.concat(p, F.lit(" ")), F.concat(s, F.lit(" ")))))
+    coded = F.exists(F.transform(parts, lambda p: F.split_part(p, F.lit(" "), F.lit(1))), lambda w: F.array_contains(codes, w)) & F.exists(
+        parts, lambda p: F.array_contains(codes, F.split_part(p, F.lit(" "), F.lit(1))) & ((F.instr(p, " ") == 0) | _says(p, COUNTRY))
+    )
+    last = F.try_element_at(words, F.lit(-1))
+    ends = (F.size(words) > 1) & F.array_contains(codes, F.regexp_replace(last, "[.;:!?]+$", ""))
+    alone = F.regexp_extract(F.coalesce(x, F.lit("")), r",\s*(US)\s*$", 1) != ""
+    return F.coalesce((_says(dotless, COUNTRY) | named | coded | ends | alone) & ~_says(t, ["canada", "canadas", "canadian", "canadians"]), F.lit(False))
 
 
 def unglued(x: Column) -> Column:

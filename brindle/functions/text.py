@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+#: Latin letters with marks, and the letters that are left of them: all in these blocks whose decomposition begins with a plain one.
+_PAIRS = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
+# Letters that are no letter with a mark, and what they fold to.
+LETTERS = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i"}
 
-# Frequent words that mark a language.
-FRENCH = "le la les des une est dans pour avec sur vous nous qui que plus".split()
-ENGLISH = "the and of to in is for with on you we that this are more".split()
+# Frequent words that mark a language, and letters that mark French.
+FRENCH = (
+    "le la les un une des du au aux et ou mais donc car que qui dont pour dans sur avec sans sous chez par plus très aussi cette ces nous vous ils elles être avoir"
+    " faire organisation organisme entreprise mission valeurs solidarité communautaire"
+).split()
+ENGLISH = (
+    "the a an and or but for with without from this that these those we you they are is was were been have has had will would can could organization organisation"
+    " company mission values about our"
+).split()
+FRENCH_LETTERS = "àâäæçéèêëïîôœùûüÿ"
 
 
 def unaccent(x: Column) -> Column:
-    return F.translate(x, MARKED, PLAIN)
+    """Latin letters without their marks, whether composed or not; œ, æ and ß as two letters."""
+    single = {**dict(_PAIRS), **{k: v for k, v in LETTERS.items() if len(v) == 1}}
+    out = F.translate(F.regexp_replace(x, r"(?<=[A-Za-z])[\u0300-\u036f]+", ""), "".join(single), "".join(single.values()))
+    for letter, two in LETTERS.items():
+        if len(two) == 2:
+            out = F.replace(out, F.lit(letter), F.lit(two))
+    return out
 
 
 def fold(x: Column) -> Column:
@@ -100,15 +115,21 @@ def marker_count(x: Column, markers: Sequence[str]) -> Column:
     return F.regexp_count(x, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(markers)})(?!\p{{L}})"))
 
 
-def language_of(chars: Column, en: Column, fr: Column, least_chars: int = 40, sure: float = 0.62) -> Column:
-    """en, fr or bilingual by the markers' counts; null for short texts and those without markers.
+def letter_count(x: Column, letters: str) -> Column:
+    """How many of a text's characters are among the letters."""
+    return F.length(x) - F.length(F.translate(x, letters, ""))
+
 
-    Counts should be columns of their own, so that each text is read once for each language.
+def language_of(chars: Column, en: Column, fr: Column, accents: Column, least_chars: int = 40, sure: float = 0.62, both: float = 0.28) -> Column:
+    """en, fr or bilingual by the markers' counts, a French letter as half a marker; null for short texts, few markers and unclear mixtures.
+
+    Counts should be columns of their own, so that each text is read once for each.
     """
-    share = F.try_divide(fr, en + fr)
-    return F.when((chars < least_chars) | share.isNull(), F.lit(None).cast("string")).otherwise(
-        F.when(share >= sure, "fr").when(share <= 1 - sure, "en").otherwise("bilingual")
-    )
+    french = fr + accents * 0.5
+    total = french + en
+    two = (french >= both * total) & (en >= both * total) & (french >= 3) & (en >= 3)
+    said = F.when(two, "bilingual").when(french >= sure * total, "fr").when(en >= sure * total, "en")
+    return F.when((chars >= least_chars) & (total >= 2), said)
 
 
 def like_literal(x: Column, part: str) -> Column:

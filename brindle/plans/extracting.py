@@ -97,7 +97,7 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     "task_phrases",
     r"""
 with t as (select doc_id, array_to_string(string_split(text, ' ')[1:(doc_id % 12)], ' ') as t from documents),
-w as (select *, len(list_filter(string_split(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as n from t)
+w as (select *, len(list_filter(string_split(regexp_replace(replace(lower(strip_accents(t)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as n from t)
 select doc_id, n = 0 or n >= 8 or starts_with(lower(trim(t)), 'the ') or lower(trim(t)) = 'the' as task from w""",
 )
 def task_phrases(spark: SparkSession, d: str) -> DataFrame:

@@ -312,14 +312,15 @@ def crosswalk_match(spark: SparkSession, d: str) -> DataFrame:
     "similar_titles",
     """
 with t as (select distinct p_brand, p_name || ' ' || p_type as t from part),
-w as (select p_brand, t, list_distinct(list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as w from t)
+v as (select p_brand, t, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) as w from t),
+w as (select p_brand, min(t) as t, w from v group by 1, 3)
 select a.p_brand, a.t as a, b.t as b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as similarity
-from w a join w b on a.p_brand = b.p_brand and a.t < b.t where len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.7""",
+from w a join w b on a.p_brand = b.p_brand and a.t < b.t where len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""",
 )
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of one brand with nearly the same words, as pairs of distinct titles."""
+    """Titles of one brand with half of their words in common or more, as pairs of which each stands for all titles of its words."""
     rows = table(spark, d, "part").select("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    return curation.similar_titles(rows, "p_brand", "title").withColumn("similarity", F.round("similarity", 6))
+    return curation.similar_titles(rows, "p_brand", "title", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(

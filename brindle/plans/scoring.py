@@ -170,19 +170,17 @@ def distinct_on_best(spark: SparkSession, d: str) -> DataFrame:
     "trigram_similarity",
     """
 with n as (select distinct p_name from part),
-g as (select p_name, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''),
-  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) as g from n)
-select a.p_name, b.n_name, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) as similarity from g a,
-(select n_name, list_distinct(list_transform(range(1, length(n_name) + 2), lambda i: substr('  ' || lower(n_name) || ' ', i, 3))) as g from (values ('stel'), ('steel pin'), ('brasss')) t(n_name)
- where not contains(n_name, ' ')) b
-where len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.1""",
+g as (select p_name, list_distinct(flatten(list_transform(string_split(lower(p_name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) as g from n)
+select a.p_name, b.p_name as other, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) as similarity from g a join (select * from g order by p_name limit 5) b
+on len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.3""",
 )
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct names that resemble two search words."""
-    words = F.explode(F.array(F.lit("stel"), F.lit("brasss"))).alias("n_name")
-    rows = table(spark, d, "part").select("p_name").distinct().select("p_name", words)
-    similarity = T.trigram_similarity(F.col("p_name"), F.col("n_name"))
-    return rows.withColumn("similarity", F.round(similarity, 6)).where(similarity >= 0.1)
+    """Distinct names that resemble one of five search texts, the first names."""
+    names = table(spark, d, "part").select("p_name").distinct()
+    asked = names.orderBy("p_name").limit(5).agg(F.collect_list("p_name").alias("l"))  # five texts in one row
+    rows = names.crossJoin(F.broadcast(asked)).select("p_name", F.explode("l").alias("other"))
+    similarity = T.trigram_similarity(F.col("p_name"), F.col("other"))
+    return rows.withColumn("similarity", F.round(similarity, 6)).where(similarity >= 0.3)
 
 
 def _words(markers: list[str]) -> str:
@@ -192,17 +190,18 @@ def _words(markers: list[str]) -> str:
 @query(
     "language_markers",
     f"""
-with w as (select doc_id, length(text) as n, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents),
-c as (select doc_id, n, len(list_filter(w, lambda x: x in ({_words(T.ENGLISH)}))) as en, len(list_filter(w, lambda x: x in ({_words(T.FRENCH)}))) as fr from w)
-select doc_id, case when n < 40 or en + fr = 0 then null when fr / (en + fr) >= 0.62 then 'fr' when fr / (en + fr) <= 0.38 then 'en' else 'bilingual' end as language from c""",
+with w as (select doc_id, length(text) as n, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda x: x <> '') as w, length(regexp_replace(lower(text), '[^{T.FRENCH_LETTERS}]', '', 'g')) as a from documents),
+c as (select doc_id, n, len(list_filter(w, lambda x: x in ({_words(T.ENGLISH)}))) as en, len(list_filter(w, lambda x: x in ({_words(T.FRENCH)}))) + a * 0.5 as fr from w)
+select doc_id, case when n < 40 or en + fr < 2 then null when fr >= 0.28 * (en + fr) and en >= 0.28 * (en + fr) and fr >= 3 and en >= 3 then 'bilingual'
+  when fr >= 0.62 * (en + fr) then 'fr' when en >= 0.62 * (en + fr) then 'en' end as language from c""",
 )
 def language_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of whole texts by their frequent words."""
+    """Languages of whole texts by their frequent words and letters."""
     low = F.lower("text")
     counted = spread(table(spark, d, "documents")).select(
-        "doc_id", F.length("text").alias("n"), T.marker_count(low, T.ENGLISH).alias("en"), T.marker_count(low, T.FRENCH).alias("fr")
+        "doc_id", F.length("text").alias("n"), T.marker_count(low, T.ENGLISH).alias("en"), T.marker_count(low, T.FRENCH).alias("fr"), T.letter_count(low, T.FRENCH_LETTERS).alias("a")
     )
-    return counted.select("doc_id", T.language_of(F.col("n"), F.col("en"), F.col("fr")).alias("language"))
+    return counted.select("doc_id", T.language_of(F.col("n"), F.col("en"), F.col("fr"), F.col("a")).alias("language"))
 
 
 @query(
@@ -285,7 +284,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "token_relevance",
     """
-with w as (select item_id, list_distinct(list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as w from benchmark)
+with w as (select item_id, list_distinct(list_filter(string_split(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as w from benchmark)
 select item_id, round(len(list_intersect(w, ['the', 'and', 'water', 'city'])) / 4, 6) as relevance from w""",
 )
 def token_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -297,19 +296,22 @@ def token_relevance(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "pay_extraction",
     """
-with t as (select o_orderkey, o_orderkey % 5 as k, cast(floor(o_totalprice) as bigint) as n from orders)
-select o_orderkey, case when k = 0 then 'HOUR' when k = 1 then 'YEAR' when k = 2 then case when n >= 20000 then 'YEAR' when n >= 1500 then 'MONTH' when n >= 200 then 'WEEK' else 'HOUR' end end as unit_text,
-  case when k < 3 then n * 100 + case when k = 0 then 50 else 0 end end as min_value, case when k = 1 then (n + 1000) * 100 end as max_value,
-  (case when k = 3 then 'USD' when k < 3 then 'CAD' end) as currency, (case when k < 2 then 0.9 when k = 2 then 0.5 else 0 end)::double as confidence from t""",
+with t as (select o_orderkey, o_orderkey % 7 as k, cast(floor(o_totalprice) as bigint) as n from orders)
+select o_orderkey, case when k = 0 then 'HOUR' when k = 1 then 'YEAR' when k = 5 then 'WEEK' when k = 6 then 'MONTH' when k = 2 then case when n >= 20000 then 'YEAR' when n >= 1500 then 'MONTH' when n >= 200 then 'WEEK' else 'HOUR' end end as unit_text,
+  case when k < 3 then n * 100 + case when k = 0 then 50 else 0 end when k = 5 then cast(round_even(n * 100 / 2, 0) as bigint) when k = 6 then 123405 end as min_value,
+  case when k = 1 then (n + 1000) * 100 when k = 6 then 123456700 end as max_value,
+  (case when k = 3 then 'USD' when k <> 4 then 'CAD' end) as currency, (case when k < 2 or k > 5 then 0.9 when k = 2 or k = 5 then 0.5 else 0 end)::double as confidence from t""",
 )
 def pay_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Pay read back from texts in several forms."""
-    k, n = F.col("o_orderkey") % 5, F.floor("o_totalprice").cast("long")
+    k, n = F.col("o_orderkey") % 7, F.floor("o_totalprice").cast("long")
     text = (
         F.when(k == 0, F.concat(n.cast("string"), F.lit(",5$/heure")))
         .when(k == 1, F.concat(F.lit("$"), F.format_number(n, 0), F.lit(" to $"), F.format_number(n + 1000, 0), F.lit(" per year")))
         .when(k == 2, n.cast("string"))
         .when(k == 3, F.concat(F.lit("US$ "), n.cast("string")))
+        .when(k == 5, F.concat(n.cast("string"), F.lit("$ par quinzaine")))
+        .when(k == 6, F.concat(F.lit("1 234,05 $ – 1,234,567 $ par mois ou mensuel")))
         .otherwise("Competitive ")
     )
     found = table(spark, d, "orders").select("o_orderkey", pay(text).alias("p"))

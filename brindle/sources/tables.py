@@ -61,6 +61,21 @@ def discard(df: DataFrame) -> None:
     """Delete the copy that materialize() wrote for this very frame; other frames are left alone."""
     ref, path = _PATHS.pop(id(df), (None, None))
     if ref is not None and ref() is df:
-        spark = df.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove(df.sparkSession, path)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder in any of the cluster's file systems."""
+    files, at = _place(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, at = _place(spark, path)
+    files.delete(at, True)

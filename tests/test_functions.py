@@ -36,8 +36,6 @@ def test_scalars(spark):
     assert round(one(spark, T.trigram_similarity(F.lit("word"), F.lit("two words"))), 4) == 0.3636
     assert one(spark, T.tokens(F.lit("C++ and C#, Été"))) == ["cplusplus", "and", "csharp", "ete"]
     assert one(spark, T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0
-    assert one(spark, T.language_of(F.lit(5), F.lit(3), F.lit(0))) is None
-    assert one(spark, T.language_of(F.lit(50), F.lit(1), F.lit(1))) == "bilingual"
     assert one(spark, T.marker_count(F.lit("the theme, and the end"), T.ENGLISH)) == 3
     assert one(spark, T.first_mapped(F.lit("Temps plein"), [("plein", "full"), ("temps", "other")])) == "full"
     assert one(spark, N.ago_days(F.lit("Posted 3 weeks ago"))) == 21
@@ -68,7 +66,13 @@ def test_upsert_and_rename(spark):
 
 def test_curation(spark):
     rows = spark.createDataFrame([("p", "Board Chair board"), ("p", "chair board"), ("p", "Treasurer"), ("q", "chair board"), ("p", None)], "b string, t string")
-    assert [(r.a, r.b2) for r in curation.similar_titles(rows.withColumnRenamed("b", "blk"), "blk", "t").withColumnRenamed("b", "b2").collect()] == [("Board Chair board", "chair board")]
+    assert curation.similar_titles(rows.withColumnRenamed("b", "blk"), "blk", "t").count() == 0  # the same words: one class
+    assert {(r.b, r.t, r.title) for r in curation.title_classes(rows, "b", "t").collect()} == {("p", "Board Chair board", "Board Chair board"), ("p", "chair board", "Board Chair board"), ("p", "Treasurer", "Treasurer"), ("q", "chair board", "chair board")}
+    more = spark.createDataFrame([("p", "Chair of Board"), ("p", "board chair"), ("p", "chair board"), ("p", "of it")], "blk string, t string")
+    assert [(r.a, r.b) for r in curation.similar_titles(more, "blk", "t", 0.6).collect()] == [("Chair of Board", "board chair")]
+    orgs = spark.createDataFrame([(1, "A", ["x"]), (2, "B", ["A", "y"]), (3, "C", None), (4, "D", None)], "k long, n string, al array<string>")
+    merges = spark.createDataFrame([(2, 1), (3, 1), (1, 1)], "k long, survivor long")
+    assert {(r.k, r.n, tuple(r.al)) for r in curation.merged(orgs, merges, "k", "n", "al").collect()} == {(1, "A", ("x", "B", "y", "C")), (4, "D", ())}
 
 
 def test_limits(spark):
@@ -83,7 +87,8 @@ def test_limits(spark):
     [("25$/heure", ("HOUR", 2500, None, None, "CAD", 0.9)), ("60 000$ a 75 000$ par annee", ("YEAR", 6000000, 7500000, None, "CAD", 0.9)),
      ("28$ de l'heure, 35 heures/semaine", ("HOUR", 2800, 3500, 35, "CAD", 0.9)), ("some wage text with no numbers", (None, None, None, None, "CAD", 0.0)),
      ("$56,987.50", ("YEAR", 5698750, None, None, "CAD", 0.5)), ("26,78", ("HOUR", 2678, None, None, "CAD", 0.5)), ("40 EUR", (None, None, None, None, "EUR", 0.0)),
-     (" N/A", (None, None, None, None, None, 0.0)), ("9" * 40, (None, None, None, None, "CAD", 0.0))],
+     ("2 001 $ par quinzaine", ("WEEK", 100050, None, None, "CAD", 0.5)), ("$1,500.01 to $2,000 biweekly", ("WEEK", 75000, 100000, None, "CAD", 0.9)),
+     ("1,234,567.5 $ 12.5 an hour 1234 567 100 000", ("HOUR", 1250, 56710000000, None, "CAD", 0.5)), (" N/A", (None, None, None, None, None, 0.0)), ("9" * 40, (None, None, None, None, "CAD", 0.0))],
 )
 def test_pay(spark, text, want):
     from brindle.functions.pay import pay
