@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import ann, audio, chat, html_extract, mixing, packing, quality, simhash, tokens, winnow
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,13 +27,13 @@ def _query(name: str, sql: str | None = None):
 @_query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints that differ in two bits or fewer."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @_query("op2_quality")
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior, score and decision of every document."""
-    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.classify(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @_query("op3_mixing", mixing.MIX_SQL.format(docs="documents"))
@@ -46,7 +46,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_tokens")
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
-    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @_query("op5_neighbours")
@@ -58,13 +58,13 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_html")
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extract.extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 @_query("op7_lines", winnow.DEDUP_SQL.format(docs="documents"))
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later repeated runs of lines."""
-    return winnow.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return winnow.dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @_query("op8_chat")
@@ -79,7 +79,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece's place, and a checksum of its ids."""
-    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length"
     )
@@ -88,7 +88,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_audio")
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's audio stream, read back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     heard = audio.scan_media(audio.add_media(docs))
     return heard.select(
         "doc_id",
