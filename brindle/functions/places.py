@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,46 @@ def province_code(x: Column) -> Column:
     t = fold(x)
     return F.coalesce(*[F.when(t.isin(code.lower(), *names), F.lit(code)) for code, names in PROVINCES.items()])
 
+#: What names the country alone.
+HOME = ["canada", "ca"]
+
+
+def peeled(x: Column) -> Column:
+    """A folded place without the country at its end, however often it stands there."""
+    return F.regexp_replace(fold(F.coalesce(x, F.lit(""))), rf"(?:[\s,]*(?:^|[\s,])(?:{'|'.join(HOME)}))+[\s,]*$", "")
+
+
+def province_alone(x: Column) -> Column:
+    """The code of a place that is just a province, with or without the country; else null."""
+    return province_code(peeled(x))
+
+
+def country_alone(x: Column) -> Column:
+    """Whether a place is just the country; null and blank aren't."""
+    return (peeled(x) == "") & (F.trim(F.coalesce(x, F.lit(""))) != "")
+
+
+def place_alias(x: Column, aliases: Mapping[str, str], as_prefix: Sequence[str] = ()) -> Column:
+    """What a folded place stands for: exactly, or for those in as_prefix also where a comma or blank and more follows; else null."""
+    key = fold(x)
+    exact = F.coalesce(*[F.when(key == a, F.lit(v)) for a, v in aliases.items()])
+    begun = [F.when(F.startswith(key, F.lit(f"{a},")) | F.startswith(key, F.lit(f"{a} ")), F.lit(aliases[a])) for a in as_prefix]
+    return F.coalesce(exact, *begun)
+
+
+def needs_city(x: Column, remote: Column, filled: Sequence[Column], province: Column) -> Column:
+    """Whether a place still has to be looked up.
+
+    Blank ones, the country alone and remote work don't; a province alone only if its code isn't
+    there; others if any of filled is missing.
+    """
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    lacking = F.lit(False)
+    for c in filled:
+        lacking = lacking | blank(c)
+    return ~(blank(x) | remote | country_alone(x)) & F.when(province_alone(x).isNotNull(), blank(province)).otherwise(lacking)
+
+
 # Words of remote work, words of hybrid work, and pairs that say hybrid in this order.
 REMOTE = "remote; remotely; virtual; anywhere; télétravail; telework; work from home; wfh; home office; canada wide; canada-wide".split("; ")
 HYBRID = "hybrid; flexible; flex".split("; ")

@@ -132,6 +132,13 @@ def language_of(chars: Column, en: Column, fr: Column, accents: Column, least_ch
     return F.when((chars >= least_chars) & (total >= 2), said)
 
 
+def url_locale(url: Column) -> Column:
+    """en, fr or bilingual by the parts of a URL's path that name a language, with or without a region; else null."""
+    path = F.concat(F.regexp_extract(F.lower(url), r"^(?:[a-z]+://)?[^/?#]*([^?#]*)", 1), F.lit("/"))
+    fr, en = path.rlike(r"/(?:fr(?:-[a-z]+)?|fran[cç]ais)/"), path.rlike(r"/(?:en(?:-[a-z]+)?|english|anglais)/")
+    return F.when(fr & en, "bilingual").when(fr, "fr").when(en, "en")
+
+
 def like_literal(x: Column, part: str) -> Column:
     """Whether the folded text holds part; % and _ are ordinary characters."""
     return F.contains(fold(x), fold(F.lit(part)))

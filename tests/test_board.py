@@ -91,3 +91,23 @@ def test_texts(spark):
 def test_report_lines(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "r string")
     assert [tuple(r) for r in relational.reason_lines(df, "r").collect()] == [("a", 2, "a × 2")]
+
+
+def test_selectors():
+    from brindle.sources import selectors as S
+
+    page = '<div class="job big"><h2 id=t>Clerk &amp; <b>Boss</b></h2><a rel=next href="/2">More</a><p>One<p class=pay>20 $</div><h2>Other</h2><![x[><p data-k="v w">last'
+    asked = {"h2": "Clerk & Boss", ".job.big h2#t": "Clerk & Boss", "a[rel=next]@href": "/2", "div .pay": "20 $", "h2 p": None, "p[data-k='v w']": "last", "img@src": None, "* b": "Boss"}
+    assert S.fields(page, [S.parse(s) for s in asked]) == list(asked.values())
+    assert S.fields(None, [S.parse("p")]) == [None]
+
+
+def test_guards(spark):
+    from brindle.operators import upkeep
+
+    rows = [("a", p, k) for p, ks in enumerate(["xy", "yz", "xx", "yx", "n"]) for k in ks] + [("b", 0, None), ("b", 1, "q")]
+    df = spark.createDataFrame(rows, "run string, page long, key string")
+    assert {tuple(r) for r in upkeep.page_guard(df, "run", "page", "key").collect()} == {("a", 0, "x"), ("a", 0, "y"), ("a", 1, "z"), ("b", 1, "q")}
+    steps = spark.createDataFrame([("a", i, c) for i, c in enumerate(["c1", "c2", "c1", "c3"])] + [("b", 0, None), ("b", 1, "c")], "run string, step long, cursor string")
+    assert {(r.run, r.step) for r in upkeep.cursor_guard(steps, "run", "step", "cursor").collect()} == {("a", 0), ("a", 1), ("a", 2), ("b", 0)}
+    assert upkeep.page_guard(df.limit(0), "run", "page", "key").count() == 0
