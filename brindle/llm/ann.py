@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 1. A bounded sample trains coarse centroids and, on what they leave over, a codebook for each
-   part of the dimensions. How many lists a query probes is measured on the same sample.
+   part of the dimensions. A query probes lists by the largest inner product that it may expect
+   there, from the list's centroid, spread and size; how many is measured on the same sample.
 2. Every distinct vector goes to its centroid's list, with a byte for each part.
 3. Queries meet the lists that they probe in blocks of bounded size. A table of inner products
    for each query and part scores a block's codes; the best of a block are scored again by
@@ -30,8 +31,8 @@ SAMPLE = 8192
 LIST, LISTS = 2048, 4096
 #: Parts of the dimensions, and codes of each.
 PARTS, CODES = 16, 256
-#: Share of the sample's true neighbours that the probed lists must hold.
-COVERED = 0.97
+#: Share of the sample's true neighbours that the probed lists must hold, share of its queries that must have half of theirs there, and such queries.
+COVERED, HALF, ASKED = 0.98, 0.998, 512
 #: Candidates and queries of a block, and candidates of it that are scored exactly for each neighbour asked for.
 BLOCK, QUERIES, DEPTH = 4096, 2048, 6
 
@@ -59,8 +60,14 @@ class Model:
     centroids: np.ndarray  # (lists, dim)
     books: list[np.ndarray]  # for each part: (codes, width)
     cuts: list[int]  # where parts begin and end
+    reach: np.ndarray  # of each list: how far its largest inner product may lie over the centroid's, for a query of length one
     probes: int
 
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """The lists of each query, the most promising first."""
+        length = np.sqrt((queries**2).sum(1))
+        return np.argsort(-(queries @ self.centroids.T + length[:, None] * self.reach), 1, kind="stable")
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each row, and the codes of what its centroid leaves over."""
         own = nearest(x, self.centroids)
@@ -77,19 +84,29 @@ class Model:
 
 
 def fit(sample: np.ndarray, n: int, k: int, seed: int = 5) -> Model:
-    """Centroids, books and probes from a sample of n distinct vectors, for k neighbours."""
+    """Centroids, books, reaches and probes from a sample of n distinct vectors, for k neighbours."""
     rng = np.random.default_rng(seed)
     centroids = kmeans(sample, max(1, min(LISTS, len(sample) // 8, -(-n // LIST))), rng)
-    left = sample - centroids[nearest(sample, centroids)]
+    own = nearest(sample, centroids)
+    left = sample - centroids[own]
     cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int).tolist()
     books = [kmeans(left[:, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
-    asked = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
-    score = asked @ sample.T
-    true = np.argsort(-score, 1)[:, 1 : k + 1]
-    order = np.argsort(np.argsort(-(asked @ centroids.T), 1), 1)
-    place = np.sort(np.take_along_axis(order, nearest(sample, centroids)[true], 1).ravel())
-    probes = int(place[min(len(place) - 1, int(COVERED * len(place)))]) + 1 if len(place) else 1
-    return Model(centroids, books, cuts, probes)
+    held = np.bincount(own, minlength=len(centroids))
+    square = np.bincount(own, (left**2).sum(1), len(centroids)) / np.maximum(held, 1) / sample.shape[1]
+    # the largest of so many normal numbers of that deviation, about
+    reach = np.sqrt(square * 2 * np.log(np.maximum(held * n / len(sample), 2)))
+    model = Model(centroids, books, cuts, reach, 1)
+    chosen = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
+    score = sample[chosen] @ sample.T
+    score[np.arange(len(chosen)), chosen] = -np.inf
+    true = _best(score, min(k, len(sample) - 1)) if len(sample) > 1 else np.zeros((len(chosen), 0), np.int64)
+    place = np.argsort(model.order(sample[chosen]), 1)
+    met = np.sort(np.take_along_axis(place, own[true], 1), 1)
+    if met.size:
+        every = np.sort(met.ravel())
+        few = np.sort(met[:, (met.shape[1] - 1) // 2])  # by when a query has half of its neighbours
+        model.probes = int(max(every[min(len(every) - 1, int(COVERED * len(every)))], few[min(len(few) - 1, int(HALF * len(few)))])) + 1
+    return model
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -154,7 +171,7 @@ def search(
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             q = _array(x["v"])
-            order = np.argsort(-(q @ model.centroids.T), 1, kind="stable")
+            order = model.order(q)
             enough = (np.cumsum(held[order], 1) <= k).sum(1) + 1  # lists that hold k others at least
             most = np.minimum(np.maximum(model.probes, enough), order.shape[1])
             yield pd.DataFrame({"query": x["query"], "v": x["v"], "lists": [o[:m] for o, m in zip(order, most, strict=True)]})

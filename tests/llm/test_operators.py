@@ -393,6 +393,30 @@ def test_neighbours(spark, sf):
     assert all(abs(r.score - by[r.query_id] @ by[r.vec_id]) < 1e-12 for r in got.itertuples())
 
 
+@pytest.mark.parametrize("kind", ["clusters", "uneven norms", "no structure"])
+def test_neighbours_over_many_lists(spark, monkeypatch, kind):
+    """Mean and least recall over ten lists or more, against brute force."""
+    monkeypatch.setattr(ann, "LIST", 300)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    if kind != "no structure":
+        x = rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)] * 2 + x * 0.4
+    if kind == "uneven norms":
+        x *= rng.lognormal(0, 0.7, 6000)[:, None]
+    seen = []
+    monkeypatch.setattr(ann, "fit", lambda *a, f=ann.fit, **b: seen.append(f(*a, **b)) or seen[-1])
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": range(6000), "embedding": x.tolist()}))
+    got = ann.search(vectors, F.col("vec_id") % 20 == 0).toPandas()
+    score = x[::20] @ x.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-score, 1)[:, :20]
+    recall = np.array([len(set(g.sort_values("rank").vec_id) & set(want[q // 20])) for q, g in got.groupby("query_id")]) / 20
+    assert len(seen[0].centroids) >= 10 and len(recall) == 300
+    assert recall.mean() >= 0.95 and recall.min() >= 0.5, (recall.mean(), recall.min(), seen[0].probes)
+    if kind == "clusters":
+        assert seen[0].probes < len(seen[0].centroids)
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [1.0, 1.0])]
