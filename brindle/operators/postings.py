@@ -173,11 +173,15 @@ def _two_least(df: DataFrame, key: str) -> DataFrame:
 _CONTENT = "org words day city prov has_prov kind source head clone hours core number host".split()
 
 
-def _by_content(df: DataFrame, label: str) -> DataFrame:
-    """Prepared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, id and URL only."""
+def compared(df: DataFrame) -> DataFrame:
+    """What the rows of df are compared by: words, core, day, city, province, kind, head and clone of the body, hours, listing number and host."""
     number = F.nullif(F.regexp_extract("url", r"(?i)(?:/job/[^/\s]*-|jobId=)(\d{4,})", 1), F.lit(""))
-    rows = _prepared(df, "new", "known").withColumn("number", number).withColumn("host", board(F.col("url")))
-    return materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
+    return _prepared(df, *[c for c in ("new", "known") if c in df.columns]).withColumn("number", number).withColumn("host", board(F.col("url")))
+
+
+def _by_content(df: DataFrame, label: str) -> DataFrame:
+    """Compared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, id and URL only."""
+    return materialize(compared(df).withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
 
 
 def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
