@@ -16,7 +16,7 @@ _URLS = ["https://ca.indeed.com/x?jobId=1234{n}", "http://www.glassdoor.ca/job/c
 _HOSTS = ["indeed.com", "glassdoor.com", "jobs.example.org", "linkedin.com"]
 
 _POSTS = """
-with p as (select o_orderkey as id, o_custkey % 60 as org, o_orderkey % 3 as t, cast(o_orderdate as date) as d, ['a', 'b', 'c', 'd'][o_custkey % 4 + 1] as body, o_orderkey // 2 as url from orders)
+with p as (select o_orderkey as id, o_custkey % 600 as org, o_orderkey % 3 as t, cast(o_orderdate as date) as d, ['a', 'b', 'c', 'd'][o_orderkey // 5 % 4 + 1] as body, o_orderkey // 2 as url from orders)
 """
 
 
@@ -24,8 +24,8 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     pick = lambda n, values, by=k: F.get(F.array(*map(F.lit, values)), (by % n).cast("int"))
     return table(spark, d, "orders").select(
-        k.alias("id"), (c % 60).cast("string").alias("org"), pick(3, ["Head clerk", "Clerk and typist", "Nurse"]).alias("title"), F.concat(F.lit("https://h/"), F.floor(k / 2).cast("string")).alias("url"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.repeat(pick(4, ["a", "b", "c", "d"], c), F.lit(100)).alias("body"), F.lit(None).cast("string").alias("city"),
+        k.alias("id"), (c % 600).cast("string").alias("org"), pick(3, ["Head clerk", "Clerk and typist", "Nurse"]).alias("title"), F.concat(F.lit("https://h/"), F.floor(k / 2).cast("string")).alias("url"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.repeat(pick(4, ["a", "b", "c", "d"], F.floor(k / 5)), F.lit(100)).alias("body"), F.lit(None).cast("string").alias("city"),
         F.lit(None).cast("string").alias("province"), F.lit(None).cast("string").alias("kind"), F.lit("s").alias("source"),
     )
 
