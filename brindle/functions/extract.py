@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brindle.functions.text import clean, tokens
+from brindle.functions.text import bound, clean, tokens
 
 # What may stand before an amount of pay, in English and French.
 PAY_LABELS = [
@@ -79,12 +79,12 @@ def employment_kind(*texts: Column) -> Column:
     parts = F.regexp_replace(F.lower(F.concat_ws("\n", *texts)), r"[.,;:!?()\[\]\n]+", " | ")  # clauses end there
     words = F.regexp_replace(parts, r"[^\p{L}\p{N}_|-]+", " ")
     line = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), hedged_pattern(), "  ")
-    found = [
-        F.when(F.instr(line, f" {w} ") > 0, F.struct(F.instr(line, f" {w} ").alias("at"), F.lit(i).alias("i"), F.lit(kind).alias("kind")))
-        for i, (kind, words_) in enumerate(KINDS.items())
-        for w in words_
-    ]
-    return F.array_min(F.array_compact(F.array(*found)))["kind"]
+
+    def first(t: Column) -> Column:
+        found = [F.struct(F.instr(t, f" {w} ").alias("at"), F.lit(i).alias("i"), F.lit(kind).alias("kind")) for i, (kind, ws) in enumerate(KINDS.items()) for w in ws]
+        return F.array_min(F.filter(F.array(*found), lambda x: x["at"] > 0))["kind"]
+
+    return bound(line, first)
 
 
 def middle_cut(x: Column, most: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.text import bound
+
 # What says a unit, in the order in which units are looked for.
 UNITS = {
     "HOUR": r"heure|horaire|/h\b|/hr\b|per hour|hourly",
@@ -75,25 +77,32 @@ def pay(x: Column) -> Column:
     halves to the even cent.
     """
     amounts = F.filter(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(_RUN), F.lit(0)), lambda run: _amounts(run))), lambda c: c > 0)
-    said, currency = _first(x, UNITS), F.coalesce(_first(x, CURRENCIES), F.lit("CAD"))
-    least = F.array_min(amounts)
-    guess = F.coalesce(*[F.when(least >= n, F.lit(u)) for u, n in LEAST.items()], F.when(least.isNotNull(), F.lit("HOUR")))
+    vague = x.isNull() | x.rlike(rf"(?iu)^\s*({VAGUE})\s*$")
     hours = F.coalesce(
         *[
             F.nullif(F.regexp_extract(x, p, 1), F.lit("")).try_cast("int")
             for p in (r"(?iu)(\d+)\s*h(?:eures?)?(?:/|\s+par\s+)semaine", r"(?iu)(\d+)\s*(?:hours?|hrs?)\s*(?:per|/)\s*week")
         ]
     )
-    own = currency == "CAD"
-    vague = x.isNull() | x.rlike(rf"(?iu)^\s*({VAGUE})\s*$")
-    told, halved = ~vague & own, x.rlike(f"(?iu){TWO_WEEKS}")
-    most = F.when(F.size(amounts) > 1, F.array_max(amounts))
-    weekly = lambda c: F.when(halved, F.bround(c / 2).cast("long")).otherwise(c)
-    return F.struct(
-        F.when(told, F.when(halved, "WEEK").otherwise(F.coalesce(said, guess))).alias("unit_text"),
-        F.when(told, weekly(least)).alias("min_value"),
-        F.when(told, weekly(most)).alias("max_value"),
-        F.when(told, hours).alias("hours_per_week"),
-        F.when(~vague, currency).alias("currency"),
-        F.when(vague | least.isNull() | ~own, 0.0).when(said.isNotNull(), 0.9).otherwise(0.5).alias("confidence"),
-    )
+    facts = F.struct(
+        amounts.alias("amounts"), _first(x, UNITS).alias("said"), F.coalesce(_first(x, CURRENCIES), F.lit("CAD")).alias("currency"), vague.alias("vague"),
+        hours.alias("hours"), F.coalesce(x.rlike(f"(?iu){TWO_WEEKS}"), F.lit(False)).alias("halved"),
+    )
+
+    def told(f: Column) -> Column:
+        least = F.array_min(f["amounts"])
+        guess = F.coalesce(*[F.when(least >= n, F.lit(u)) for u, n in LEAST.items()], F.when(least.isNotNull(), F.lit("HOUR")))
+        most = F.when(F.size(f["amounts"]) > 1, F.array_max(f["amounts"]))
+        own = f["currency"] == "CAD"
+        known = ~f["vague"] & own
+        weekly = lambda c: F.when(f["halved"], F.bround(c / 2).cast("long")).otherwise(c)
+        return F.struct(
+            F.when(known, F.when(f["halved"], "WEEK").otherwise(F.coalesce(f["said"], guess))).alias("unit_text"),
+            F.when(known, weekly(least)).alias("min_value"),
+            F.when(known, weekly(most)).alias("max_value"),
+            F.when(known, f["hours"]).alias("hours_per_week"),
+            F.when(~f["vague"], f["currency"]).alias("currency"),
+            F.when(f["vague"] | least.isNull() | ~own, 0.0).when(f["said"].isNotNull(), 0.9).otherwise(0.5).alias("confidence"),
+        )
+
+    return bound(facts, told)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def unaccent(x: Column) -> Column:
     return out
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once however often f refers to it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def fold(x: Column) -> Column:
     """Lower case without marks, trimmed."""
     return F.trim(F.lower(unaccent(x)))
