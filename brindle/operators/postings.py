@@ -191,6 +191,7 @@ def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
     city, hours and kind, equal bodies, bodies 0.9 alike, or 0.7 in the same city on another board.
     """
     classes = rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT], F.max(left).alias("left"), F.max(right).alias("right"))
+    classes = classes.withColumn("letters", _letters(F.col("head")))
     pairs = _titled(_near(_sides(classes.where("left"))[0], _sides(classes.where("right"))[1])).where("alike >= 0.7 or order >= 0.85")
     listed = F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False))
     vague = (F.col("a_has_prov") & F.col("a_prov").isNull()) | (F.col("b_has_prov") & F.col("b_prov").isNull())
@@ -210,7 +211,6 @@ def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
     common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     rest = F.least(*[F.length(f"{side}_head") - F.aggregate(f"{side}_letters", F.lit(0), lambda s, x: s + x) for side in "ab"])
     may = F.least(common + rest, shorter) * 2 / lengths >= F.col("need")
-    pairs = pairs.withColumns({f"{side}_letters": _letters(F.col(f"{side}_head")) for side in "ab"})
     pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)").where(F.col("sure") | may), "b_cls")
     ratio = ratio_from(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"), F.coalesce("need", F.lit(0.0)))
     return materialize(pairs.withColumn("ratio", ratio).where("sure or ratio is not null").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
