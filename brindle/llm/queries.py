@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ann, audio, chat, html_extract, mixing, packing, quality, simhash, tokens, winnow
+from brindle.llm import ann, audio, chat, codes, html_extract, mixing, packing, pieces, quality, simhash, spelling, tokens, winnow
 from brindle.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,27 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "audio.samples",
         "audio.rate",
     )
+
+
+@_query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's pieces and of what they read like."""
+    coded = pieces.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query("op12_codes", codes.CODES_SQL.format(vectors="embeddings"))
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each vector, its error and that of its label."""
+    coded, books = codes.compress(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+    labels = coded.groupBy("label").agg(F.sum("error").alias("label_error"))
+    return coded.join(labels, coded["label"].eqNullSafe(labels["label"]), "left").select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.sha2(F.lit(codes.digest(books)), 256).alias("codebooks_sha256")
+    )
+
+
+@_query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts, slips planted by rule, each with its form and root."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.group_spellings(docs, change=spelling.planted).select("word", "form", "root", "n", "n_near", "form_n")
