@@ -6,10 +6,12 @@ element it stands in. A line's ratio is its unlinked text by its tags. Names wei
 that HTML or a whole class name calls an advert, a menu, comments and the like weigh nothing,
 parts with a doubtful name a fifth, and parts called article or main double.
 
-The weighted ratios are smoothed by a Gaussian within each part. Lines over a threshold are
-content, and cluster: lines between them, beside them in the same box, or in the article that
-they are in belong to their region. Nothing but the ratio tells content from the rest where a
-page has no names.
+No ratio counts for more than the median of lines as long as a sentence, so that one very long
+paragraph doesn't raise the threshold over others, or its neighbours over it. The weighted
+ratios are smoothed by a Gaussian within each part. Lines over a threshold are content, and
+cluster: lines between them, beside them in the same box, between boxes of one parent that have
+them, or in the article that they are in belong to their region. Nothing but the ratio tells
+content from the rest where a page has no names.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ DOUBTFUL_WORDS = frozenset(
 #: Words that say where or of what kind a part is; a name of these and aside words alone is that of an aside.
 PLACE_WORDS = frozenset(
     "area article articles bar block blog body bottom box btn button buttons col column container content entry form global group icon icons inner"
-    " item items left link links list main message module outer page panel post posts reader right section site slot story text title top unit user"
+    " item items left link links list main message module outer page panel post posts reader right section site slot story text thread title top unit user"
     " wrap wrapper".split()
 )
 #: The whole of a class or id that names the page's header.
@@ -77,8 +79,12 @@ MAIN_WORDS = re.compile(
 )
 
 SIGMA = 1.0
-#: Lines count as content from this share of the ratios' mean, or of their deviation if smaller.
+#: Lines count as content from this share of the ratios' mean.
 SHARE = 0.5
+#: Unlinked characters of a line that tell how long the page's lines of text are; no ratio counts for more than their median.
+SENTENCE = 40
+#: A line that its neighbours lift over the threshold has at least this share of the largest ratio by itself.
+OWN = 0.1
 #: What names weigh: none for asides, and these for doubtful names and for what is called article or main.
 DOUBTFUL, MAIN = 0.2, 2.0
 #: Lines between two clusters that are still one, at most.
@@ -309,9 +315,10 @@ def content_lines(lines: list[Line], nodes: list[Node], weight: np.ndarray, sigm
     if not len(on):
         return out
     ratio = np.array([weight[i] * max(0, len(lines[i].text) - 2 * lines[i].linked) / max(1, lines[i].tags) for i in on])
-    smoothed = smooth(ratio, np.array([nodes[lines[i].node].doubtful for i in on]), sigma)
-    threshold = min(share * smoothed.mean(), smoothed.std() or np.inf)
-    out[on] = (smoothed >= threshold) & (smoothed > 0)
+    texts = ratio[[len(lines[i].text) - lines[i].linked >= SENTENCE for i in on]]
+    level = np.minimum(ratio, np.median(texts)) if len(texts) else ratio
+    smoothed = smooth(level, np.array([nodes[lines[i].node].doubtful for i in on]), sigma)
+    out[on] = (smoothed >= share * smoothed.mean()) & (smoothed > 0) & (level >= OWN * level.max())
     return out
 
 
@@ -320,17 +327,26 @@ def regions(lines: list[Line], nodes: list[Node], weight: np.ndarray, content: n
 
     A line belongs to content if it stands in an article or main part with most of the
     content, directly in a box that has content of its own, or between two content lines that
-    are at most GAP lines apart. Lines that weigh nothing never belong, and lines of a part with
-    a doubtful name belong to content of that part alone.
+    are at most GAP lines apart. A line that isn't mostly links also belongs if its box stands
+    between two boxes of the same parent that have content of their own. Lines that weigh
+    nothing never belong, and lines of a part with a doubtful name belong to content of that
+    part alone. Where no line is content, unlinked or not, all that an article or main part
+    has is its region.
     """
+    if not content.any():
+        return np.array([w > 0 and nodes[x.node].named >= 0 and nodes[x.node].doubtful <= nodes[x.node].named for x, w in zip(lines, weight, strict=True)], bool)
     mass, boxed = [0] * len(nodes), [False] * len(nodes)
     box = [0] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
         box[i] = i if n.tag in BOXES and n.blocks else box[n.up]
-    for x, c in zip(lines, content, strict=True):
+    around = [box[n.up] if i and box[i] == i else -1 for i, n in enumerate(nodes)]  # of each box, the one it stands in
+    row: dict[int, tuple[int, int]] = {}  # of each parent, the first and last content directly in a box of its own
+    for i, (x, c) in enumerate(zip(lines, content, strict=True)):
         if c:
             mass[x.node] += len(x.text)
             boxed[box[x.node]] = True
+            parent = around[box[x.node]]
+            row[parent] = (row.get(parent, (i, i))[0], i)
     for i in range(len(nodes) - 1, 0, -1):
         mass[nodes[i].up] += mass[i]
     meant = [False] * len(nodes)
@@ -355,7 +371,8 @@ def regions(lines: list[Line], nodes: list[Node], weight: np.ndarray, content: n
         elif weight[i]:
             since += 1
             own = n.doubtful < 0 or mass[n.doubtful] > 0
-            out[i] = out[i] or own and (meant[x.node] or boxed[box[x.node]])
+            before, after = row.get(around[box[x.node]], (i, i)) if 2 * x.linked <= len(x.text) else (i, i)
+            out[i] = out[i] or own and (meant[x.node] or boxed[box[x.node]] or before < i < after)
     return out
 
 
