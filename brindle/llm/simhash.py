@@ -11,14 +11,16 @@ Links at a set similarity need more bits than that and a larger radius, which bl
 deal out. similar_groups() takes wide fingerprints and several tables of drawn bits. Rows of a
 table carry a short sketch of the fingerprint only; the hierarchy searches each group of one key
 by sketches, at a radius that hardly any similar pair exceeds. What these loose links connect is
-searched again by whole fingerprints, of which each is shuffled once. Larger groups of either
-search are dealt out as pairs of blocks, so that all pairs of a group meet whatever its size.
+searched again by whole fingerprints, again at a radius that hardly any similar pair exceeds,
+and what is near there is compared by its shingles themselves: only pairs that are as similar as
+was asked for link. Larger groups of either search are dealt out as pairs of blocks, so that all
+pairs of a group meet whatever its size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -195,9 +197,12 @@ class GrayIndex:
         pair, m, n = np.nonzero(there & (differ <= radius))
         return a[pair, m], b[pair, n]
 
-    def roots(self, radius: int) -> np.ndarray:
+    def roots(self, radius: int, accept: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """For every code the place of the first code that it is linked with over links of radius bits or fewer.
 
+        accept(a, b, labels), if given, tells which of such pairs link; it may leave out pairs
+        that others connect anyway.
+
         Pairs of nodes are followed down from the groups' roots. Differences in the bits that
         both nodes share add up on the way; beyond radius the whole pair of groups is left
         out. Pairs whose codes are all of one component already are left out as well, which
@@ -215,7 +220,7 @@ class GrayIndex:
             bounds = np.repeat(bounds, np.diff(first))
         group[:] = bounds
         near = near[group[near] == group[near + 1]]
-        labels = _joined(labels, near, near + 1)
+        labels = _joined(labels, *(accept(near, near + 1, labels) if accept else (near, near + 1)))
         uniform = self._uniform(labels)
         i = np.flatnonzero(np.diff(self.first[-1]) > 0)
         stack = [(top, i, i, np.zeros(len(i), np.int16), np.zeros((len(i), self.codes.shape[1]), np.uint64))]
@@ -233,7 +238,8 @@ class GrayIndex:
                 continue
             first = self.first[level - 1]
             if level == 1:  # what is below are codes: blocks of them meet
-                merged = _joined(labels, *self._near(first, i, j, radius))
+                a, b = self._near(first, i, j, radius)
+                merged = _joined(labels, *(accept(a, b, labels) if accept else (a, b)))
                 if merged is not labels and not np.array_equal(merged, labels):
                     labels = merged
                     uniform = self._uniform(labels)
@@ -363,10 +369,10 @@ def near_duplicates(
 WIDE, SKETCH, RECALL = 16, 2, 0.97
 #: Distinct fingerprints that should share a key of a table by chance.
 CROWD = 1024
-#: A group of more rows than this is dealt out as pairs of blocks of half as many rows.
-WIDE_LIMIT = 8192
-#: Rows that a task gathers before it searches the groups that are whole.
-CHUNK = 16384
+#: A group of more rows than this is dealt out as pairs of blocks, each an eighth of it, but from a quarter to twice this limit.
+WIDE_LIMIT = 2048
+#: Rows, and bytes of their shingles, that a task gathers before it searches the groups that are whole.
+CHUNK, CHUNK_BYTES = 16384, 1 << 26
 
 
 def differing_share(similarity: float) -> float:
@@ -389,10 +395,41 @@ def table_bits(n: int, similarity: float, words: int = WIDE, recall: float = REC
     return [rng.choice(64 * words, bits, replace=False).tolist() for _ in range(tables)]
 
 
-def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """As _search, for each (key, part); nothing but their borders cuts the rows. Codes are in the columns w0, w1, ... or in fp."""
+class Alike:
+    """Accepts pairs of rows whose sets of shingles are as similar as asked; pairs that are connected already aren't looked at."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.size = np.array([len(s) for s in sets], np.int64)
+
+    def similar(self, a: int, b: int) -> bool:
+        shared = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
+        return shared >= self.similarity * (self.size[a] + self.size[b] - shared) - 1e-9
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        open_ = (labels[a] != labels[b]) & (small >= self.similarity * large - 1e-9)
+        a, b = a[open_], b[open_]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        took = []
+        for at, (i, j, la, lb) in enumerate(zip(a.tolist(), b.tolist(), labels[a].tolist(), labels[b].tolist(), strict=True)):
+            la, lb = top(la), top(lb)
+            if la != lb and self.similar(i, j):
+                up[max(la, lb)] = min(la, lb)
+                took.append(at)
+        return a[took], b[took]
+
+
+def _search_wide(batches: Iterator[pd.DataFrame], radius: int, similarity: float = 0.0) -> Iterator[pd.DataFrame]:
+    """As _search, for each (key, part); nothing but their borders cuts the rows. Codes are in the columns w0, w1, ... or in fp; with shingles in set, only similar pairs link."""
     held: list[pd.DataFrame] = []
-    rows = 0
+    rows = size = 0
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
         key, part = x["key"].to_numpy(), x["part"].to_numpy()
@@ -400,7 +437,8 @@ def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
             codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
         else:
             codes = np.stack([x[c].to_numpy().view(np.uint64) for c in x.columns if c[0] == "w"], 1)
-        roots = GrayIndex(codes, np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])).roots(radius)
+        accept = Alike([np.frombuffer(v, "<u8") for v in x["set"]], similarity) if "set" in x else None
+        roots = GrayIndex(codes, np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])).roots(radius, accept)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         nodes = x["node"].to_numpy()
         return pd.DataFrame({"a": nodes[linked], "b": nodes[roots[linked]]})
@@ -408,41 +446,44 @@ def _search_wide(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
     for x in batches:
         held.append(x)
         rows += len(x)
-        if rows >= CHUNK:
+        size += int(x["set"].map(len).sum()) if "set" in x else 0
+        if rows >= CHUNK or size >= CHUNK_BYTES:
             x = pd.concat(held, ignore_index=True)
             last = (x["key"] == x["key"].iloc[-1]) & (x["part"] == x["part"].iloc[-1])
-            held, rows = [x[last]], int(last.sum())
+            held, rows, size = [x[last]], int(last.sum()), 0
             if rows < len(x):
                 yield links(x[~last].reset_index(drop=True))
     if rows:
         yield links(pd.concat(held, ignore_index=True))
 
 
-def deal_pairs(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+def deal_pairs(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     """rows with a part: 0, or for keys of sizes (key, size) each pair of blocks that the row's own is one of.
 
-    A row's block is drawn by a hash of its node, of as many as hold about `block` rows each;
-    two rows of a key are in a part together at least once.
+    A row's block is drawn by a hash of its node; blocks are an eighth of their key's rows
+    each, but a quarter of the limit at least and twice the limit at most. Two rows of a key
+    are in a part together at least once.
     """
+    block = F.greatest(F.lit(max(1, limit // 4)), F.least(F.col("size") / 8, F.lit(2 * limit)))
     blocks = F.ceil(F.col("size") / block)
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks)
     others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda t: t != own)
     pairs = F.transform(others, lambda t: F.least(t, own) * blocks + F.greatest(t, own))
     parts = F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))
-    return rows.join(F.broadcast(sizes), "key", "left").withColumn("part", F.explode(parts)).drop("size")
+    return rows.join(sizes, "key", "left").withColumn("part", F.explode(parts)).drop("size")
 
 
-def _grouped_links(rows: DataFrame, keys: DataFrame, rank: Column, radius: int, group_limit: int) -> DataFrame:
+def _grouped_links(rows: DataFrame, keys: DataFrame, rank: Column, radius: int, group_limit: int, similarity: float = 0.0) -> DataFrame:
     """Links (a, b) of rows (key, node, codes) that span what is linked in each key's group; keys has the same keys again, to be counted."""
     counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     sizes = materialize(counted.where(F.col("size") > group_limit), "sizes")  # at most the rows over group_limit
-    rows = rows.withColumn("part", F.lit(0).cast("long")) if sizes.isEmpty() else deal_pairs(rows, sizes, group_limit // 2)
+    rows = rows.withColumn("part", F.lit(0).cast("long")) if sizes.isEmpty() else deal_pairs(rows, sizes, group_limit)
     return (
         rows.repartition("key", "part")
         .withColumn("rank", rank)
         .sortWithinPartitions("key", "part", "rank")
         .drop("rank")
-        .mapInPandas(lambda it: _search_wide(it, radius), "a long, b long")
+        .mapInPandas(lambda it: _search_wide(it, radius, similarity), "a long, b long")
         .distinct()
     )
 
@@ -457,33 +498,40 @@ def similar_groups(
     recall: float = RECALL,
     group_limit: int = WIDE_LIMIT,
 ) -> DataFrame:
-    """(doc, copy, node, group): each row's id, its text's hash, its fingerprint's hash and its group's.
-
-    Texts are grouped over links of wide fingerprints that differ in wide_radius(similarity)
-    bits or fewer; equal word sequences always are. A pair of just that similarity shares a
-    table's key with probability `recall`, more similar ones more surely, and exceeds the
-    sketches' radius with probability 0.001. All pairs that share a key are compared by
-    sketches, and all pairs that such links connect by whole fingerprints: a group is whole in a
-    task up to group_limit rows; a larger connected one is first split by the tables' keys; and
-    beyond that each two blocks of a group meet in a task, which grows with the square of such
-    a group over group_limit. Texts without words are one group of their own.
+    """(doc, copy, node, group): each row's id, its text's hash, its shingles' hash and its group's.
+
+    Texts are grouped over links of pairs whose sets of shingles have a Jaccard similarity of
+    `similarity` or more, as compared by the shingles themselves; equal sets always are. No
+    other pair links. A pair of just that similarity is found if it shares a table's key, with
+    probability `recall`, and exceeds the radius of sketches or of fingerprints with
+    probability 0.001 each; more similar ones are found more surely. All pairs that share a key
+    are compared by sketches, and all pairs that such links connect by whole fingerprints, then
+    by shingles: a group is whole in a task up to group_limit rows; a larger connected one is
+    first split by the tables' keys; and beyond that each two blocks of a group meet in a task,
+    which grows with the square of such a group over group_limit. Texts without words are one
+    group of their own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            fps = [fingerprint_words(rolled_hashes(t, shingle), words).tobytes() for t in x["body"]]
-            yield pd.DataFrame({"doc": x["doc"].astype("Int64"), "copy": x["copy"], "fp": fps})
+            hashes = [rolled_hashes(t, shingle) for t in x["body"]]
+            nodes = [xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes]
+            fps = [fingerprint_words(h, words).tobytes() for h in hashes]
+            yield pd.DataFrame({"doc": x["doc"].astype("Int64"), "copy": x["copy"], "fp": fps, "node": np.array(nodes, np.uint64).view(np.int64)})
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"copy": x["copy"], "set": [np.unique(rolled_hashes(t, shingle)).astype("<u8").tobytes() for t in x["body"]]})
 
     body = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(body).alias("copy"), body.alias("body"))
-    marked = rows.mapInPandas(run, "doc long, copy long, fp binary").withColumn("node", F.xxhash64("fp"))
-    marked = materialize(marked, "wide")
-    distinct = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp")), "distinct")
+    marked = materialize(rows.mapInPandas(run, "doc long, copy long, fp binary, node long"), "wide")
+    distinct = materialize(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("copy").alias("copy")), "distinct")
     tables = table_bits(distinct.count(), similarity, words, recall)
     sketched = min(SKETCH, words)
 
     def keys(batches: Iterator[pd.DataFrame], want: str) -> Iterator[pd.DataFrame]:
-        """A row for each table: its key alone, or with the row's sketch, or with its fingerprint and group."""
+        """A row for each table: its key alone, or with the row's sketch, or with all that the row has."""
         for x in batches:
             codes = np.frombuffer(b"".join(x["fp"]), "<u8").reshape(len(x), -1)
             bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
@@ -494,7 +542,7 @@ def similar_groups(
                 if want != "key":
                     out |= {"node": x["node"], **sketch}
                 if want == "fp":
-                    out |= {"group": x["group"], "fp": x["fp"]}
+                    out |= {"group": x["group"], "fp": x["fp"], "set": x["set"]}
                 yield pd.DataFrame(out)
 
     columns = ", ".join(f"w{i} long" for i in range(sketched))
@@ -503,16 +551,19 @@ def similar_groups(
         distinct.mapInPandas(lambda it: keys(it, "key"), "key long"),
         gray_rank(F.col("w0")), wide_radius(similarity, sketched, 3), group_limit,
     )
-    near = connected_components(loose).select("node", F.col("component").alias("group"))
-    near = materialize(near.join(distinct, "node"), "near")
+    near = connected_components(loose).select("node", F.col("component").alias("group")).join(distinct, "node")
+    near = materialize(near, "near")
+    # shingles of one text for each near node; the texts of equal hashes are one row a task before they are shuffled
+    texts = rows.select("copy", "body").join(near.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.first("body").alias("body"))
+    near = materialize(near.join(texts.mapInPandas(shingles, "copy long, set binary"), "copy").drop("copy"), "near-sets", spent=[near])
     large = near.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("group")
     large = materialize(large, "large")  # at most the rows over group_limit
-    fine = near.join(F.broadcast(large), "group", "left_anti").select(F.col("group").alias("key"), "node", "fp")
+    fine = near.join(large, "group", "left_anti").select(F.col("group").alias("key"), "node", "fp", "set")
     if not large.isEmpty():
-        crowded = near.join(F.broadcast(large), "group", "left_semi").mapInPandas(lambda it: keys(it, "fp"), "key long, node long, group long, fp binary")
-        fine = fine.unionByName(crowded.select(F.xxhash64("group", "key").alias("key"), "node", "fp"))
+        crowded = near.join(large, "group", "left_semi").mapInPandas(lambda it: keys(it, "fp"), "key long, node long, group long, fp binary, set binary")
+        fine = fine.unionByName(crowded.select(F.xxhash64("group", "key").alias("key"), "node", "fp", "set"))
     first_word = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
-    links = _grouped_links(fine, fine.select("key"), gray_rank(first_word), wide_radius(similarity, words), group_limit)
+    links = _grouped_links(fine, fine.select("key"), gray_rank(first_word), wide_radius(similarity, words, 3), group_limit, similarity)
     parts = connected_components(links)
     groups = parts.select("node", F.col("component").alias("group"))
     labels = distinct.select("node").join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
@@ -523,7 +574,7 @@ def similar_groups(
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, wordless: bool = True
 ) -> DataFrame:
-    """docs with the row of the smallest id of each group of similar texts, and all of its columns.
+    """docs with the row of the smallest id of each group of similar texts (see similar_groups), and all of its columns.
 
     Of equal ids that with the smallest hash of its text stays, of equal rows one; null ids
     come last. Texts without words (null, empty) are no copies of each other and stay if
