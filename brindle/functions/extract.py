@@ -7,37 +7,52 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.pay import AMOUNT
 from brindle.functions.text import bound, clean, tokens
 
-# What may stand before an amount of pay, in English and French.
-PAY_LABELS = [
-    "salaire", "salaire horaire", "salaire mensuel", "salaire mensuelle", "salaire de base", "rémunération", "remuneration", "rèmunération", "taux horaire",
-    "compensation", "wage", "salary", "pay",
-]
-#: Labels that need a colon: the word alone says too little.
+# What may stand before an amount of pay, in English and French, without accents.
+PAY_LABELS = ["salaire", "salaire horaire", "salaire mensuel", "salaire mensuelle", "salaire de base", "remuneration", "taux horaire", "compensation", "wage", "salary"]
+# A label that says so only with a colon, and signs, lower-case words and units of amounts.
 COLON_LABELS = ["pay"]
-
-_DOLLARS = r"\$\d[\d,]*(?:\.\d+)?"
-_AMOUNT = rf"(?:{_DOLLARS}|\d+(?:[ ,.]\d+)*\s*\$)"
-_TO = r"\s*(?:-|–|—|to|à)\s*"
-
-
-def pay_patterns() -> list[str]:
-    """Patterns of pay in the order in which they are tried, with the amount or range as first group; plain enough for RE2."""
-    some = rf"{_AMOUNT}(?:{_TO}{_AMOUNT})?"
-    free = "|".join(sorted((w for w in PAY_LABELS if w not in COLON_LABELS), key=lambda w: (-len(w), w)))
-    strict = "|".join(w for w in PAY_LABELS if w in (*COLON_LABELS, "compensation", "salary", "wage"))
-    return [
-        rf"(?i)(?:{free})[^0-9$\n]{{0,80}}({some})",
-        rf"(?i)(?:{strict})\s*:\s*({_DOLLARS}(?:{_TO}{_DOLLARS})?)",
-        rf"(?i)({_DOLLARS}{_TO}{_DOLLARS})",
-        rf"(?i)({some})\s*(?:/\s*(?:heure|hr|h)\b|de\s+l['’]heure)",
-    ]
+RANGE_SIGNS = ["-", "–", "—", "to", "à"]
+HOUR_UNITS = ["heure", "hr", "h"]
+#: How far before its amount a label may stand.
+NEAR = 80
 
 
 def pay_text(x: Column) -> Column:
-    """The amount or range of pay that a text states: after a label, as a dollar range, or by the hour; null without one."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(x, p, 1)), F.lit("")) for p in pay_patterns()])
+    """The amount or range of pay that a text states; null without one.
+
+    Amounts are found first, with the text between them. Two that only a range sign parts are
+    a range. An amount counts by what stands next to it: a label up to NEAR characters before
+    it in its line, with no digit or dollar sign between; else a colon label right before it;
+    else that it is a range of leading dollar signs; else that it is by the hour. The first
+    amount of the best kind is it.
+    """
+    amounts, gaps = F.regexp_extract_all(x, F.lit(AMOUNT), F.lit(0)), F.split(x, AMOUNT)
+
+    def among(s: Column) -> Column:
+        amount, gap = lambda i: F.get(s["amounts"], i), lambda i: F.get(s["gaps"], i)
+
+        def kind(i: Column) -> Column:
+            ranged = F.coalesce(F.lower(F.trim(gap(i + 1))).isin(*RANGE_SIGNS) & amount(i + 1).isNotNull(), F.lit(False))
+            line = F.translate(F.lower(F.regexp_extract(gap(i), r"([^0-9$\n]*)$", 1)), "éèêë", "eeee")
+            labelled, colon = F.lit(False), F.lit(False)
+            for label in PAY_LABELS:
+                labelled = labelled | F.contains(F.right(line, F.lit(NEAR + len(label))), F.lit(label))
+            for label in COLON_LABELS:
+                colon = colon | F.endswith(F.regexp_replace(line, r"\s*:\s*$", ":"), F.lit(f"{label}:"))
+            after = F.lower(F.regexp_replace(F.ltrim(gap(F.when(ranged, i + 2).otherwise(i + 1))), r"[\s’']+", " "))
+            hourly = F.regexp_extract(after, r"^/ ?(\p{L}+)", 1).isin(*HOUR_UNITS) | F.startswith(after, F.lit("de l heure"))
+            leads = F.startswith(amount(i), F.lit("$"))
+            rank = F.when(labelled, 1).when(colon & leads, 2).when(ranged & leads & F.startswith(amount(i + 1), F.lit("$")), 3).when(hourly, 4)
+            text = F.trim(F.when(ranged, F.concat(amount(i), gap(i + 1), amount(i + 1))).otherwise(amount(i)))
+            return F.struct(rank.alias("rank"), i.alias("at"), text.alias("text"))
+
+        places = F.when(F.size(s["amounts"]) > 0, F.sequence(F.lit(0), F.size(s["amounts"]) - 1))
+        return F.array_min(F.filter(F.transform(places, kind), lambda k: k["rank"].isNotNull()))["text"]
+
+    return bound(F.struct(amounts.alias("amounts"), gaps.alias("gaps")), among)
 
 
 def without_label(x: Column, labels: Sequence[str] = ("compensation", "salary", "wage", "pay")) -> Column:

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import slug, unaccent
 
-# What page titles add to a name, and what may stand before it there: a bar or slash ("|"), or also a dash ("|-").
-# "?" makes the character or bracket before it optional, and a blank stands for any white space.
-ADDED = {
-    "apply": "|-", "apply now": "|-", "postuler": "|-", "postulez": "|-", "linktree": "|-", "linktr.ee": "|-", "carrd": "|-", "carrd.co": "|-", "bio.link": "|-", "lnk.bio": "|-",
-    "about": "|-", "about us": "|-", "home": "|-", "accueil": "|-", "welcome": "|-", "bienvenue": "|-", "career": "|-", "careers": "|-", "job": "|-", "jobs": "|-", "emploi": "|-",
-    "emplois": "|-", "contact": "|-", "contact us": "|-", "social impact": "|-", "candidat": "|", "candidature": "|", "candidater": "|", "submit": "|", "submit application": "|",
-    "submit a application": "|", "submit an application": "|", "beacons.ai": "|", "solo.to": "|", "allmylinks": "|", "official site": "|", "our story": "|", "who we are": "|",
-    "get involved": "|", "facebook": "|", "instagram": "|",
-}
+# What page titles add to a name after a bar, slash or dash.
+AFTER_ANY = [
+    "apply", "apply now", "postuler", "postulez", "linktree", "linktr.ee", "carrd", "carrd.co", "bio.link", "lnk.bio", "about", "about us", "home",
+    "accueil", "welcome", "bienvenue", "career", "careers", "job", "jobs", "emploi", "emplois", "contact", "contact us", "social impact",
+]
+# What they add after a bar or slash only.
+AFTER_BAR = [
+    "candidat", "candidature", "candidater", "submit", "submit application", "submit a application", "submit an application", "beacons.ai",
+    "solo.to", "allmylinks", "official site", "our story", "who we are", "get involved", "facebook", "instagram",
+]
 # What is counted in names.
 COUNTED = "position positions poste postes opening openings vacancy vacancies role roles offre offres".split()
 
@@ -33,7 +34,7 @@ def _endings() -> str:
     dash = r"(?:\s+[-–—]|[–—])\s*"
     counted = rf"\d+\s+(?:{_any(COUNTED)})"
     kinds = [
-        rf"\s*[|/]\s*(?:{_any(ADDED)})", rf"{dash}(?:{_any(p for p, sign in ADDED.items() if '-' in sign)})",
+        rf"\s*[|/]\s*(?:{_any(AFTER_ANY + AFTER_BAR)})", rf"{dash}(?:{_any(AFTER_ANY)})",
         rf"\s*\(\s*{counted}\s*\)", rf"\s*\[\s*{counted}\s*\]", rf"\s*[-–—]\s*{counted}",
     ]
     return rf"(?i)(?:{'|'.join(kinds)})+\s*$"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import fold, jaccard, trigram_list, trigrams
+from brindle.sources.tables import materialize
 
 # Words that full-text search leaves out.
 STOPS = {
@@ -51,6 +52,47 @@ def label_search(df: DataFrame, key: str, label: Column, aliases: Column, wanted
     return rows.orderBy(F.col("score").desc(), key).limit(limit)
 
 
+def label_prefixes(df: DataFrame, key: str, label: Column, aliases: Column, wanted: str, limit: int) -> DataFrame:
+    """The first `limit` of df's rows by key whose label or an alias begins with wanted, folded; the prefix is chosen before the limit."""
+    q = fold(F.lit(wanted))
+    others = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: a.isNotNull())
+    begins = F.startswith(fold(F.coalesce(label, F.lit(""))), q) | F.exists(others, lambda a: F.startswith(fold(a), q))
+    return df.where(begins).orderBy(key).limit(limit)
+
+
+def similar_texts(df: DataFrame, key: str, text: str, least: float = LIKE) -> DataFrame:
+    """(key, other, similarity): all pairs of rows, each both ways, whose texts' trigrams have a Jaccard similarity of `least` or more.
+
+    An inverted index of trigrams: each text's are put in order, the rarest of the table first,
+    and only as many enter the index as any similar text must share one of. Texts meet by a
+    trigram if their sizes, and what can still follow in both after it, allow the similarity;
+    pairs that met are compared once, by their trigrams. Frequent trigrams hardly ever enter,
+    and Spark splits the join's hot ones. Texts without trigrams, and null ones, resemble none.
+    """
+    rows = materialize(df.select(F.col(key).alias("_k"), trigrams(F.col(text)).alias("_g")).where(F.size("_g") > 0), "grams")
+    found = materialize(candidates(rows, least), "candidates")
+    a, b = (rows.select(F.col("_k").alias(k), F.col("_g").alias(g)) for k, g in (("_a", "_x"), ("_b", "_y")))
+    met = found.join(a, "_a").join(b, "_b").withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).where(F.col("similarity") >= least)
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both = met.select(F.explode(F.array(pair("_a", "_b"), pair("_b", "_a"))).alias("p"), "similarity")
+    return both.select(F.col("p.a").alias(key), F.col("p.b").alias("other"), "similarity")
+
+
+def candidates(rows: DataFrame, least: float) -> DataFrame:
+    """(_a, _b), _a < _b: pairs of rows (_k, _g) that meet in the index of similar_texts."""
+    grams = rows.select("_k", F.size("_g").alias("_n"), F.explode("_g").alias("_w"))
+    often = grams.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+    order = Window.partitionBy("_k").orderBy("_f", "_w")
+    placed = grams.join(often, "_w").withColumn("_p", F.row_number().over(order))
+    # a text of n trigrams shares ceil(least * n) with a similar one, so one of its first n - that + 1
+    index = placed.where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select("_w", "_k", "_n", "_p")
+    a = index.select("_w", *[F.col(c).alias(c + "a") for c in ("_k", "_n", "_p")])
+    b = index.select("_w", *[F.col(c).alias(c + "b") for c in ("_k", "_n", "_p")])
+    shared = F.ceil((F.col("_na") + F.col("_nb")) * (least / (1 + least)) - 1e-9)
+    left = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb")) + 1
+    return a.join(b, "_w").where((F.col("_ka") < F.col("_kb")) & (left >= shared)).select(F.col("_ka").alias("_a"), F.col("_kb").alias("_b")).distinct()
+
+
 def _stem(w: Column, language: str) -> Column:
     for pattern in SUFFIXES[language]:
         w = F.regexp_replace(w, pattern, "$1")

@@ -1,3 +1,3 @@
 """Named queries over the tables of a data folder; importing this registers them."""
 
-from brindle.plans import boards, curating, extracting, listings, repeats, resolving, scoring, upkeep  # noqa: F401
+from brindle.plans import boards, curating, extracting, listings, recalculating, repeats, resolving, scoring, upkeep  # noqa: F401

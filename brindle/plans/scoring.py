@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import numbers as N
 from brindle.functions import text as T
 from brindle.functions.pay import pay
-from brindle.operators import incremental, matching
+from brindle.operators import incremental, matching, search
 from brindle.operators.relational import best_per_key
 from brindle.plans.registry import query
 from brindle.sources.tables import spread, table
@@ -54,7 +54,7 @@ def rank_weights(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "value_match",
     """
-with v as (select n_nationkey as owner, p_brand as value, min(p_size) as rank from part join nation on p_partkey % 25 = n_nationkey where p_size <= 20 group by 1, 2),
+with v as (select n_nationkey as owner, p_brand as value, min(p_size) as rank from part join nation on p_partkey % 25 = n_nationkey group by 1, 2),
 r as (select *, 1.0 - (rank - 1)::double / count(*) over (partition by owner) * 0.5 as w from v),
 t as (select *, sum(w) over (partition by owner) as total from r),
 i as (select distinct s_suppkey as item, p_brand as value from supplier join part on s_suppkey = p_partkey % 1000),
@@ -64,7 +64,7 @@ select owner, item, shared, round(least(overlap / total + least(0.1 * shared, 0.
 def value_match(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all owners and items that share a value."""
     part = table(spark, d, "part")
-    values = part.where("p_size <= 20").join(table(spark, d, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    values = part.join(table(spark, d, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey"))
     values = values.select(F.col("n_nationkey").alias("owner"), F.col("p_brand").alias("value"), F.col("p_size").alias("rank"))
     items = table(spark, d, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey") % 1000)
     items = items.select(F.col("s_suppkey").alias("item"), F.col("p_brand").alias("value"))
@@ -170,17 +170,14 @@ def distinct_on_best(spark: SparkSession, d: str) -> DataFrame:
     "trigram_similarity",
     """
 with n as (select distinct p_name from part),
-g as (select p_name, list_distinct(flatten(list_transform(string_split(lower(p_name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) as g from n)
-select a.p_name, b.p_name as other, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) as similarity from g a join (select * from g order by p_name limit 5) b
-on len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.3""",
+g as (select p_name, unnest(list_distinct(flatten(list_transform(string_split(lower(p_name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) as g from n),
+c as (select p_name, count(*) as n from g group by 1), o as (select a.p_name, b.p_name as other, count(*) as s from g a join g b using (g) where a.p_name <> b.p_name group by 1, 2)
+select o.p_name, other, round(s / (a.n + b.n - s), 6) as similarity from o join c a on a.p_name = o.p_name join c b on b.p_name = other where s / (a.n + b.n - s) >= 0.3""",
 )
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct names that resemble one of five search texts, the first names."""
+    """All pairs of distinct names that resemble each other."""
     names = table(spark, d, "part").select("p_name").distinct()
-    asked = names.orderBy("p_name").limit(5).agg(F.collect_list("p_name").alias("l"))  # five texts in one row
-    rows = names.crossJoin(F.broadcast(asked)).select("p_name", F.explode("l").alias("other"))
-    similarity = T.trigram_similarity(F.col("p_name"), F.col("other"))
-    return rows.withColumn("similarity", F.round(similarity, 6)).where(similarity >= 0.3)
+    return search.similar_texts(names, "p_name", "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
 def _words(markers: list[str]) -> str:

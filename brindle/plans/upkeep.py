@@ -227,30 +227,30 @@ def early_stop(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "repooled_vectors",
     """
-with c as (select label, embedding[1]::double as x, vec_id from embeddings)
-select label, round(case when label % 2 = 0 then avg(x) filter (where vec_id % 3 = 0) else avg(x) end, 6) as mean from c where label <> 4 group by 1""",
+with c as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos, vec_id from embeddings)
+select label, pos::bigint as pos, round(case when label % 2 = 0 then avg(x) filter (where vec_id % 3 = 0) else avg(x) end, 6) as mean from c where label <> 4 group by 1, 2""",
 )
 def repooled_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Pools of vectors after the rows of some keys changed; only these are worked out anew."""
-    rows = table(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"), "vec_id")
-    pools = rows.groupBy("label").agg(F.avg("x").alias("mean"))
+    """Pools of vectors, all components of them, after the rows of some keys changed; only these are worked out anew."""
+    rows = table(spark, d, "embeddings").select("label", "embedding", "vec_id")
+    pools = matching.pooled(rows, "label", "embedding", F.lit(1.0))
     changed = rows.where("label % 2 = 0").select("label")
-    fresh = rows.where("label % 2 = 0 and label <> 4 and vec_id % 3 = 0").groupBy("label").agg(F.avg("x").alias("mean"))
-    return incremental.repooled(pools, changed, fresh, "label").withColumn("mean", F.round("mean", 6))
+    fresh = matching.pooled(rows.where("label % 2 = 0 and label <> 4 and vec_id % 3 = 0"), "label", "embedding", F.lit(1.0))
+    return incremental.repooled(pools, changed, fresh, "label").select("label", F.col("pos").cast("long"), F.round("value", 6).alias("mean"))
 
 
 @query(
     "text_hygiene",
     r"""
-select doc_id, nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')), '') as clean,
+select doc_id, nullif(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')), '') as clean,
   case doc_id % 4 when 0 then 'https://x.org/' || doc_id when 1 then 'mailto:a@x.org' end as url, coalesce(case when doc_id % 3 = 0 then null end, case when doc_id % 2 = 0 then 'b' end, source) as first from documents""",
 )
 def text_hygiene(spark: SparkSession, d: str) -> DataFrame:
-    """Beginnings of texts without control characters and runs of blanks, safe URLs, and first filled values."""
+    """Whole texts without control characters and runs of blanks, safe URLs, and first filled values."""
     k = F.col("doc_id")
     url = F.when(k % 4 == 0, F.concat(F.lit(" https://x.org/"), k.cast("string"))).when(k % 4 == 1, "mailto:a@x.org").when(k % 4 == 2, "JavaScript:x").otherwise("")
     first = T.first_filled(F.when(k % 3 > 0, " "), F.when(k % 2 == 0, " b "), F.col("source"))
-    return table(spark, d, "documents").select("doc_id", T.clean(F.substring("text", 1, 200)).alias("clean"), T.safe_url(url).alias("url"), first.alias("first"))
+    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("clean"), T.safe_url(url).alias("url"), first.alias("first"))
 
 
 @query(
@@ -288,7 +288,7 @@ def phrase_likeness(spark: SparkSession, d: str) -> DataFrame:
 def prefix_labels(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred labels that begin with two letters, by name or alias."""
     rows = table(spark, d, "part").withColumn("aliases", F.array("p_type"))
-    return search.label_search(rows, "p_partkey", F.col("p_name"), F.col("aliases"), "BL", 100).where("score = 0.1").select("p_partkey")
+    return search.label_prefixes(rows, "p_partkey", F.col("p_name"), F.col("aliases"), "BL", 100).select("p_partkey")
 
 
 @query(
