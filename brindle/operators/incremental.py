@@ -175,3 +175,23 @@ def repooled(pools: DataFrame, changed: DataFrame, fresh: DataFrame, key: str) -
     """pools with the rows of changed keys replaced by fresh ones; changed keys without fresh rows go. fresh should be worked out for changed keys only."""
     keys = changed.select(key).distinct()
     return pools.join(keys, key, "left_anti").unionByName(fresh.join(keys, key, "left_semi"))
+
+
+def pool_sums(rows: DataFrame, owner: str, vector: str, weight: Column, sign: Column | None = None) -> DataFrame:
+    """(owner, pos, n, weight, total): what weighted mean vectors are kept as: rows, weights and weighted components, added up."""
+    by = F.lit(1) if sign is None else sign
+    parts = rows.select(owner, by.cast("long").alias("_s"), weight.cast("double").alias("_w"), F.posexplode(vector).alias("pos", "_x")).where("_w is not null and _x is not null")
+    return parts.groupBy(owner, "pos").agg(
+        F.sum("_s").alias("n"), F.sum(F.col("_s") * F.col("_w")).alias("weight"), F.sum(F.col("_s") * F.col("_w") * F.col("_x").cast("double")).alias("total")
+    )
+
+
+def shifted_sums(sums: DataFrame, changes: DataFrame, owner: str) -> DataFrame:
+    """pool_sums() after changes, which are sums of added rows and, with a sign of -1, of removed ones.
+
+    Only owners that changes mention are added up again; owners without rows left go. A changed
+    row is removed as it was and added as it is.
+    """
+    keys = changes.select(owner).distinct()
+    touched = sums.join(keys, owner, "left_semi").unionByName(changes).groupBy(owner, "pos").agg(*[F.sum(c).alias(c) for c in ("n", "weight", "total")])
+    return sums.join(keys, owner, "left_anti").unionByName(touched.where("n <> 0"))

@@ -181,7 +181,8 @@ def compared(df: DataFrame) -> DataFrame:
 
 def _by_content(df: DataFrame, label: str) -> DataFrame:
     """Compared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, id and URL only."""
-    return materialize(compared(df).withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label)
+    rows = materialize(compared(df), f"{label}-compared")  # written first: the hash would have all its columns worked out again
+    return materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label, spent=[rows])
 
 
 def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:

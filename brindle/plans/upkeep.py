@@ -239,6 +239,26 @@ def repooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repooled(pools, changed, fresh, "label").select("label", F.col("pos").cast("long"), F.round("value", 6).alias("mean"))
 
 
+@query(
+    "shifted_pools",
+    """
+with r as (select label, vec_id % 10 + case when vec_id % 5 = 0 then 1 else 0 end as w, embedding from embeddings where vec_id % 7 > 0 and label <> 3 union all select (label + 1) % 10, 2, embedding from embeddings where vec_id % 11 = 0),
+x as (select label, w, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from r)
+select label::int as label, pos::bigint as pos, count(*) as n, round(sum(w * x) / nullif(sum(w), 0), 6) as mean from x group by 1, 2""",
+)
+def shifted_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted mean vectors after a batch of inserts, updates and deletes, by what these add and take away."""
+    k, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, d, "embeddings")
+    sums = incremental.pool_sums(rows, "label", "embedding", k % 10)
+    removed = rows.where((k % 7 == 0) | (label == 3) | (k % 5 == 0)).select("label", "embedding", (k % 10).alias("w"), F.lit(-1).alias("sign"))
+    raised = rows.where((k % 7 > 0) & (label != 3) & (k % 5 == 0)).select("label", "embedding", (k % 10 + 1).alias("w"), F.lit(1).alias("sign"))
+    copied = rows.where(k % 11 == 0).select(((label + 1) % 10).alias("label"), "embedding", F.lit(2).cast("long").alias("w"), F.lit(1).alias("sign"))
+    changes = incremental.pool_sums(removed.unionByName(raised).unionByName(copied), "label", "embedding", F.col("w"), F.col("sign"))
+    shifted = incremental.shifted_sums(sums, changes, "label")
+    return shifted.select("label", F.col("pos").cast("long"), "n", F.round(F.try_divide("total", "weight"), 6).alias("mean"))
+
+
 @query(
     "text_hygiene",
     r"""
