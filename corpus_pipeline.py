@@ -21,7 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 alike or more.
+    """One document of each group of links between documents whose five-word shingles are 0.8 alike or more, as compared exactly.
 
     Documents that the lines stage has emptied are one group too, so one row of them stays.
     """
