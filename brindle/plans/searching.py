@@ -15,8 +15,8 @@ from brindle.sources.tables import spread, table
 PLAIN = {"prefix": "erat", "phrase": '"of the"', "mixed": 'the -and or "by for the"', "hyphen": "on-the with", "without": '-the -"la de"', "none": '"" or'}
 #: Searches by language, for stems.
 STEMMED = {
-    "en": {"prefix": "libraries", "phrase": '"terms of the services"', "mixed": 'rating -heated or "all rights reserved"', "stops": '"of the"'},
-    "fr": {"prefix": "mentions", "phrase": '"droits réservés"', "mixed": "eaux -mentions", "stops": "le la"},
+    "en": {"prefix": "things", "phrase": '"all right reserve"', "distance": '"licensing under the Apaches"', "mixed": 'ering -reserved or "erat the erring"', "stops": '"of the"'},
+    "fr": {"prefix": "mentons", "both": "mentons ments", "mixed": "éeaux -mentons or tions", "stops": "le la"},
 }
 
 
