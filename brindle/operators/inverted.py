@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections import defaultdict
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from brindle.functions.stems import STOPS, stem
 from brindle.sources.tables import materialize
 
+_WORD = re.compile(r"[^\W_]+")
+#: Positions after which a worker hands its rows on.
+FLUSH = 500_000
+
 
 class Part(NamedTuple):
     """Lexemes that must stand at these distances from a start, or mustn't (minus); or one that words begin with (prefix)."""
@@ -30,11 +36,11 @@ def parse(wanted: str, language: str) -> list[list[Part]]:
     """
 
     def lexemes(x: str) -> tuple[tuple[int, str], ...]:
-        words = [(i, w) for i, w in enumerate(re.findall(r"[^\W_]+", x.lower())) if w not in STOPS[language]]
+        words = [(i, w) for i, w in enumerate(_WORD.findall(x.lower())) if w not in STOPS[language]]
         return tuple((i - words[0][0], stem(w, language)) for i, w in words)
 
     wanted = wanted.strip()
-    if re.fullmatch(r"[^\W_]+", wanted):
+    if _WORD.fullmatch(wanted):
         found = lexemes(wanted)
         return [[Part(found, prefix=True)]] if found else []
     alternatives: list[list[Part]] = [[]]
@@ -50,27 +56,51 @@ def build(docs: DataFrame, key: str, text: Column, language: str) -> DataFrame:
     """(key, lexeme, positions): where in each text its lexemes stand, in order; stop words count as places and have no rows.
 
     The key is unique; rows of a null key, and null or wordless texts, have no rows. Words are
-    runs of letters and digits in lower case. A document's rows are put together where it is
-    read, and only they are shuffled, by key and lexeme, so frequent lexemes are many groups.
+    runs of letters and digits in lower case. A document's rows are made where it is read:
+    nothing is shuffled, and a distinct word of a text is stemmed once.
     """
     stops = STOPS[language]
-
-    @F.pandas_udf("array<string>")
-    def stemmed(words: pd.Series) -> pd.Series:
-        return words.map(lambda each: [None if w in stops else stem(w, language) for w in each])
-
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.where(F.col(key).isNotNull()).select(key, (words if language == "simple" else stemmed(words)).alias("_words"))
-    placed = rows.select(key, F.posexplode("_words").alias("_place", "lexeme")).where("lexeme is not null")
-    return placed.groupBy(key, "lexeme").agg(F.sort_array(F.collect_list("_place")).alias("positions"))
-
-
-def stored(index: DataFrame, key: str) -> DataFrame:
-    """The index written in order of lexeme and key, so that a search reads the row groups of its lexemes only.
-
-    Ranges are cut within lexemes too: a frequent one is spread over several files.
+    out = StructType([docs.schema[key], StructField("lexeme", StringType()), StructField("positions", ArrayType(IntegerType()))])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(0).type
+            keys, lexemes, ends, places = [], [], [0], []
+
+            def made() -> pa.RecordBatch:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(lexemes, pa.string()), lists], names=out.names)
+
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = defaultdict(list)
+                for i, w in enumerate(_WORD.findall(x.as_py().lower())):
+                    found[w].append(i)
+                stems = defaultdict(list)
+                for w, at in found.items():
+                    if w not in stops:
+                        stems[stem(w, language)] += at
+                for w, at in stems.items():
+                    keys.append(k)
+                    lexemes.append(w)
+                    places += sorted(at)
+                    ends.append(len(places))
+                if len(places) > FLUSH:
+                    yield made()
+                    keys, lexemes, ends, places = [], [], [0], []
+            yield made()
+
+    rows = docs.where(F.col(key).isNotNull()).select(key, text.alias("_text")).where(F.col("_text").isNotNull())
+    return rows.mapInArrow(postings, out)
+
+
+def stored(index: DataFrame, key: str, ranges: bool = False) -> DataFrame:
+    """The index written in order of lexeme, so that a search reads the row groups and pages of its lexemes only.
+
+    Each partition is a segment of its own, in order by itself, and nothing is shuffled. For
+    an index of many searches `ranges` puts it in order as a whole, by ranges that are cut
+    within lexemes too, so that a search opens few files and a frequent lexeme is several.
     """
-    return materialize(index.repartitionByRange("lexeme", key).sortWithinPartitions("lexeme", key), "inverted")
+    return materialize((index.repartitionByRange("lexeme", key) if ranges else index).sortWithinPartitions("lexeme", key), "inverted")
 
 
 def find(index: DataFrame, key: str, searches: Mapping[str, str], language: str, keys: DataFrame | None = None) -> DataFrame:

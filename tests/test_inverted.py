@@ -53,9 +53,10 @@ def test_stop_words_keep_their_distance(spark):
 
 def test_scan_is_filtered(spark):
     docs = spark.createDataFrame(list(TEXTS.items()), "k long, t string")
-    index = I.stored(I.build(docs, "k", F.col("t"), "simple"), "k")
+    index = I.stored(I.build(docs, "k", F.col("t"), "simple"), "k", ranges=True)
     found = I.find(index, "k", {"s": "city library", "t": "lib"}, "simple")
     plan = found._jdf.queryExecution().simpleString()
+    assert {tuple(r) for r in found.collect()} == {("t", k) for k in by_loop(TEXTS, "lib", "simple")} | {("s", k) for k in by_loop(TEXTS, "city library", "simple")}
     assert re.search(r"PushedFilters: \[[^\]]*(In|StringStartsWith)\(lexeme", plan)
 
 
