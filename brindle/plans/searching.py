@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import inverted
+from brindle.functions.text import LETTERS
+from brindle.operators import inverted, stretches
 from brindle.plans.registry import query
 from brindle.sources.tables import spread, table
 
@@ -47,3 +48,36 @@ def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
         return inverted.find(index, "doc_id", STEMMED[language], language, table(spark, d, "documents").select("doc_id")).select(F.lit(language).alias("language"), "search", "doc_id")
 
     return reduce(DataFrame.unionByName, map(one, STEMMED))
+
+
+
+
+def _two_letters(x: str) -> str:
+    """SQL that writes letters as two where folding does; strip_accents leaves them."""
+    return reduce(lambda y, p: f"replace({y}, '{p[0]}', '{p[1]}')", LETTERS.items(), x)
+
+
+#: Words that whole documents are searched for by their trigrams.
+WORDS = ("between", "licence", "erat")
+
+
+@query(
+    "stretch_similarity",
+    rf"""
+with words as (select unnest(['between', 'licence', 'erat']) as word),
+a as (select word, list_distinct(list_transform(range(1, length(word) + 2), lambda i: substr('  ' || word || ' ', i, 3))) as a from words),
+t as (select doc_id, list_filter(string_split(regexp_replace(lower(strip_accents({_two_letters("coalesce(text, '')")})), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from documents),
+l as (select doc_id, flatten(list_transform(w, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) as g from t),
+g as materialized (select doc_id, p, gram, coalesce(lag(p) over (partition by doc_id, gram order by p), 0) as before from (select doc_id, unnest(g) as gram, generate_subscripts(g, 1) as p from l)),
+h as materialized (select word, len(a) as m, doc_id, p, gram from a join g on list_contains(a, gram)),
+x as (select h.word, m, doc_id, p, max(case when h.gram = e.gram then p end) over (partition by doc_id, h.word, e.gram order by p) as first from h join (select word, unnest(a) as gram from a) e on h.word = e.word),
+s as (select word, m, doc_id, p, first, row_number() over (partition by word, doc_id, p order by first desc) as s from x where first is not null),
+w as (select word, m, doc_id, s, first, min(p) as last from s group by all),
+u as (select w.word, w.doc_id, s / (m + count(g.p)) as score from w join a on w.word = a.word left join g on g.doc_id = w.doc_id and g.p between first and last and before < first and not list_contains(a, gram) group by w.word, m, w.doc_id, s, first, last),
+b as (select word, doc_id, max(score) as score from u group by all)
+select d.doc_id, words.word, case when d.text is not null then round(coalesce(score, 0), 6) end as similarity from documents d cross join words left join b on b.doc_id = d.doc_id and b.word = words.word""",
+)
+def stretch_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How well each of some words fits a stretch of each whole document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return stretches.word_scores(docs, "doc_id", F.col("text"), WORDS).withColumn("similarity", F.round("similarity", 6))
