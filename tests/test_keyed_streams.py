@@ -48,3 +48,86 @@ def test_trailing_failures_over_a_restart(spark, store, tmp_path):
     assert len(got) == len({r.id for r in got}) and told == want
     assert max(want.values()) > 3
     assert states[-1][-1] <= 2 < max(s for run_ in states for s in run_)  # users of whom nothing is left hold nothing
+
+
+CHANGE = "id long, enqueued_at timestamp, run_after timestamp, payload string, at timestamp"
+RESULT = "id long, enqueued_at timestamp, attempt int, failed boolean, at timestamp"
+
+
+def plain_queue(steps, lease, most):
+    """The queue as a plain loop: steps of (changes, results), each at the time that the steps before it reached; the rows that come out of each."""
+    held, out, now = {}, [], 0
+    for changes, results in steps:
+        told = []
+
+        def settle(i, told=told, now=now):
+            h = held.get(i)
+            if h and h["due"] <= now:
+                if h["n"] >= most:
+                    told.append((i, h["v"], h["n"], "parked", h["p"]))
+                    del held[i]
+                else:
+                    held[i] = {**h, "n": h["n"] + 1, "leased": True, "due": now + lease}
+                    told.append((i, h["v"], h["n"] + 1, "claimed", h["p"]))
+
+        ids = {c[0] for c in changes} | {r[0] for r in results}
+        for i in ids:
+            was = held.get(i, {}).get("v", float("-inf"))
+            h = held.get(i)
+            ends = {failed for k, v, n, failed, _ in results if h and h["leased"] and (k, v, n) == (i, h["v"], h["n"])}
+            if False in ends:
+                del held[i]
+            elif ends:
+                held[i] = {**h, "leased": False, "due": now + (0 if h["n"] >= most else min(2 ** min(h["n"], 6), 3600))}
+            newest = max(((v, due or 0, p or "", p) for k, v, due, p, _ in changes if k == i), default=None)
+            if newest and newest[0] > was:
+                held[i] = {"v": newest[0], "n": 0, "leased": False, "due": newest[1], "p": newest[3]}
+            settle(i)
+        for i in sorted(held):
+            if held[i]["due"] <= now:
+                settle(i)
+        out.append(told)
+        now = max([now, *(c[-1] for c in changes), *(r[-1] for r in results)])
+    return out
+
+
+def test_queue_with_timers(spark, store, tmp_path):
+    """Against the plain loop, over a restart: leases that end, backoff, parked rows, replaced ones, results of lost leases, redelivery."""
+    rng, lease, most = random.Random(8), 30, 3
+    steps, given = [], []
+    for n in range(14):
+        at, changes, results = 20 * (n + 1), [], []
+        for _ in range(rng.randrange(1, 5) if n < 8 else 0):
+            i = rng.randrange(9)
+            changes.append((i, at + rng.randrange(-30, 3), rng.choice([at + 1, at - 50, at + 45, None]), rng.choice([f"p{n}", None]), at))
+        for i, v, k, status, _ in rng.sample(given, min(len(given), 4)):
+            if status == "claimed":
+                results.append((i, v, rng.choice([k, k, k, 1]), rng.random() < 0.5, at))
+        changes.append((99, at, 10**6, "clock", at))  # carries the watermark on; never due
+        steps.append((changes, results))
+        given = [r for told in plain_queue(steps, lease, most)[-3:] for r in told]
+        if n in (5, 13):
+            steps.append(([], []))  # a run ends with what its last watermark lets out
+    want = plain_queue(steps, lease, most)
+    seconds = lambda df: df.withColumns({c: F.timestamp_seconds(c) for c in ("enqueued_at", "at", "run_after") if c in df.columns})
+    got, states = [], []
+
+    def run():
+        read = lambda kind, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / kind))
+        made = keyed.queue(read("changes", CHANGE), read("results", RESULT), lease, most, clock="event")
+        q = made.writeStream.foreachBatch(lambda x, _: got.append([tuple(r) for r in x.withColumn("enqueued_at", F.unix_seconds("enqueued_at")).collect()]))
+        q = q.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.awaitTermination()
+        states.extend(max(s.numRowsTotal for s in p.stateOperators) for p in q.recentProgress)
+
+    for changes, results in steps:
+        if changes:
+            for kind, rows, schema in (("changes", changes, CHANGE), ("results", results, RESULT)):
+                seconds(spark.createDataFrame(rows, schema.replace("timestamp", "long"))).coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+        else:
+            run()  # the second goes on from the checkpoint
+    in_order = lambda x: sorted(x, key=str)
+    assert [in_order(x) for x in got if x] == [in_order(x) for x in want if x]
+    rows = [r for x in want for r in x]
+    assert {r[3] for r in rows} == {"claimed", "parked"} and {r[2] for r in rows} == {1, 2, 3}
+    assert len(rows) > 20 and states[-1] < max(states)  # what is done or parked holds nothing
