@@ -189,6 +189,19 @@ def model_list(answer: Column, key: str, allowed: Sequence[str] | None = None, m
     return F.slice(tidy if allowed is None else F.array_intersect(tidy, F.array(*map(F.lit, allowed))), 1, most)
 
 
+def reranked(known: Column, answer: Column, key: str = "selected", most: int = 5) -> Column:
+    """known in the order that a model's JSON answer names its members under key: distinct known ones, most at most.
+
+    An answer that is malformed, or names none of them, keeps the first of known in their order.
+    Items that aren't texts name none. Null known gives none.
+    """
+    ids = F.coalesce(known, F.array().cast("array<string>"))
+    items = F.from_json(F.get_json_object(answer, f"$.{key}"), "array<string>")
+    said = F.array_intersect(F.coalesce(items, F.array().cast("array<string>")), ids)
+    kept = F.filter(said, lambda v: v.isNotNull())
+    return F.slice(F.when(F.size(kept) > 0, kept).otherwise(ids), 1, most)
+
+
 def tidy_phrases(phrases: Column, beginnings: Sequence[str] = (), least: int = 3) -> Column:
     """Structs (phrase, evidence, prominence): trimmed, evidence falls back on the phrase, prominence 1 to 10 (5 if null).
 

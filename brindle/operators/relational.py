@@ -146,3 +146,30 @@ def reason_lines(df: DataFrame, reason: str) -> DataFrame:
 def name_lists(df: DataFrame, group: str, name: str) -> DataFrame:
     """(group, names): the distinct names of each group in order, as one text; groups should be small, as each becomes one value."""
     return df.select(group, name).distinct().groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
+
+
+#: Orders of a directory by name, but for what settles ties.
+DIRECTORY = ("date-desc", "value-match-desc", "match-desc", "org-desc")
+
+
+def directory_order(sort: str | None, name: str, unique: str, latest: str = "latest", score: str = "value_score") -> list[Column]:
+    """The order of a directory: newest item, best score or falling name first, without a value last; unknown sorts, and ties, are by name, then unique."""
+    first = {"date-desc": latest, "value-match-desc": score, "match-desc": score, "org-desc": name}.get(sort or "")
+    return [*([F.col(first).desc_nulls_last()] if first else []), F.col(name).asc_nulls_last(), F.col(unique)]
+
+
+def available_options(owners: DataFrame, items: DataFrame, owner_key: str, item_owner: str, columns: Sequence[str], wanted: Column, excluded: Sequence[str] = ()) -> DataFrame:
+    """(facet, value, n): what a facet may still choose: values of owners that have a wanted item, and those owners' number.
+
+    Items are reduced to their owners in each task before the join, so an owner of most items is one row.
+    Nulls and excluded values aren't options.
+    """
+    live = items.where(wanted).select(F.col(item_owner).alias("_owner")).distinct()
+    found = facet_options(owners.join(live, F.col(owner_key) == F.col("_owner"), "left_semi"), columns)
+    return found.where(~F.col("value").isin(list(excluded))) if excluded else found
+
+
+def selected(df: DataFrame, group: str, score: str, unique: str, floor: float = 0.40, most: int = 50) -> DataFrame:
+    """Each group's rows that score over the floor, the best ones, with their place; ties to the smaller unique. Null scores aren't over it."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), unique))
+    return df.where(F.col(score) > floor).withColumn("place", place).where(F.col("place") <= most)
