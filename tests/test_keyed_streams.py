@@ -1,6 +1,7 @@
 """Exact trailing counts on a stream against the batch form, over a restart, with state of live keys only."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,31 @@ def test_queue_with_timers(spark, store, tmp_path):
     rows = [r for x in want for r in x]
     assert {r[3] for r in rows} == {"claimed", "parked"} and {r[2] for r in rows} == {1, 2, 3}
     assert len(rows) > 20 and states[-1] < max(states)  # what is done or parked holds nothing
+
+
+def test_queue_by_the_machine_clock(spark, store, tmp_path):
+    """A lease of a second ends by itself, without any new input, until the row is given up; a done row isn't seen again."""
+    schema, told = CHANGE.rsplit(",", 1)[0], RESULT.rsplit(",", 1)[0]
+    put = lambda kind, rows, s: spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+    put("changes", [(1, None, None, "a"), (2, None, None, None), (None, None, None, "x")], schema)
+    put("results", [], told)
+    got = []
+
+    def take(df, _):
+        rows = [tuple(r) for r in df.collect()]
+        got.extend(rows)
+        done = [(r[0], r[1], r[2], False) for r in rows if r[0] == 2]
+        if done:
+            put("results", done, told)
+
+    read = lambda kind, s: spark.readStream.schema(s).parquet(str(tmp_path / kind))
+    made = keyed.queue(read("changes", schema), read("results", told), 6, 2)
+    q = made.writeStream.foreachBatch(take).trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and not any(r[3] == "parked" for r in got) and q.isActive:
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [r[2:] for r in got if r[0] == 1] == [(1, "claimed", "a"), (2, "claimed", "a"), (2, "parked", "a")]
+    assert [r[1:] for r in got if r[0] == 2] == [(None, 1, "claimed", None)]
