@@ -2,11 +2,14 @@
 
 1. A bounded sample trains coarse centroids and, on what they leave over, a codebook for each
    part of the dimensions. A query probes lists by the largest inner product that it may expect
-   there, from the list's centroid, spread and size; how many is measured on the same sample.
-2. Every distinct vector goes to its centroid's list, with a byte for each part.
+   there, from the list's centroid, spread and size; how many is measured on the same sample,
+   with a sample of the queries themselves.
+2. Every distinct vector goes to its centroid's list, with a byte for each part and the length
+   of what the codes lose. Vectors far from all centroids, as those much longer than the rest,
+   which may be near to any query, go to a list of their own that every query probes.
 3. Queries meet the lists that they probe in blocks of bounded size. A table of inner products
-   for each query and part scores a block's codes; the best of a block are scored again by
-   their original vectors, in double precision.
+   for each query and part scores a block's codes; all whose lost length may lift them among the
+   best of the block are scored again by their original vectors, in double precision.
 4. Blocks' best are merged by query.
 
 Equal vectors are searched once, with as many of their smallest ids as a result can hold, so
@@ -33,8 +36,10 @@ LIST, LISTS = 2048, 4096
 PARTS, CODES = 16, 256
 #: Share of the sample's true neighbours that the probed lists must hold, share of its queries that must have half of theirs there, and such queries.
 COVERED, HALF, ASKED = 0.98, 0.998, 512
-#: Candidates and queries of a block, and candidates of it that are scored exactly for each neighbour asked for.
-BLOCK, QUERIES, DEPTH = 4096, 2048, 6
+#: Share of the sample's vectors that lie farther from their centroids than what goes to the list of far ones.
+FAR = 0.01
+#: Candidates and queries of a block, and the share of it from which all are scored exactly at once.
+BLOCK, QUERIES, DENSE = 4096, 2048, 0.05
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -62,18 +67,23 @@ class Model:
     cuts: list[int]  # where parts begin and end
     reach: np.ndarray  # of each list: how far its largest inner product may lie over the centroid's, for a query of length one
     probes: int
+    limit: float = np.inf  # vectors that lie farther from their centroids are far ones
 
     def order(self, queries: np.ndarray) -> np.ndarray:
         """The lists of each query, the most promising first."""
         length = np.sqrt((queries**2).sum(1))
         return np.argsort(-(queries @ self.centroids.T + length[:, None] * self.reach), 1, kind="stable")
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The list of each row, and the codes of what its centroid leaves over."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The list of each row (far ones: the one after all centroids), the codes of what its centroid leaves over, and the length of what they lose."""
         own = nearest(x, self.centroids)
         left = x - self.centroids[own]
-        codes = [nearest(left[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
-        return own, np.stack(codes, 1).astype(np.uint8)
+        own = np.where((left**2).sum(1) > self.limit**2, len(self.centroids), own)
+        codes = []
+        for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False):
+            codes.append(nearest(left[:, a:b], book))
+            left[:, a:b] -= book[codes[-1]]
+        return own, np.stack(codes, 1).astype(np.uint8), np.sqrt((left**2).sum(1))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(parts, queries, codes): inner products of queries' parts with the books."""
@@ -83,29 +93,36 @@ class Model:
         return out
 
 
-def fit(sample: np.ndarray, n: int, k: int, seed: int = 5) -> Model:
-    """Centroids, books, reaches and probes from a sample of n distinct vectors, for k neighbours."""
+def fit(sample: np.ndarray, n: int, k: int, asked: np.ndarray | None = None, seed: int = 5) -> Model:
+    """Centroids, books, reaches and probes from a sample of n distinct vectors, for k neighbours of queries like those asked (the sample's own, if none)."""
     rng = np.random.default_rng(seed)
-    centroids = kmeans(sample, max(1, min(LISTS, len(sample) // 8, -(-n // LIST))), rng)
+    size = np.sqrt((sample**2).sum(1))
+    usual = sample[size <= np.quantile(size, 1 - FAR)]  # a few very long vectors would draw all centroids
+    centroids = kmeans(usual, max(1, min(LISTS, len(usual) // 8, -(-n // LIST))), rng)
     own = nearest(sample, centroids)
     left = sample - centroids[own]
+    away = np.sqrt((left**2).sum(1))
+    limit = float(np.quantile(away, 1 - FAR))
+    near = away <= limit
     cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int).tolist()
-    books = [kmeans(left[:, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
-    held = np.bincount(own, minlength=len(centroids))
-    square = np.bincount(own, (left**2).sum(1), len(centroids)) / np.maximum(held, 1) / sample.shape[1]
+    books = [kmeans(left[near, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
+    held = np.bincount(own[near], minlength=len(centroids))
+    square = np.bincount(own[near], away[near] ** 2, len(centroids)) / np.maximum(held, 1) / sample.shape[1]
     # the largest of so many normal numbers of that deviation, about
     reach = np.sqrt(square * 2 * np.log(np.maximum(held * n / len(sample), 2)))
-    model = Model(centroids, books, cuts, reach, 1)
-    chosen = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
-    score = sample[chosen] @ sample.T
-    score[np.arange(len(chosen)), chosen] = -np.inf
-    true = _best(score, min(k, len(sample) - 1)) if len(sample) > 1 else np.zeros((len(chosen), 0), np.int64)
-    place = np.argsort(model.order(sample[chosen]), 1)
-    met = np.sort(np.take_along_axis(place, own[true], 1), 1)
+    model = Model(centroids, books, cuts, reach, 1, limit)
+    queries = sample if asked is None or not len(asked) else asked
+    queries = queries[rng.choice(len(queries), min(ASKED, len(queries)), replace=False)]
+    score = queries @ sample.T
+    score[(queries**2).sum(1)[:, None] - 2 * score + (size**2)[None] <= 1e-9 * (size**2)[None]] = -np.inf  # a query itself
+    true = _best(score, min(k, len(sample) - 1)) if len(sample) > 1 else np.zeros((len(queries), 0), np.int64)
+    place = np.argsort(model.order(queries), 1)
+    met = np.where(near[true], np.take_along_axis(place, own[true], 1), 0)  # all probe the list of far ones
+    met = np.sort(met, 1)
     if met.size:
         every = np.sort(met.ravel())
         few = np.sort(met[:, (met.shape[1] - 1) // 2])  # by when a query has half of its neighbours
-        model.probes = int(max(every[min(len(every) - 1, int(COVERED * len(every)))], few[min(len(few) - 1, int(HALF * len(few)))])) + 1
+        model.probes = int(max(every[min(len(every) - 1, int(COVERED * len(every)))], few[min(len(few) - 1, int(HALF * len(few)))])) + 2  # and one more
     return model
 
 
@@ -127,6 +144,20 @@ def _best(score: np.ndarray, most: int) -> np.ndarray:
     return np.argpartition(-score, most - 1, axis=1)[:, :most]
 
 
+def _hopeful(model: Model, own: int, queries: np.ndarray, codes: np.ndarray, lost: np.ndarray, most: int) -> np.ndarray:
+    """(queries, rows): which rows of a list may be among the best `most` of them by what their codes say and may have lost."""
+    if len(codes) <= most:
+        return np.ones((len(queries), len(codes)), bool)
+    table = model.tables(queries)
+    score = np.repeat((queries @ model.centroids[own])[:, None].astype(np.float32), len(codes), 1)
+    for p in range(table.shape[0]):
+        score += table[p][:, codes[:, p]]
+    length = np.sqrt((queries**2).sum(1))[:, None]
+    rest = (length * lost + 1e-5 * (np.abs(score) + length * np.sqrt((model.centroids[own] ** 2).sum()))).astype(np.float32)
+    sure = np.partition(score - rest, len(codes) - most, axis=1)[:, len(codes) - most]
+    return score + rest >= sure[:, None]
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -156,14 +187,17 @@ def search(
     distinct = materialize(least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     n = distinct.count()
     drawn = distinct.select("v", "ids").orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").toPandas()
-    model = fit(_array(drawn["v"]), n, k)
+    asking = materialize(rows.where(is_query).select("vec_id", "v"), "queries")
+    some = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).select("v").toPandas()
+    model = fit(_array(drawn["v"]), n, k, _array(some["v"]))
+    far = len(model.centroids)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            own, codes = model.encode(_array(x["v"]))
-            yield pd.DataFrame({"list": own, "codes": [c.tobytes() for c in codes], "v": x["v"], "ids": x["ids"]})
+            own, codes, lost = model.encode(_array(x["v"]))
+            yield pd.DataFrame({"list": own, "codes": [c.tobytes() for c in codes], "lost": lost, "v": x["v"], "ids": x["ids"]})
 
-    index = distinct.mapInPandas(encode, "list int, codes binary, v array<double>, ids array<long>")
+    index = distinct.mapInPandas(encode, "list int, codes binary, lost double, v array<double>, ids array<long>")
     index = materialize(index, "index")
     sizes = {r["list"]: (r["n"], r["m"]) for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
     held = np.array([sizes.get(i, (0, 0))[1] for i in range(len(model.centroids))])
@@ -174,9 +208,8 @@ def search(
             order = model.order(q)
             enough = (np.cumsum(held[order], 1) <= k).sum(1) + 1  # lists that hold k others at least
             most = np.minimum(np.maximum(model.probes, enough), order.shape[1])
-            yield pd.DataFrame({"query": x["query"], "v": x["v"], "lists": [o[:m] for o, m in zip(order, most, strict=True)]})
+            yield pd.DataFrame({"query": x["query"], "v": x["v"], "lists": [[*o[:m], far] for o, m in zip(order, most, strict=True)]})
 
-    asking = materialize(rows.where(is_query).select("vec_id", "v"), "queries")
     asked = asking.groupBy("v").agg(F.min("vec_id").alias("query"))
     asked = asked.mapInPandas(probe, "query long, v array<double>, lists array<int>")
     asked = materialize(asked.select("query", "v", F.explode("lists").alias("list")), "probes")
@@ -186,7 +219,7 @@ def search(
     )  # a row a list, LISTS at most
     wide = index.join(F.broadcast(blocks), "list").select(
         "list", F.pmod(F.xxhash64(F.col("ids")[0]), "ways").cast("int").alias("way"),
-        F.explode(F.when(F.col("turns") > 0, F.sequence(F.lit(0), F.col("turns") - 1))).alias("turn"), "codes", "v", "ids",
+        F.explode(F.when(F.col("turns") > 0, F.sequence(F.lit(0), F.col("turns") - 1))).alias("turn"), "codes", "lost", "v", "ids",
     )
     deep = asked.join(F.broadcast(blocks), "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.pmod(F.xxhash64("query"), "turns").cast("int").alias("turn"), "query", "v"
@@ -198,19 +231,28 @@ def search(
             x, q = _array(candidates["v"]), _array(queries["v"])
             codes = np.frombuffer(b"".join(candidates["codes"]), np.uint8).reshape(len(x), -1)
             ids = candidates["ids"].to_numpy()
-            base = q @ model.centroids[candidates["list"].iloc[0]]
+            own = candidates["list"].iloc[0]
+            lost = candidates["lost"].to_numpy() * (1 + 1e-5)
+            least = np.array([i[0] for i in ids])
             names = queries["query"].to_numpy()
+            telling = own != far  # whether codes rule rows out
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                table = model.tables(part)
-                score = np.repeat(base[at : at + 256, None].astype(np.float32), len(x), 1)
-                for p in range(table.shape[0]):
-                    score += table[p][:, codes[:, p]]
-                best = _best(score, DEPTH * k)
-                for i, places in enumerate(best):
-                    exact = x[places] @ part[i]
-                    top = places[np.argsort(-exact, kind="stable")[: k + 1]] if len(places) > 4 * k else places
-                    hits = sorted((-float(x[c] @ part[i]), int(v)) for c in top for v in ids[c])[: k + 1]
+                may = _hopeful(model, own, part, codes, lost, k + 1) if telling else np.ones((len(part), len(x)), bool)
+                exact = part @ x.T if may.mean() > DENSE else None
+                telling = telling and may.mean() < 0.5
+                for i, row in enumerate(may):
+                    if exact is None:
+                        places = np.flatnonzero(row)
+                        score = x[places] @ part[i]
+                    else:
+                        places, score = np.arange(len(x)), exact[i]
+                    if len(places) > k + 1:  # with all that may tie with the last one
+                        last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                        places = places[score >= last - 1e-12 * max(1.0, np.abs(score).max())]
+                    score = (x[places] * part[i]).sum(1)  # the same in each block
+                    top = np.lexsort((least[places], -score))[: k + 1]
+                    hits = sorted((-float(score[t]), int(v)) for t in top for v in ids[places[t]])[: k + 1]
                     found.append((names[at + i], [-s for s, _ in hits], [v for _, v in hits]))
         return pd.DataFrame(found, columns=["query", "scores", "hits"])
 

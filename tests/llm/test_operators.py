@@ -455,6 +455,26 @@ def test_neighbours_over_many_lists(spark, monkeypatch, kind):
         assert seen[0].probes < len(seen[0].centroids)
 
 
+@pytest.mark.parametrize("kind", ["long ones", "wide clusters", "other queries"])
+def test_neighbours_of_other_rows(spark, kind):
+    """Mean recall where few vectors are very long, lists are long and their rows close to each other, or queries are unlike the rest."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 64))
+    if kind == "long ones":
+        x[rng.choice(8000, 40, replace=False)] *= 100
+    else:
+        x = rng.normal(size=(4, 64))[rng.integers(0, 4, 8000)] * 5 + x
+    if kind == "other queries":
+        x[::20] = rng.normal(size=(400, 64))
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": range(8000), "embedding": x.tolist()}))
+    got = ann.search(vectors, F.col("vec_id") % 20 == 0, sample=1000).toPandas()
+    score = x[::20] @ x.T
+    score[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+    want = np.argsort(-score, 1)[:, :20]
+    recall = np.array([len(set(g.vec_id) & set(want[q // 20])) for q, g in got.groupby("query_id")]) / 20
+    assert len(recall) == 400 and recall.mean() >= 0.95, recall.mean()
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [1.0, 1.0])]
