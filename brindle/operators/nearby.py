@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numbers import EARTH, distance
 from brindle.functions.text import fold
+from brindle.sources.tables import dealt
 
 #: Metres of one degree of latitude, a little less than there are, so that cells are a little too large.
 DEGREE = EARTH * 3.141592653589793 / 180 * 0.999
@@ -25,6 +28,12 @@ def _cell(band: Column, lng: Column, height: float, by: int = 0) -> Column:
     return F.struct(band.alias("band"), F.pmod(F.floor((lng + 180.0) / 360.0 * n).cast("long") + by, n).alias("column"))
 
 
+def _point(name: str, lat: str, lng: str) -> dict[str, Column]:
+    """A place on the globe of radius one."""
+    up, round_ = F.radians(F.col(lat).cast("double")), F.radians(F.col(lng).cast("double"))
+    return {f"{name}0": F.cos(up) * F.cos(round_), f"{name}1": F.cos(up) * F.sin(round_), f"{name}2": F.sin(up)}
+
+
 def within(left: DataFrame, right: DataFrame, metres: float, left_place: tuple[str, str], right_place: tuple[str, str], result: str = "metres") -> DataFrame:
     """Pairs of rows of left and right that are at most `metres` apart along a great circle, with their distance.
 
@@ -41,9 +50,13 @@ def within(left: DataFrame, right: DataFrame, metres: float, left_place: tuple[s
     on_globe = lambda lat, lng: F.col(lat).between(-90, 90) & F.col(lng).between(-180, 180)
     band = F.floor(F.col(a) / height).cast("long")
     cells = F.array_distinct(F.flatten(F.array(*[F.array(*[_cell(band + up, F.col(b), height, by) for by in (-1, 0, 1)]) for up in (-1, 0, 1)])))
-    from_ = left.where(on_globe(a, b)).withColumn("_cell", F.explode(cells))
-    to = right.where(on_globe(c, d)).withColumn("_cell", _cell(F.floor(F.col(c) / height).cast("long"), F.col(d), height))
-    met = from_.join(to, "_cell").drop("_cell")
+    # dealt out anew: a small file is one split, whose one task would get all pairs of a join with a broadcast side,
+    # and the expressions of cells and of pairs in one stage make one method too long to be compiled
+    from_ = dealt(left.where(on_globe(a, b)).withColumns(_point("_a", a, b)).withColumn("_cell", F.explode(cells)))
+    to = right.where(on_globe(c, d)).withColumns(_point("_b", c, d)).withColumn("_cell", _cell(F.floor(F.col(c) / height).cast("long"), F.col(d), height))
+    # a product of points rules most pairs of neighbouring cells out before any distance is worked out
+    cosine = sum((F.col(f"_a{i}") * F.col(f"_b{i}") for i in range(1, 3)), F.col("_a0") * F.col("_b0"))
+    met = from_.join(to, "_cell").where(cosine >= math.cos(metres / EARTH) - 1e-9).drop("_cell", *[f"_{side}{i}" for side in "ab" for i in range(3)])
     return met.withColumn(result, distance(F.col(a), F.col(b), F.col(c), F.col(d))).where(F.col(result) <= metres)
 
 
@@ -70,7 +83,21 @@ def chosen_places(mentions: DataFrame, places: DataFrame, key: str, near: float
     )
 
 
+def wishes(wants: Column) -> Column:
+    """What wanted kinds of work say about places: remote work, nothing else, or any for which one goes somewhere."""
+    asked = F.coalesce(wants, F.array().cast("array<string>"))
+    return F.struct(
+        F.array_contains(asked, "remote").alias("remote"), ((F.size(asked) > 0) & F.forall(asked, lambda w: w == "remote")).alias("only"),
+        F.arrays_overlap(asked, F.array(F.lit("hybrid"), F.lit("office"))).alias("there"),
+    )
+
+
 def pair_score(wants: Column, work: Column, same_city: Column, accuracy: Column, metres: Column) -> Column:
+    """wished_score() of wanted kinds of work."""
+    return wished_score(wishes(wants), work, same_city, accuracy, metres)
+
+
+def wished_score(wish: Column, work: Column, same_city: Column, accuracy: Column, metres: Column) -> Column:
     """1, 0.5, 0 or null: how near a posting is to a person, as far as its kind of work lets place count.
 
     Remote work counts in full for who wants it, and says nothing for others; nor does any
@@ -78,11 +105,9 @@ def pair_score(wants: Column, work: Column, same_city: Column, accuracy: Column,
     office. Then the same city of the same province counts in full, coordinates of whole
     provinces and countries or none say nothing, and 50 km count in full, 150 km half.
     """
-    asked = F.coalesce(wants, F.array().cast("array<string>"))
     remote = F.coalesce(work == "remote", F.lit(False))
-    wants_remote = F.array_contains(asked, "remote")
-    only_remote = (F.size(asked) > 0) & F.forall(asked, lambda w: w == "remote")
-    apart = (work == "hybrid") & ~F.arrays_overlap(asked, F.array(F.lit("hybrid"), F.lit("office")))
+    wants_remote, only_remote = wish["remote"], wish["only"]
+    apart = (work == "hybrid") & ~wish["there"]
     none = F.lit(None).cast("double")
     return (
         F.when(remote & wants_remote, 1.0)

@@ -25,13 +25,13 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     lit = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     wants = F.get(F.array(lit(), lit("remote"), lit("office"), lit("remote", "hybrid"), F.lit(None).cast("array<string>")), (c % 5).cast("int"))
-    left = table(spark, d, "customer").select(c, F.when(c % 17 > 0, F.lit(42) + (c * 37 % 1400) / 100).alias("a"), (F.lit(-135) + (c * 91 % 8000) / 100).alias("b"), wants.alias("wants"))
+    left = table(spark, d, "customer").select(c, F.when(c % 17 > 0, F.lit(42) + (c * 37 % 1400) / 100).alias("a"), (F.lit(-135) + (c * 91 % 8000) / 100).alias("b"), nearby.wishes(wants).alias("wish"))
     work = F.get(lit("remote", "hybrid", "office", None), (s % 4).cast("int"))
     right = table(spark, d, "supplier").select(
         s, (F.lit(42) + (s * 53 % 1400) / 100).alias("c"), (F.lit(-135) + (s * 29 % 8000) / 100).alias("d"), work.alias("work"), F.when(s % 9 == 0, "state").otherwise("rooftop").alias("accuracy")
     )
     near = nearby.within(left, right, 150_000, ("a", "b"), ("c", "d"))
-    score = nearby.pair_score(F.col("wants"), F.col("work"), c % 50 == s % 50, F.col("accuracy"), F.col("metres"))
+    score = nearby.wished_score(F.col("wish"), F.col("work"), c % 50 == s % 50, F.col("accuracy"), F.col("metres"))
     return near.select("c_custkey", "s_suppkey", F.round("metres", 3).alias("metres"), score.alias("score"))
 
 

@@ -53,3 +53,15 @@ def test_chosen_places(spark):
     )
     got = {r.k: (r.province, r.lat, r.lng, r.precise) for r in nearby.chosen_places(mentions, places, "k").collect()}
     assert got == {1: ("ON", 43.5, -79.6, True), 2: ("NS", 44.7, -63.4, True), 3: ("ON", 43.25, -79.87, False), 4: ("QC", 46.8, -71.2, False), 6: ("ON", 43.25, -79.87, False)}
+
+
+def test_pairs_of_a_small_file_go_to_all_cores(spark, tmp_path):
+    """One split of one file doesn't leave all pairs to one task, and pairs at the very reach stay."""
+    spark.createDataFrame([(i, 45.0, -75.0) for i in range(64)], "i long, a double, b double").coalesce(1).write.parquet(f"{tmp_path}/x")
+    left = spark.read.parquet(f"{tmp_path}/x")
+    reach = nearby.EARTH * 0.01  # about 64 km along a meridian
+    right = spark.createDataFrame([(1, 45.0 + 0.5729, -75.0), (2, 45.0 + 0.573, -75.0)], "j long, c double, d double")
+    found = nearby.within(left, F.broadcast(right), reach, ("a", "b"), ("c", "d"))
+    assert sorted({r.j for r in found.collect()}) == [1]
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1 and found.count() == 64
