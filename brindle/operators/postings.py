@@ -10,7 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -99,17 +99,25 @@ def _prepared(df: DataFrame, *more: str) -> DataFrame:
     return rows.withColumn("core", F.array_join(F.array_except("words", fluff), " "))
 
 
-def _near(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a and b (columns a_…, b_…) joined on employer, core and days at most DAYS apart; a missing day is near to all.
+def _near(a: DataFrame, b: DataFrame, key: list[Column]) -> DataFrame:
+    """a and b (columns a_…, b_…) joined on key and days (from lo to hi, within one band) at most DAYS apart; a missing day is near to all.
 
     Days meet by bands of DAYS, so a role that is posted for years isn't compared throughout.
     """
-    key = [F.col("a_org") == F.col("b_org"), F.col("a_core") == F.col("b_core")]
-    band = lambda c: F.floor(F.col(c) / DAYS)
-    left = a.where("a_day is not null").withColumn("_slot", F.explode(F.array(*[band("a_day") + i for i in (-1, 0, 1)])))
-    right = b.where("b_day is not null").withColumn("_band", band("b_day"))
-    dated = left.join(right, [*key, F.col("_slot") == F.col("_band")]).where(F.abs(F.col("a_day") - F.col("b_day")) <= DAYS).drop("_slot", "_band")
-    return dated.unionByName(a.where("a_day is null").join(b, key)).unionByName(a.where("a_day is not null").join(b.where("b_day is null"), key))
+    left = a.where("a_lo is not null").withColumn("_slot", F.explode(F.array(*[_band(F.col("a_lo")) + i for i in (-1, 0, 1)])))
+    right = b.where("b_lo is not null").withColumn("_band", _band(F.col("b_lo")))
+    close = (F.col("a_lo") - F.col("b_hi") <= DAYS) & (F.col("b_lo") - F.col("a_hi") <= DAYS)
+    dated = left.join(right, [*key, F.col("_slot") == F.col("_band"), close]).drop("_slot", "_band")
+    return dated.unionByName(a.where("a_lo is null").join(b, key)).unionByName(a.where("a_lo is not null").join(b.where("b_lo is null"), key))
+
+
+def _band(day: Column) -> Column:
+    return F.floor(day / DAYS)
+
+
+def _role() -> list[Column]:
+    """One employer and one role."""
+    return [F.col("a_org") == F.col("b_org"), F.col("a_core") == F.col("b_core")]
 
 
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +148,10 @@ def clusters(df: DataFrame) -> DataFrame:
     filled = {"values": F.size("values") > 0, "summary": F.coalesce(F.trim("summary"), F.lit("")) != "", "scraped": F.col("scraped")}
     extra = [F.coalesce(c, F.lit("" if n == "scraped" else False)).alias(f"k_{n}") for n, c in filled.items() if n in df.columns]
     rows = materialize(_prepared(df, *extra).withColumn("cls", F.to_json(F.struct("org", "words", "city", "day"))), "postings")
-    classes = materialize(rows.groupBy("cls", "org", "core", "words", "city", "day").agg(F.min("id").alias("rep")), "posting-classes")
-    pairs = _titled(_near(*_sides(classes)).where("a_rep < b_rep"))
+    classes = rows.groupBy("cls", "org", "core", "words", "city", "day").agg(F.min("id").alias("rep"))
+    classes = materialize(classes.withColumns({"same": F.to_json(F.struct("org", "words", "city")), "lo": F.col("day"), "hi": F.col("day")}), "posting-classes")
+    # classes that differ in their days alone are chained from day to day; only others are paired
+    pairs = _titled(_near(*_sides(classes), [*_role(), F.col("a_same") != F.col("b_same"), F.col("a_rep") < F.col("b_rep")]))
     role = (F.col("alike") >= 0.7) | (F.col("order") >= 0.85)
     conflict = F.coalesce(F.col("a_city") != F.col("b_city"), F.lit(False))
     need = F.when(role & ~conflict, 0.0).when(role, 0.55).when(F.col("alike") >= 0.5, 0.55).when(F.col("order") >= 0.7, 0.6)
@@ -153,7 +163,7 @@ def clusters(df: DataFrame) -> DataFrame:
     close = _spread(open_.where(2 * shorter / both >= F.col("need")), "a_head", "b_head").withColumn("ratio", ratio_from("a_head", "b_head", "need")).where("ratio is not null")
     edges = (
         rows.join(classes.select("cls", "rep"), "cls").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        .unionByName(pairs.where("need = 0").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+        .unionByName(_chained(classes)).unionByName(pairs.where("need = 0").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
         .unionByName(close.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
     )
     found = rows.join(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
@@ -163,14 +173,27 @@ def clusters(df: DataFrame) -> DataFrame:
     return found.select("id", "cluster").join(told.where("urls > 1"), "cluster").select("id", "cluster", "keeper", "n")
 
 
-def _two_least(df: DataFrame, key: str) -> DataFrame:
+def _chained(classes: DataFrame) -> DataFrame:
+    """(a, b): classes (rep, day) of equal `same`, linked so that those join which days of at most DAYS in between connect, and all where one has no day.
+
+    Each stretch of days is one chain, of which every class links to the first; a window holds a role's days, one row each.
+    """
+    order = Window.partitionBy("same").orderBy("day")
+    cut = F.coalesce((F.col("day") - F.lag("day").over(order) > DAYS).cast("int"), F.lit(0))
+    dated = classes.where("day is not null").withColumn("_cut", cut).withColumn("_chain", F.sum("_cut").over(order)).select("same", "_chain", "rep")
+    first = dated.groupBy("same", "_chain").agg(F.min("rep").alias("b"))
+    vague = classes.where("day is null").select("same", F.col("rep").alias("a"))
+    return dated.join(first, ["same", "_chain"]).select(F.col("rep").alias("a"), "b").unionByName(vague.join(first, "same").select("a", "b"))
+
+
+def _two_least(df: DataFrame, *key: str) -> DataFrame:
     """(key, first, second) of rows (key, id, url): the smallest id with its URL, and the smallest with another URL."""
-    first = df.groupBy(key).agg(F.min(F.struct("id", "url")).alias("first"))
-    other = df.join(first, key).where(F.col("url") != F.col("first.url")).groupBy(key).agg(F.min(F.struct("id", "url")).alias("second"))
-    return first.join(other, key, "left")
+    first = df.groupBy(*key).agg(F.min(F.struct("id", "url")).alias("first"))
+    other = df.join(first, [*key]).where(F.col("url") != F.col("first.url")).groupBy(*key).agg(F.min(F.struct("id", "url")).alias("second"))
+    return first.join(other, [*key], "left")
 
 
-_CONTENT = "org words day city prov has_prov kind source head clone hours core number host".split()
+_CONTENT = "org words city prov has_prov kind source head clone hours core number host".split()
 
 
 def compared(df: DataFrame) -> DataFrame:
@@ -180,20 +203,25 @@ def compared(df: DataFrame) -> DataFrame:
 
 
 def _by_content(df: DataFrame, label: str) -> DataFrame:
-    """Compared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, id and URL only."""
+    """Compared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, day, id and URL only."""
     rows = materialize(compared(df), f"{label}-compared")  # written first: the hash would have all its columns worked out again
     return materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label, spent=[rows])
 
 
 def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
-    """(of, cls): classes of rows that meet left, each with those that meet right and are surely the same posting.
+    """(of, cls): classes of rows that meet left, each with those that meet right and are surely the same posting, if their days are close.
+
+    Days decide nothing else, so contents are compared once, on whatever days they are posted.
+    Classes meet by the stretch of days that they have in each band; texts join what these leave.
 
     The role must be the same; then a shared listing number decides, or, with no conflict of
     city, hours and kind, equal bodies, bodies 0.9 alike, or 0.7 in the same city on another board.
     """
-    classes = rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT], F.max(left).alias("left"), F.max(right).alias("right"))
-    classes = classes.withColumn("letters", _letters(F.col("head")))
-    pairs = _titled(_near(_sides(classes.where("left"))[0], _sides(classes.where("right"))[1])).where("alike >= 0.7 or order >= 0.85")
+    classes = rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT])
+    classes = materialize(classes.withColumns({"letters": _letters(F.col("head")), "long": F.length("head")}), "posting-classes")
+    spans = rows.groupBy("cls", _band(F.col("day")).alias("_b")).agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.max(left).alias("left"), F.max(right).alias("right"))
+    spans = materialize(spans.drop("_b").join(classes.drop("head"), "cls"), "posting-spans")
+    pairs = _titled(_near(_sides(spans.where("left"))[0], _sides(spans.where("right"))[1], _role())).where("alike >= 0.7 or order >= 0.85")
     listed = F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False))
     vague = (F.col("a_has_prov") & F.col("a_prov").isNull()) | (F.col("b_has_prov") & F.col("b_prov").isNull())
     other_prov = F.coalesce(F.col("a_prov") != F.col("b_prov"), F.lit(False))
@@ -208,24 +236,31 @@ def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
     cross = F.coalesce(F.when(both, (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts), F.lit(False))
     pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
     # matching parts of two texts are no longer than the shorter one, and have no more of a letter than either
-    shorter, lengths = F.least(F.length("a_head"), F.length("b_head")), F.length("a_head") + F.length("b_head")
+    shorter, lengths = F.least("a_long", "b_long"), F.col("a_long") + F.col("b_long")
     common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    rest = F.least(*[F.length(f"{side}_head") - F.aggregate(f"{side}_letters", F.lit(0), lambda s, x: s + x) for side in "ab"])
+    rest = F.least(*[F.col(f"{side}_long") - F.aggregate(f"{side}_letters", F.lit(0), lambda s, x: s + x) for side in "ab"])
     may = F.least(common + rest, shorter) * 2 / lengths >= F.col("need")
-    pairs = _spread(pairs.where("sure or (need > 0 and a_head is not null and b_head is not null)").where(F.col("sure") | may), "b_cls")
-    ratio = ratio_from(F.when(~F.col("sure"), F.col("a_head")), F.col("b_head"), F.coalesce("need", F.lit(0.0)))
-    return materialize(pairs.withColumn("ratio", ratio).where("sure or ratio is not null").select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
+    pairs = pairs.where("sure or (need > 0 and a_long is not null and b_long is not null)").where(F.col("sure") | may)
+    pairs = materialize(pairs.select("a_cls", "b_cls", "sure", "need").distinct(), "posting-pairs")
+    a, b = _sides(classes.where("head is not null").select("cls", "head"))
+    open_ = _spread(pairs.where("not sure").join(a, "a_cls").join(b, "b_cls"), "b_cls", "a_cls")
+    close = open_.withColumn("ratio", ratio_from("a_head", "b_head", "need")).where("ratio is not null")
+    hits = pairs.where("sure").select("a_cls", "b_cls").unionByName(close.select("a_cls", "b_cls"))
+    return materialize(hits.select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
 
 
 def _first_partners(rows: DataFrame, hits: DataFrame, partners: DataFrame, earlier: bool) -> DataFrame:
-    """(id, duplicate_of): of each row's class's partners the smallest id of another URL.
+    """(id, duplicate_of): of each row's class's partners whose days are close the smallest id of another URL.
 
-    Of its partners a class needs just the smallest id and the smallest of another URL, whatever their number.
+    Of a class and day only the smallest id and the smallest of another URL are needed, whatever their number.
     """
-    each = hits.join(_two_least(partners.select("cls", "id", "url"), "cls"), "cls").select("of", F.explode(F.array_compact(F.array("first", "second"))).alias("x")).select("of", "x.*")
-    best = _two_least(each, "of").withColumnRenamed("of", "cls")
-    found = F.when(F.col("first.url") != F.col("url"), F.col("first.id")).otherwise(F.col("second.id"))
-    told = rows.join(best, "cls").select("id", found.alias("duplicate_of")).where("duplicate_of is not null")
+    none = -(2**31)  # stands for a missing day
+    least = _two_least(partners.select("cls", F.coalesce("day", F.lit(none)).alias("_day"), "id", "url"), "cls", "_day")
+    least = least.select("cls", F.nullif("_day", F.lit(none)).alias("lo"), F.nullif("_day", F.lit(none)).alias("hi"), "first", "second")
+    asked = rows.select("id", "url", F.col("day").alias("lo"), F.col("day").alias("hi"), F.col("cls").alias("of")).join(hits, "of").drop("of")
+    met = _near(_sides(asked)[0], _sides(least)[1], [F.col("a_cls") == F.col("b_cls")])
+    found = F.when(F.col("b_first.url") != F.col("a_url"), F.col("b_first.id")).otherwise(F.col("b_second.id"))
+    told = met.groupBy(F.col("a_id").alias("id")).agg(F.min(found).alias("duplicate_of")).where("duplicate_of is not null")
     return told.where("duplicate_of < id") if earlier else told
 
 

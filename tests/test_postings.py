@@ -1,6 +1,6 @@
 import itertools
 import re
-from datetime import date
+from datetime import date, timedelta
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -124,3 +124,15 @@ def test_keeper(spark):
         "*", "'a' as org", "'Clerk' as title", "concat('https://h/', id) as url", "'2024-01-01' as posted", "null as city", "null as province", "null as kind", "null as source")
     assert {(r.cluster, r.keeper, r.n) for r in P.clusters(df).collect()} == {(1, 4, 6)}
     assert {(r.cluster, r.keeper, r.n) for r in P.clusters(df.drop("values", "summary", "scraped")).collect()} == {(1, 1, 6)}
+
+
+def test_days_alone_make_no_pairs(spark, monkeypatch):
+    """One role with one text on many days: contents are compared once, and classes are chained from day to day."""
+    seen = []
+    monkeypatch.setattr(P, "_titled", lambda pairs, f=P._titled: seen.append(pairs.count()) or f(pairs))
+    rows = [(i, "o", "Head clerk", f"https://h/{i}", str(date(2024, 1, 1) + timedelta(days=i * 2 if i < 40 else 200 + i)), "x" * 200, None, None, None, "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, org string, title string, url string, posted string, body string, city string, province string, kind string, source string")
+    found = {r.id: r.duplicate_of for r in P.confident_duplicates(df, df, earlier=True).collect()}
+    assert found == {i: max(0, i - 10) if i < 40 else 40 for i in range(60) if i not in (0, 40)}
+    assert {(r.id, r.cluster, r.n) for r in P.clusters(df).collect()} == {(i, 0, 40) if i < 40 else (i, 40, 20) for i in range(60)}
+    assert max(seen) <= 60, seen
