@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from brindle.functions.stems import STOPS, stem
 from brindle.sources.tables import materialize
 
 _WORD = re.compile(r"[^\W_]+")
-#: Positions after which a worker hands its rows on.
+#: Words after which a worker hands the rows of its texts on.
 FLUSH = 500_000
 
 
@@ -57,42 +57,62 @@ def build(docs: DataFrame, key: str, text: Column, language: str) -> DataFrame:
 
     The key is unique; rows of a null key, and null or wordless texts, have no rows. Words are
     runs of letters and digits in lower case. A document's rows are made where it is read:
-    nothing is shuffled, and a distinct word of a text is stemmed once.
+    nothing is shuffled, and a distinct word of some texts is stemmed once for them.
     """
     stops = STOPS[language]
     out = StructType([docs.schema[key], StructField("lexeme", StringType()), StructField("positions", ArrayType(IntegerType()))])
 
+    def made(keys: pa.Array, lengths: np.ndarray, words: list[str]) -> pa.RecordBatch:
+        """The rows of some texts in order; words are those of all of them."""
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        stems = pa.array([None if w in stops else stem(w, language) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        lexeme = stems.indices.fill_null(-1).to_numpy()[coded.indices.to_numpy()] if words else np.zeros(0, np.int32)
+        # one number for text and lexeme; places stay in order within it
+        n = max(len(stems.dictionary), 1)
+        by = np.repeat(np.arange(len(lengths)), lengths) * n + lexeme
+        place = (np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        by, place = by[lexeme >= 0], place[lexeme >= 0]
+        order = np.argsort(by, kind="stable")
+        by, place = by[order], place[order]
+        starts = np.flatnonzero(np.r_[True, by[1:] != by[:-1]][: len(by)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(by)].astype(np.int32)), pa.array(place))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(by[starts] // n)), stems.dictionary.take(pa.array(by[starts] % n)), lists], names=out.names)
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column(0).type
-            keys, lexemes, ends, places = [], [], [0], []
-
-            def made() -> pa.RecordBatch:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(lexemes, pa.string()), lists], names=out.names)
-
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = defaultdict(list)
-                for i, w in enumerate(_WORD.findall(x.as_py().lower())):
-                    found[w].append(i)
-                stems = defaultdict(list)
-                for w, at in found.items():
-                    if w not in stops:
-                        stems[stem(w, language)] += at
-                for w, at in stems.items():
-                    keys.append(k)
-                    lexemes.append(w)
-                    places += sorted(at)
-                    ends.append(len(places))
-                if len(places) > FLUSH:
-                    yield made()
-                    keys, lexemes, ends, places = [], [], [0], []
-            yield made()
+            first, lengths, words = 0, [], []
+            for i, x in enumerate(batch.column(1)):
+                found = _WORD.findall(x.as_py().lower())
+                lengths.append(len(found))
+                words += found
+                if len(words) > FLUSH or i == len(batch) - 1:
+                    yield made(batch.column(0).slice(first, len(lengths)), np.array(lengths), words)
+                    first, lengths, words = i + 1, [], []
 
     rows = docs.where(F.col(key).isNotNull()).select(key, text.alias("_text")).where(F.col("_text").isNotNull())
     return rows.mapInArrow(postings, out)
 
 
+def lexicon(index: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(word, and a column for each language with its lexeme, null for stop words) of an index of words as they stand.
+
+    With it find() searches that index by stems: a distinct word is stemmed once for all
+    documents, and texts are indexed once for all languages.
+    """
+    names = list(dict.fromkeys(languages))
+
+    def stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            each = [pa.array([None if w in STOPS[n] else stem(w, n) for w in words], pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *each], names=["word", *names])
+
+    # dealt anew, as few words in one partition would all be stemmed by one task
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, index.rdd.getNumPartitions())
+    words = index.select(F.col("lexeme").alias("word")).distinct().repartition(tasks)
+    return materialize(words.mapInArrow(stemmed, ", ".join(f"`{n}` string" for n in ["word", *names])), "lexicon")
+
+
 def stored(index: DataFrame, key: str, ranges: bool = False) -> DataFrame:
     """The index written in order of lexeme, so that a search reads the row groups and pages of its lexemes only.
 
@@ -103,12 +123,14 @@ def stored(index: DataFrame, key: str, ranges: bool = False) -> DataFrame:
     return materialize((index.repartitionByRange("lexeme", key) if ranges else index).sortWithinPartitions("lexeme", key), "inverted")
 
 
-def find(index: DataFrame, key: str, searches: Mapping[str, str], language: str, keys: DataFrame | None = None) -> DataFrame:
+def find(index: DataFrame, key: str, searches: Mapping[str, str], language: str, keys: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """(search, key): the documents that each of the named searches finds, each once.
 
     The scan is filtered by the searches' lexemes; a document's positions are shifted by the
     distances and intersected. An alternative that only excludes finds all other documents,
-    for which keys, a frame with the key of every document, is needed.
+    for which keys, a frame with the key of every document, is needed. With words, a lexicon
+    that has the language, the index is one of words as they stand: those of the searches'
+    lexemes are looked up first, and the index is scanned for them.
     """
     terms, bare = [], []
     for name, wanted in searches.items():
@@ -131,7 +153,14 @@ def find(index: DataFrame, key: str, searches: Mapping[str, str], language: str,
     pushed = lexeme.isin(sorted({t[7] for t in terms if not t[8]}))
     for t in sorted({t[7] for t in terms if t[8]}):
         pushed = pushed | F.startswith(lexeme, F.lit(t))
-    hits = index.where(pushed).select(key, "positions", F.explode(fits).alias("_t"))
+    if words is None:
+        hits = index.where(pushed).select(key, "positions", F.explode(fits).alias("_t"))
+    else:
+        # written, so that the join knows how few they are
+        wanted = materialize(words.select(F.col("word"), F.col(language).alias("lexeme")).where(pushed), "words")
+        fit = index.withColumnRenamed("lexeme", "word").join(wanted, "word").select(key, "positions", F.explode(fits).alias("_t"))
+        # the words of one lexeme are one row again
+        hits = fit.groupBy(key, "_t").agg(F.flatten(F.collect_list("positions")).alias("positions"))
     shifted = F.transform("positions", lambda p: p - F.col("_t.at"))
     group = [F.col(f"_t.{n}").alias(n) for n in ("search", "either", "part", "needed", "minus", "size")]
     # prefixes may have many lexemes in a document, of which one is enough; a phrase needs each of its distances

@@ -65,3 +65,37 @@ def test_stemmed_search(spark, sf):
     got = {tuple(r) for r in searching.stemmed_search(spark, sf).collect()}
     want = {(language, name, k) for language, each in searching.STEMMED.items() for name, wanted in each.items() for k in by_loop(texts, wanted, language)}
     assert got == want and len({(a, b) for a, b, _ in got}) >= 4
+
+
+@pytest.mark.parametrize("language", ["en", "fr"])
+def test_find_by_a_lexicon(spark, language):
+    """Stems over an index of words as they stand: words of one lexeme in one text, stop words' distances, exclusions."""
+    docs = spark.createDataFrame([*TEXTS.items(), (13, "library libraries"), (14, "librarie of public libraries public library"), (None, "public library")], "k long, t string")
+    texts = {k: t for k, t in docs.collect() if k is not None}
+    index = I.stored(I.build(docs, "k", F.col("t"), "simple"), "k")
+    words = I.lexicon(index, ["en", "fr", "en"])
+    assert words.columns == ["word", "en", "fr"] and words.where("word = 'the'").collect() == [("the", None, stem("the", "fr"))]
+    assert words.count() == index.select("lexeme").distinct().count()
+    named = {str(i): s for i, s in enumerate([*SEARCHES, '"library library"', '"public library public"'])}
+    rows = [(r.search, r.k) for r in I.find(index, "k", named, language, docs.select("k"), words).collect()]
+    assert len(rows) == len(set(rows))
+    for name, wanted in named.items():
+        assert {k for s, k in rows if s == name} == by_loop(texts, wanted, language), wanted
+    assert I.find(index.limit(0), "k", {"s": "city"}, language, None, I.lexicon(index.limit(0), [language])).count() == 0
+
+
+def test_stemmed_search_indexes_texts_once(spark, sf, monkeypatch):
+    """However many languages there are, and each distinct word is stemmed in the lexicon only."""
+    made, build = [], I.build
+    monkeypatch.setattr(I, "build", lambda *a: made.append(a[-1]) or build(*a))
+    searching.stemmed_search(spark, sf)
+    assert made == ["simple"]
+
+
+def test_rows_are_cut_by_words(spark, monkeypatch):
+    """Rows of texts that a worker hands on early are those of one batch."""
+    docs = spark.createDataFrame([*TEXTS.items(), (13, "the of")], "k long, t string").coalesce(1)
+    whole = sorted(map(tuple, I.build(docs, "k", F.col("t"), "en").collect()))
+    monkeypatch.setattr(I, "FLUSH", 3)
+    assert sorted(map(tuple, I.build(docs, "k", F.col("t"), "en").collect())) == whole
+    assert [r for r in whole if r[0] in (3, 8, 13)] == [(3, "free", [4]), (3, "librari", [1]), (3, "public", [2]), (8, "help", [1, 2]), (8, "self", [0, 3])]
