@@ -56,3 +56,39 @@ def test_word_scores(spark):
     assert {r.id for r in stretches.word_scores(df, "id", F.col("t"), ["word"], 1.0).collect()} == {1, 6}
     assert stretches.word_scores(df.limit(0), "id", F.col("t"), words).count() == 0
     assert stretches.word_scores(df, "id", F.col("t"), []).count() == 0
+
+
+@pytest.mark.parametrize(("effort", "once"), [(0, 0), (1, 0), (4, 0), (4, 2000)])
+def test_texts_together(monkeypatch, effort, once):
+    """Texts that stand one after the other, empty and repetitive ones among them, give what each gives alone; running sums are used always or seldom."""
+    monkeypatch.setattr(stretches, "EFFORT", effort)
+    monkeypatch.setattr(stretches, "ONCE", once)
+    rng = random.Random(effort)
+    for kind in (np.uint16, np.int64):
+        for _ in range(40):
+            kinds = rng.choice([2, 5, 40])
+            texts = [np.array([rng.randrange(kinds) for _ in range(rng.choice([0, 1, 7, 60]))], kind) for _ in range(rng.randrange(1, 9))]
+            texts.append(np.tile(texts[-1][:5], 12))
+            wanted = np.unique(np.array([rng.randrange(kinds + 2) for _ in range(rng.randrange(1, 9))], kind))
+            back = [stretches.distances(stretches.earlier_places(t)) for t in texts]
+            got = stretches.best_stretches(np.concatenate(texts), np.concatenate(back), np.cumsum([0, *map(len, texts)]), wanted)
+            assert got.tolist() == [plain(t.tolist(), wanted.tolist()) for t in texts]
+
+
+def test_grams_are_those_of_words():
+    line = "".join(f"  {w} " for w in ["ab", "c9", "z"])
+    want = [line[i : i + 3] for i in range(len(line) - 2) if line[i + 1 : i + 3] != "  "]
+    got = stretches.grams("-ab..C\N{LATIN SMALL LETTER E WITH ACUTE}c9 z\n")
+    assert got.dtype == np.uint16
+    letters = " 0123456789abcdefghijklmnopqrstuvwxyz"
+    assert ["".join(letters[x // k % 37] for k in (1369, 37, 1)) for x in got.tolist()] == want
+    assert not len(stretches.grams("")) and not len(stretches.grams("\N{LATIN SMALL LETTER E WITH ACUTE} !"))
+
+
+def test_scores_do_not_depend_on_what_is_together(spark, monkeypatch):
+    texts = [None, "", "the library", "between libraries", None, "licence " * 30, "erat", "betw een", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    rows = lambda least: sorted(map(tuple, stretches.word_scores(df, "id", F.col("t"), ["between", "licence", "erat"], least).collect()))
+    whole, some = rows(None), rows(0.4)
+    monkeypatch.setattr(stretches, "TOGETHER", 5)
+    assert rows(None) == whole and rows(0.4) == some and len(whole) == 27 and some == [r for r in whole if r[2] is not None and r[2] >= 0.4]
