@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import unaccent
+from brindle.functions.text import bound, unaccent
 from brindle.operators.components import connected_components
 from brindle.operators.relational import word_prefix_pairs
+from brindle.sources.tables import materialize
 
 # Hosts that many organisations share, by kind.
 SHARED = {
@@ -59,13 +60,12 @@ def host(url: Column) -> Column:
     """The host of a URL, with or without scheme, in lower case without "www." and "m."; null for what is none."""
     name = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", 1)
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^\.+|\.+$", ""), r"^www\d?\.", ""), r"^m\.", "")
-    return F.when(name.rlike("[a-z0-9]") & F.contains(name, F.lit(".")), name)
+    return bound(name, lambda n: F.when(n.rlike("[a-z0-9]") & F.contains(n, F.lit(".")), n))
 
 
 def _parents(name: Column) -> Column:
     """A host and all its parents, longest first."""
-    parts = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return bound(F.split(name, r"\."), lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def shared_host(name: Column) -> Column:
@@ -76,22 +76,21 @@ def shared_host(name: Column) -> Column:
 
 def apex(name: Column) -> Column:
     """The employer's part of a host: its last two labels, three where those two are a common parent."""
-    last = lambda n: F.substring_index(name, ".", -n)
-    return F.when(last(2).isin(PARENTS), last(3)).otherwise(last(2))
+    last = lambda x, n: F.substring_index(x, ".", -n)
+    return bound(name, lambda x: F.when(last(x, 2).isin(PARENTS), last(x, 3)).otherwise(last(x, 2)))
 
 
 def evidence(url: Column) -> Column:
     """The host of a URL, if it isn't a shared one."""
-    return F.when(shared_host(host(url)).isNull(), host(url))
+    return bound(host(url), lambda name: F.when(shared_host(name).isNull(), name))
 
 
 def identity(url: Column) -> Column:
     """What in a URL is one organisation's: its apex; on shared hosts the subdomain, the path, or both; else null."""
-    name, shared = host(url), shared_host(host(url))
     path = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", "")
-    own = F.when(path != "", F.concat(name, F.lit("/"), path)).when(name != shared, name)
-    return F.when(shared.isNull(), apex(name)).otherwise(own)
+    own = lambda name, shared: bound(path, lambda p: F.when(p != "", F.concat(name, F.lit("/"), p)).when(name != shared, name))
+    return bound(host(url), lambda name: bound(shared_host(name), lambda shared: F.when(shared.isNull(), apex(name)).otherwise(own(name, shared))))
 
 
 def platform(found: Column) -> Column:
@@ -101,11 +100,14 @@ def platform(found: Column) -> Column:
 
 def identity_kind(found: Column) -> Column:
     """employer_owned, or what its shared host is; invalid for a shared host itself, unknown for null and empty."""
-    on = F.when(found != "", platform(found))
-    kind = F.lit("employer_owned")
-    for name, hosts in SHARED.items():
-        kind = F.when(on.isin(hosts), name).otherwise(kind)
-    return F.when(on.isNull(), "unknown").when(found == on, "invalid").otherwise(kind)
+
+    def told(own: Column, on: Column) -> Column:
+        kind = F.lit("employer_owned")
+        for name, hosts in SHARED.items():
+            kind = F.when(on.isin(hosts), name).otherwise(kind)
+        return F.when(on.isNull(), "unknown").when(own == on, "invalid").otherwise(kind)
+
+    return bound(found, lambda own: bound(F.when(own != "", platform(own)), lambda on: told(own, on)))
 
 
 def place_words(*parts: Column) -> Column:
@@ -127,13 +129,15 @@ def organization_edges(orgs: DataFrame) -> DataFrame:
     Those of one key link to the smallest id. A key that is another's with place words after it
     links to that, where their smallest ids' places agree and those words are of the longer one's
     place. Keys of one loose key link where their sites' apexes don't conflict. Names without a
-    word never link. All are equi-joins and aggregations.
+    word never link. All are equi-joins and aggregations. What the joins need of a row is worked
+    out once and written.
     """
     rows = orgs.select(
         "id", spaced_key(F.col("name")).alias("key"), loose_spaced_key(F.col("name")).alias("loose"), apex(evidence(F.col("website"))).alias("apex"),
         F.col("city"), F.col("location"), place_words(F.col("city"), F.col("province"), F.col("location")).alias("words"),
-    ).where("key <> ''")
-    first = rows.groupBy("key").agg(F.min_by(F.struct("id", "city", "location", "words"), "id").alias("rep"))
+    )
+    rows = materialize(rows, "organizations").where("key <> ''")
+    first = materialize(rows.groupBy("key").agg(F.min_by(F.struct("id", "city", "location", "words"), "id").alias("rep")), "keys")
     same = rows.join(first, "key").select(F.col("id").alias("a"), F.col("rep.id").alias("b"))
     side = lambda c: first.select(F.col("key").alias(c), F.col("rep").alias(f"_{c}"))
     pairs = word_prefix_pairs(first, "key", CORE).join(side("short"), "short").join(side("long"), "long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import entities as E
 from brindle.plans.registry import query
-from brindle.sources.tables import table
+from brindle.sources.tables import spread, table
 
 # Made by rule: four organisations of each number g, whose names, places and sites agree or not by g.
 _ORGS_SQL = """
@@ -32,7 +32,7 @@ def _orgs(spark: SparkSession, d: str) -> DataFrame:
         F.when(g % 5 == 0, F.when(r != 1, say("https://www.grove", n, ".org"))).when(g % 5 == 1, F.when(r == 0, say("http://careers.grove", n, ".org/x")).otherwise(say("grove", n, ".org")))
         .when(g % 5 == 2, say("https://grove", (g + r).cast("string"), ".gc.ca/")).when(g % 5 == 3, say("https://facebook.com/grove", n)).otherwise(say("https://grove", n, ".co.uk"))
     )
-    return table(spark, d, "customer").select(
+    return spread(table(spark, d, "customer")).select(
         k.alias("id"), name.alias("name"), F.when(laval, "Laval").when(g % 5 == 1, None).otherwise("Ottawa").alias("city"), F.lit("QC").alias("province"),
         F.when(g % 4 == 1, None).when(laval, "Laval, QC").otherwise("Ottawa ON").alias("location"), site.alias("website"), (k % 7).alias("jobs"), g.alias("g"), r.alias("r"),
     )

@@ -111,3 +111,21 @@ def test_guards(spark):
     steps = spark.createDataFrame([("a", i, c) for i, c in enumerate(["c1", "c2", "c1", "c3"])] + [("b", 0, None), ("b", 1, "c")], "run string, step long, cursor string")
     assert {(r.run, r.step) for r in upkeep.cursor_guard(steps, "run", "step", "cursor").collect()} == {("a", 0), ("a", 1), ("a", 2), ("b", 0)}
     assert upkeep.page_guard(df.limit(0), "run", "page", "key").count() == 0
+
+
+def test_hosts_are_worked_out_once(spark):
+    """However often an expression refers to a URL's host, its patterns run once a row."""
+    df = spark.createDataFrame([("https://www.a.org/x",)], "u string")
+    for made, most in ((E.identity, 2), (E.evidence, 1), (lambda u: E.apex(E.evidence(u)), 1), (lambda u: E.identity_kind(E.identity(u)), 2), (lambda u: E.platform(E.identity(u)), 2)):
+        plan = df.select(made(F.col("u")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("regexp_extract(") <= most
+
+
+ORGS = "id long, name string, city string, province string, location string, website string, jobs long"
+
+
+def test_joins_of_organizations_read_what_was_worked_out(spark):
+    """What sites say isn't worked out anew for each of the joins."""
+    orgs = spark.createDataFrame([(1, "A b", "Laval", "QC", "Laval", "https://a.org", 1), (2, "A b Laval", "Laval", "QC", "Laval", "a.org", 0)], ORGS)
+    for df in (E.organization_edges(orgs),):
+        assert df.count() and "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
