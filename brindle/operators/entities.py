@@ -196,17 +196,17 @@ def resolve(postings: DataFrame, orgs: DataFrame) -> DataFrame:
         "org", normal_names(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("keys"), identity(F.col("website")).alias("own_site"),
         F.split(spaced_key(F.col("location")), " ").alias("place"),
     )
-    by_name = posts.where("key <> ''").join(known.select("org", "own_site", "place", F.explode("keys").alias("key")), "key").withColumn("named", F.lit(1))
-    by_site = posts.join(known.where("own_site is not null"), F.col("site") == F.col("own_site")).withColumn("named", F.lit(0))
-    columns = ["id", "org", "site", "own_site", "place", "province", "city", "named"]
-    pairs = by_name.select(*columns).unionByName(by_site.select(*columns)).groupBy("id", "org").agg(*[F.any_value(c).alias(c) for c in columns[2:-1]], F.max("named").alias("named"))
-    named, sites = F.col("named") == 1, F.col("site").isNotNull() & F.col("own_site").isNotNull()
+    # both are read by several joins
+    posts, known = materialize(posts, "postings"), materialize(known, "candidates")
+    by_name = posts.where("key <> ''").join(known.select("org", "own_site", "place", F.explode("keys").alias("key")), "key").withColumn("named", F.lit(True))
+    by_site = posts.join(known.where("own_site is not null"), F.col("site") == F.col("own_site")).withColumn("named", F.lit(False))
+    named, sites = F.col("named"), F.col("site").isNotNull() & F.col("own_site").isNotNull()
     other = F.coalesce(sites & (F.col("site") != F.col("own_site")), F.lit(False))
     held = lambda c, points: F.when((F.col(c) != "") & F.array_contains("place", F.col(c)), points).otherwise(0)
     score = F.when(named, NAME).otherwise(0) + F.when(named & sites, F.when(other, OTHER_SITE).otherwise(SAME_SITE)).otherwise(0) + held("province", PROVINCE) + held("city", CITY)
-    best = pairs.withColumns({"score": score, "open": named & ~other}).groupBy("id").agg(
-        F.min_by(F.struct("org", "score"), F.struct(-F.col("score"), "org")).alias("best"), F.max("open").alias("open")
-    )
+    # a pair that name and site both give has one site, so that its row by name scores more
+    scored = [rows.select("id", "org", score.alias("score"), (named & ~other).alias("open")) for rows in (by_name, by_site)]
+    best = scored[0].unionByName(scored[1]).groupBy("id").agg(F.min_by(F.struct("org", "score"), F.struct(-F.col("score"), "org")).alias("best"), F.max("open").alias("open"))
     found = posts.select("id", "key").join(best, "id", "left")
     decision = F.when(F.col("best.score") >= ENOUGH, "merge").when(F.coalesce("open", F.lit(False)), "block").otherwise("create")
     return found.select("id", F.col("best.org").alias("org"), F.col("best.score").alias("score"), decision.alias("decision"))

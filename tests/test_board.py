@@ -127,5 +127,18 @@ ORGS = "id long, name string, city string, province string, location string, web
 def test_joins_of_organizations_read_what_was_worked_out(spark):
     """What sites say isn't worked out anew for each of the joins."""
     orgs = spark.createDataFrame([(1, "A b", "Laval", "QC", "Laval", "https://a.org", 1), (2, "A b Laval", "Laval", "QC", "Laval", "a.org", 0)], ORGS)
-    for df in (E.organization_edges(orgs),):
+    known = orgs.select(F.col("id").alias("org"), "name", F.lit(None).cast("array<string>").alias("aliases"), "website", "location")
+    for df in (E.organization_edges(orgs), E.resolve(orgs, known)):
         assert df.count() and "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_by_name_and_site(spark):
+    """A candidate that both name and site give counts by its name; one of the name with another site closes nothing; equal scores go to the smallest id."""
+    posts = spark.createDataFrame(
+        [(1, "Oak", None, None, None, "https://oak.org", 0), (2, "Oak", "Laval", "QC", None, None, 0), (3, "Oak", None, None, None, "https://elm.org", 0), (4, None, None, None, None, "oak.org", 0), (5, "Fir", None, None, None, None, 0)], ORGS
+    )
+    known = spark.createDataFrame(
+        [(7, "OAK", ["Oak"], "http://www.oak.org/x", "Laval QC"), (8, "Pine", ["oak!"], None, None), (9, "Oak Trust", None, "jobs.oak.org", "Laval")], "org long, name string, aliases array<string>, website string, location string"
+    )
+    got = {r.id: (r.org, r.score, r.decision) for r in E.resolve(posts, known).collect()}
+    assert got == {1: (7, 150, "merge"), 2: (7, 65, "block"), 3: (8, 50, "block"), 4: (7, 0, "create"), 5: (None, None, "create")}
