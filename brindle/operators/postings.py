@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from brindle.functions import sequences
 from brindle.functions.numbers import parse_posted
 from brindle.functions.places import province_code
 from brindle.functions.text import fold, jaccard, normal_url
@@ -27,8 +29,12 @@ FLUFF = "new volunteer volunteering temporary contract urgent asap ft pt fulltim
 BOARDS = ["indeed.com", "linkedin.com", "glassdoor.com"]
 #: Days between two postings of one opening, at most.
 DAYS = 21
-#: Characters of a body that are compared, and the fewest that say anything.
-BODY, THIN = 2500, 80
+#: The fewest characters of a body that say anything.
+THIN = 80
+#: How alike bodies of a sure posting are: in the same city on another board, and elsewhere.
+ACROSS, ALIKE = 0.7, 0.9
+#: Texts of one role are compared by blocks of so many rows and characters.
+ROWS, CHARS = 512, 1_000_000
 
 
 @F.pandas_udf(DoubleType())
@@ -39,16 +45,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def ratio_from(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
-    """sequence_ratio, or null where it's below need; counts of letters, which bound it, settle most such pairs."""
-
-    def ratio(x: str | None, y: str | None, least: float) -> float | None:
-        if x is None or y is None:
-            return None
-        m = SequenceMatcher(None, x, y)
-        found = 1.0 if x == y else m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else None
-        return found if found is not None and found >= least else None
-
-    return pd.Series([ratio(*row) for row in zip(a, b, need)], dtype="float64")
+    """sequence_ratio, or null where it's below need."""
+    return pd.Series([None if x is None or y is None else sequences.ratio(x, y, least) for x, y, least in zip(a, b, need)], dtype="float64")
 
 
 def role_tokens(title: Column) -> Column:
@@ -73,11 +71,6 @@ def board(url: Column) -> Column:
     return F.when(short.isin(BOARDS), short).when(host.isin("indeed.ca", "glassdoor.ca"), F.regexp_replace(host, "ca$", "com")).otherwise(host)
 
 
-def _letters(x: Column) -> Column:
-    """How often each of the commonest letters, and the blank, stands in a text."""
-    return F.array(*[(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).alias(c) for c in " etaoinsrhldcum"])
-
-
 def _prepared(df: DataFrame, *more: str) -> DataFrame:
     fluff = F.array(*map(F.lit, FLUFF))
     low = F.lower(F.coalesce("body", F.lit("")))
@@ -87,7 +80,7 @@ def _prepared(df: DataFrame, *more: str) -> DataFrame:
         "id", "org", normal_url(F.col("url")).alias("url"), role_tokens(F.col("title")).alias("words"), posted_day(F.col("posted")).alias("day"),
         F.nullif(fold(F.col("city")), F.lit("")).alias("city"), province_code(F.col("province")).alias("prov"),
         F.nullif(F.trim("province"), F.lit("")).isNotNull().alias("has_prov"), F.nullif(F.lower(F.trim("kind")), F.lit("")).alias("kind"), "source",
-        F.substring(F.trim(F.regexp_replace(low, r"\s+", " ")), 1, BODY).alias("_head"), F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]+>", " "), r"\s+", " ")).alias("_plain"),
+        F.trim(F.regexp_replace(low, r"\s+", " ")).alias("_head"), F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]+>", " "), r"\s+", " ")).alias("_plain"),
         F.length(F.coalesce("body", F.lit(""))).alias("size"), hours.alias("_hours"), *more,
     )
     rows = rows.select(
@@ -193,7 +186,7 @@ def _two_least(df: DataFrame, *key: str) -> DataFrame:
     return first.join(other, [*key], "left")
 
 
-_CONTENT = "org words city prov has_prov kind source head clone hours core number host".split()
+_CONTENT = "org words city prov has_prov kind source clone hours core number host".split()
 
 
 def compared(df: DataFrame) -> DataFrame:
@@ -202,26 +195,35 @@ def compared(df: DataFrame) -> DataFrame:
     return _prepared(df, *[c for c in ("new", "known") if c in df.columns]).withColumn("number", number).withColumn("host", board(F.col("url")))
 
 
-def _by_content(df: DataFrame, label: str) -> DataFrame:
-    """Compared rows of df with cls, the name of their content, and the columns new and known of df; rows of a class differ in those, day, id and URL only."""
-    rows = materialize(compared(df), f"{label}-compared")  # written first: the hash would have all its columns worked out again
-    return materialize(rows.withColumn("cls", F.sha2(F.to_json(F.struct(*_CONTENT)), 256)), label, spent=[rows])
+def _by_content(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Compared rows of df without their texts, with cls, the name of their content; and (row, head), the texts.
+
+    Rows of a class differ in day, id, URL and the columns new and known of df only.
+    """
+    texts = materialize(compared(df).withColumn("row", F.monotonically_increasing_id()), f"{label}-compared")  # written first: the hash would have all its columns worked out again
+    cls = F.sha2(F.to_json(F.struct(*_CONTENT, F.sha2("head", 256).alias("head"))), 256)
+    return materialize(texts.withColumns({"cls": cls, "long": F.length("head")}).drop("head", "size"), label), texts.select("row", "head")
 
 
-def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
+def _sure_pairs(rows: DataFrame, texts: DataFrame, left: Column, right: Column, whole: Column) -> DataFrame:
     """(of, cls): classes of rows that meet left, each with those that meet right and are surely the same posting, if their days are close.
 
     Days decide nothing else, so contents are compared once, on whatever days they are posted.
-    Classes meet by the stretch of days that they have in each band; texts join what these leave.
+    Classes with one listing number or body meet by the stretch of days that they have in each
+    band. Other bodies are compared as whole texts, by blocks of a role; of these pairs those are
+    left out that can't name the smallest id: rows that don't meet whole need an id smaller than
+    the other's, and a row with a partner needs none of larger ids.
 
     The role must be the same; then a shared listing number decides, or, with no conflict of
     city, hours and kind, equal bodies, bodies 0.9 alike, or 0.7 in the same city on another board.
     """
-    classes = rows.groupBy("cls").agg(*[F.any_value(c).alias(c) for c in _CONTENT])
-    classes = materialize(classes.withColumns({"letters": _letters(F.col("head")), "long": F.length("head")}), "posting-classes")
-    spans = rows.groupBy("cls", _band(F.col("day")).alias("_b")).agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.max(left).alias("left"), F.max(right).alias("right"))
-    spans = materialize(spans.drop("_b").join(classes.drop("head"), "cls"), "posting-spans")
-    pairs = _titled(_near(_sides(spans.where("left"))[0], _sides(spans.where("right"))[1], _role())).where("alike >= 0.7 or order >= 0.85")
+    key = F.explode(F.array_compact(F.array(F.concat(F.lit("n"), "number"), F.concat(F.lit("c"), "clone"))))
+    spans = rows.groupBy("cls", _band(F.col("day")).alias("_b")).agg(
+        F.min("day").alias("lo"), F.max("day").alias("hi"), F.max(left).alias("left"), F.max(right).alias("right"), *[F.any_value(c).alias(c) for c in _CONTENT]
+    )
+    spans = materialize(spans.drop("_b").withColumn("key", key), "posting-spans")
+    pairs = _near(_sides(spans.where("left"))[0], _sides(spans.where("right"))[1], [*_role(), F.col("a_key") == F.col("b_key")])
+    pairs = _titled(pairs).where("alike >= 0.7 or order >= 0.85")
     listed = F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False))
     vague = (F.col("a_has_prov") & F.col("a_prov").isNull()) | (F.col("b_has_prov") & F.col("b_prov").isNull())
     other_prov = F.coalesce(F.col("a_prov") != F.col("b_prov"), F.lit(False))
@@ -230,23 +232,113 @@ def _sure_pairs(rows: DataFrame, left: Column, right: Column) -> DataFrame:
     hours = (F.size("a_hours") > 0) & (F.size("b_hours") > 0) & (F.col("a_hours") != F.col("b_hours"))
     veto = (cities & ~same) | hours | F.coalesce(F.col("a_kind") != F.col("b_kind"), F.lit(False))
     clone = F.coalesce(F.col("a_clone") == F.col("b_clone"), F.lit(False))
-    hosts = F.col("a_host") != F.col("b_host")
-    known_hosts = F.col("a_host").isin(BOARDS) & F.col("b_host").isin(BOARDS) & hosts
-    both = F.col("a_source").isNotNull() & F.col("b_source").isNotNull()
-    cross = F.coalesce(F.when(both, (F.col("a_source") != F.col("b_source")) | known_hosts).otherwise(hosts), F.lit(False))
-    pairs = pairs.withColumn("sure", listed | (~veto & clone)).withColumn("need", F.when(~veto & ~listed & ~clone, F.when(same & cross, 0.7).otherwise(0.9)))
-    # matching parts of two texts are no longer than the shorter one, and have no more of a letter than either
-    shorter, lengths = F.least("a_long", "b_long"), F.col("a_long") + F.col("b_long")
-    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    rest = F.least(*[F.col(f"{side}_long") - F.aggregate(f"{side}_letters", F.lit(0), lambda s, x: s + x) for side in "ab"])
-    may = F.least(common + rest, shorter) * 2 / lengths >= F.col("need")
-    pairs = pairs.where("sure or (need > 0 and a_long is not null and b_long is not null)").where(F.col("sure") | may)
-    pairs = materialize(pairs.select("a_cls", "b_cls", "sure", "need").distinct(), "posting-pairs")
-    a, b = _sides(classes.where("head is not null").select("cls", "head"))
-    open_ = _spread(pairs.where("not sure").join(a, "a_cls").join(b, "b_cls"), "b_cls", "a_cls")
-    close = open_.withColumn("ratio", ratio_from("a_head", "b_head", "need")).where("ratio is not null")
-    hits = pairs.where("sure").select("a_cls", "b_cls").unionByName(close.select("a_cls", "b_cls"))
-    return materialize(hits.select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")), "posting-hits")
+    sure = pairs.where(listed | (~veto & clone)).select(F.col("a_cls").alias("of"), F.col("b_cls").alias("cls")).distinct()
+    return materialize(sure.unionByName(_alike_texts(rows, texts, left, right, whole)), "posting-hits")
+
+
+def _alike_texts(rows: DataFrame, texts: DataFrame, left: Column, right: Column, whole: Column) -> DataFrame:
+    """(of, cls): classes that neither number nor body makes sure, but the ratio of their whole texts; see _sure_pairs."""
+    bodied = rows.where("long is not null")
+    first = F.struct("id", "url", "day", (~whole).alias("later"))  # of one id that which meets whole
+    classes = bodied.groupBy("cls").agg(
+        *[F.any_value(c).alias(c) for c in [*_CONTENT, "long"]], F.min("row").alias("row"), F.min("day").alias("lo"), F.max("day").alias("hi"), F.max(F.col("day").isNull()).alias("undated"),
+        F.count_if(left).alias("asks"), F.min(F.when(left, first)).alias("asking"), F.max(F.when(left, F.struct("id"))).alias("last"),
+        F.min(F.when(right, first)).alias("answer"), F.max(F.when(right, whole)).alias("whole"), F.count(F.lit(1)).alias("n"),
+    )
+    classes = materialize(classes, "posting-classes")
+    sizes = classes.groupBy("org", "core").agg(F.count(F.lit(1)).alias("_n"), F.sum("long").alias("_long"), F.max((F.col("n") > 1) & F.col("clone").isNull()).alias("_self"))
+    # large roles are dealt out by the lengths of their texts, as texts of very unlike lengths aren't alike
+    band = F.when((F.col("_n") > ROWS) | (F.col("_long") > CHARS), F.floor(F.log("long") / F.log(F.lit(1.25)))).otherwise(0)
+    classes = classes.join(sizes.where("_n > 1 or _self"), ["org", "core"]).withColumn("band", band).drop("_n", "_long", "_self")
+    bands = classes.groupBy("org", "core", "band").agg(F.greatest(F.ceil(F.sum("long") / CHARS), F.ceil(F.count(F.lit(1)) / ROWS)).alias("_parts"))
+    classes = classes.join(bands, ["org", "core", "band"]).withColumn("block", F.struct("band", F.pmod(F.xxhash64("cls"), F.col("_parts")).alias("part"))).drop("band", "_parts")
+    classes = materialize(classes, "posting-blocks")
+    blocks = classes.groupBy("org", "core", "block").agg(F.min("long").alias("least"), F.max("long").alias("most"), F.max(F.col("asks") > 0).alias("asks"), F.max(F.col("answer").isNotNull()).alias("answers"))
+    reach = lambda x, y: F.col(f"{x}_most") * (2 - ACROSS) >= F.col(f"{y}_least") * ACROSS
+    useful = (F.col("a_asks") & F.col("b_answers")) | (F.col("b_asks") & F.col("a_answers"))
+    a, b = _sides(blocks)
+    met = a.join(b, [*_role(), F.col("a_block") <= F.col("b_block"), reach("a", "b"), reach("b", "a"), useful])
+    ends = F.array_distinct(F.array("a_block", "b_block"))
+    met = met.select(F.col("a_org").alias("org"), F.col("a_core").alias("core"), F.struct("a_block", "b_block").alias("pair"), F.explode(ends).alias("block"))
+    dealt = classes.join(met, ["org", "core", "block"]).join(texts, "row").withColumn("second", F.col("block") == F.col("pair.b_block")).withColumn("alone", F.col("pair.a_block") == F.col("pair.b_block"))
+    # as many parts as named: ratios cost far more than their bytes tell, so small parts must not be merged
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.drop("block", "row").repartition(parts, "org", "core", "pair").groupBy("org", "core", "pair").applyInPandas(_block_hits, "of string, cls string")
+
+
+def _block_hits(rows: pd.DataFrame) -> pd.DataFrame:
+    """(of, cls) of the classes of two blocks of one role, or of one block with itself (alone), by the rules of _sure_pairs.
+
+    A row's partners are gone through from the smallest id on, up to one that no other can go before.
+    """
+    alone = bool(rows["alone"].iloc[0])
+    sides = [rows] if alone else [rows[~rows["second"]], rows[rows["second"]]]
+    sides = [x.reset_index(drop=True) for x in sides]
+    blocks = [sequences.Block(x["head"]) for x in sides]
+    ways = [(0, 0)] if alone else [(0, 1), (1, 0)]
+    needs = [_needs(sides[i], sides[j]) for i, j in ways]
+    may = sequences.possible(blocks[0], blocks[-1], needs[0] if alone else needs, not alone)
+    hits = []
+    for (i, j), need, open_ in zip(ways, needs, may):
+        a, b = sides[i], sides[j]
+        answers = list(b["answer"])
+        for n in np.flatnonzero(open_.any(1)):
+            mine = a["asking"][n] if a["asks"][n] == 1 else None
+            for m in sorted(np.flatnonzero(open_[n]), key=lambda m: answers[m]["id"]):
+                if sequences.ratio(blocks[i].texts[n], blocks[j].texts[m], need[n, m], blocks[j].at(m)) is None:
+                    continue
+                hits.append((a["cls"][n], b["cls"][m]))
+                if mine is not None and _settles(mine, answers[m]):
+                    break
+    return pd.DataFrame(hits, columns=["of", "cls"])
+
+
+def _settles(asking: dict, answer: dict) -> bool:
+    """Whether a row's partner counts as such by URL, day and id, so that no partner of a larger id is of use."""
+    close = any(x["day"] is None for x in (asking, answer)) or abs(asking["day"] - answer["day"]) <= DAYS
+    return asking["url"] != answer["url"] and close and (not answer["later"] or answer["id"] < asking["id"])
+
+
+def _needs(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """How alike the texts of a and b must be, by the rules of _sure_pairs; NaN where the ratio decides nothing."""
+
+    def both(column: str, of=lambda x: x) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the values are there on both sides and equal, there and unlike, and there at all."""
+        x, y = (pd.Series([None if v is None else of(v) for v in side[column]], dtype=object) for side in (a, b))
+        codes = pd.factorize(pd.concat([x, y]))[0]
+        p, q = codes[: len(x), None], codes[None, len(x) :]
+        there = (p >= 0) & (q >= 0)
+        return there & (p == q), there & (p != q), there
+
+    flag = lambda f, *columns: [np.array([f(*v) for v in zip(*(side[c] for c in columns))], dtype=bool) for side in (a, b)]
+    numbers, clones, hours, kinds = both("number")[0], both("clone")[0], both("hours", lambda h: ",".join(h) or None)[1], both("kind")[1]
+    city, _, cities = both("city")
+    vague = np.logical_or.outer(*flag(lambda has, prov: has and prov is None, "has_prov", "prov"))
+    same = city & ~both("prov")[1] & ~vague
+    _, sources, sourced = both("source")
+    hosts, boards = both("host")[1], np.logical_and.outer(*flag(lambda host: host in BOARDS, "host"))
+    cross = np.where(sourced, sources | (hosts & boards), hosts)
+    low = lambda side, c, none: side[c].astype("float64").fillna(none).to_numpy()
+    near = (low(a, "lo", -np.inf)[:, None] - low(b, "hi", np.inf)[None] <= DAYS) & (low(b, "lo", -np.inf)[None] - low(a, "hi", np.inf)[:, None] <= DAYS)
+    near |= np.logical_or.outer(*flag(bool, "undated"))
+    last, first = ([None if x is None else x["id"] for x in column] for column in (a["last"], b["answer"]))
+    rank = {x: n for n, x in enumerate(sorted({*last, *first} - {None}))}
+    smaller = np.array([rank.get(x, -1) for x in first])[None] < np.array([rank.get(x, -1) for x in last])[:, None]
+    useful = (a["asks"].to_numpy() > 0)[:, None] & np.array([x is not None for x in first])[None] & (smaller | np.array([w is True for w in b["whole"]])[None])
+    open_ = useful & near & ~numbers & ~clones & ~((cities & ~same) | hours | kinds) & _same_titles(a["words"], b["words"])
+    return np.where(open_, np.where(same & cross, ACROSS, ALIKE), np.nan)
+
+
+def _same_titles(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Where two lists of words are the title of one role; each two distinct ones are compared once."""
+
+    def same(x: str, y: str) -> bool:
+        one, other = {*x.split()}, {*y.split()}
+        return len(one & other) / len(one | other) >= 0.7 or SequenceMatcher(None, x, y).ratio() >= 0.85
+
+    (p, left), (q, right) = (pd.factorize(np.array([" ".join(w) for w in side], dtype=object)) for side in (a, b))
+    table = np.array([[same(x, y) for y in right] for x in left])
+    return table[p[:, None], q[None]]
 
 
 def _first_partners(rows: DataFrame, hits: DataFrame, partners: DataFrame, earlier: bool) -> DataFrame:
@@ -278,13 +370,13 @@ def confident_duplicates(new: DataFrame, known: DataFrame, earlier: bool = False
     earlier takes only known postings of smaller ids. Rows of equal content are one class, and
     classes are paired, by the rules of _sure_pairs.
     """
-    rows = _by_content(_flagged(new, known), "postings")
-    return _first_partners(rows.where("new"), _sure_pairs(rows, F.col("new"), F.col("known")), rows.where("known"), earlier)
+    rows, texts = _by_content(_flagged(new, known), "postings")
+    return _first_partners(rows.where("new"), _sure_pairs(rows, texts, F.col("new"), F.col("known"), F.lit(not earlier)), rows.where("known"), earlier)
 
 
 def surely_there(new: DataFrame, stored: DataFrame) -> DataFrame:
     """(id): rows of new that are surely a stored posting, or an earlier one of new itself; contents are prepared and paired once for both."""
-    rows = _by_content(_flagged(new, stored), "postings")
-    hits = _sure_pairs(rows, F.col("new"), F.lit(True))
+    rows, texts = _by_content(_flagged(new, stored), "postings")
+    hits = _sure_pairs(rows, texts, F.col("new"), F.lit(True), F.col("known"))
     fresh = rows.where("new")
     return _first_partners(fresh, hits, rows.where("known"), False).unionByName(_first_partners(fresh, hits, fresh, True)).select("id").distinct()

@@ -1,10 +1,14 @@
 import itertools
+import random
 import re
 from datetime import date, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import sequences
 from brindle.operators import postings as P
 
 SCHEMA = "id long, org string, title string, url string, posted string, body string, city string, province string, kind string, source string"
@@ -136,3 +140,88 @@ def test_days_alone_make_no_pairs(spark, monkeypatch):
     assert found == {i: max(0, i - 10) if i < 40 else 40 for i in range(60) if i not in (0, 40)}
     assert {(r.id, r.cluster, r.n) for r in P.clusters(df).collect()} == {(i, 0, 40) if i < 40 else (i, 40, 20) for i in range(60)}
     assert max(seen) <= 60, seen
+
+
+def _texts(seed, n):
+    """Texts of two languages' letters and of many signs, each with edited, turned and repeated copies."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice(["th", "he", "in", "er", "q", "zx", "k", "é", "ou", ".", "0", "the", "jj"]) for _ in range(draw.randint(1, 4)))
+    out = []
+    for _ in range(n):
+        a = [word() for _ in range(draw.choice([0, 3, 30, 100, 300]))] if draw.random() < 0.7 else [chr(0x4E00 + int(draw.paretovariate(0.5)) % 400) for _ in range(300)]
+        b = [x for w in a for x in ([w] if draw.random() > 0.05 else [word(), w] if draw.random() < 0.5 else [])]
+        cut = draw.randrange(len(b) + 1)
+        out += [" ".join(x) for x in (a, b, b[cut:] + b[:cut], (a * 3)[: len(a) * 2])]
+    return out
+
+
+def test_ratio_is_difflibs():
+    texts = _texts(1, 12)
+    for a, b in itertools.product(texts, texts):
+        want = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+        assert sequences.ratio(a, b) == want
+        for need in (0.55, 0.7, 0.9):
+            assert sequences.ratio(a, b, need) == (want if want >= need else None)
+
+
+def test_bounds_lose_nothing():
+    texts = _texts(2, 40)
+    a, b = sequences.Block(texts[::2]), sequences.Block(texts[1::2])
+    for need in (0.3, 0.7, 0.9):
+        asked = np.full((len(a.texts), len(b.texts)), need)
+        there, back = sequences.possible(a, b, (asked, asked.T), True)
+        (own,) = sequences.possible(a, a, asked)
+        for i, j in itertools.product(range(0, len(a.texts), 3), range(len(b.texts))):
+            x, y, z = a.texts[i], b.texts[j], a.texts[j]
+            assert there[i, j] or sequences.ratio(x, y, need) is None
+            assert back[j, i] or sequences.ratio(y, x, need) is None
+            assert own[i, j] or sequences.ratio(x, z, need) is None
+    assert 0 < there.mean() < 0.2
+
+
+def test_whole_texts_decide(spark):
+    """Texts that part after 2,500 characters are unlike, texts of which only the beginnings are unlike are alike."""
+    draw = random.Random(5)
+    word = lambda i: "".join(draw.choices("abcdefghijklmnopqrst", k=draw.randint(2, 9))) + draw.choice("uvwxyz0123456789") * (i % 9 == 0)
+    text, other = ([word(i) for i in range(4000)] for _ in range(2))
+    assert len(" ".join(text[:450])) > 2500
+    bodies = [text, text[:450] + other[450:], [word(i) if i < 450 and i % 9 in (3, 5) else w for i, w in enumerate(text)]]
+    rows = [(i, "a", "Clerk", f"https://x.org/{i}", "2024-01-01", " ".join(body), None, None, None, "s") for i, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.id: r.duplicate_of for r in P.confident_duplicates(df, df, earlier=True).collect()} == {2: 0}
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_texts_in_blocks_against_brute_force(spark, monkeypatch, earlier):
+    """Blocks of a few texts each; boards, cities, days, URLs and copies differ, and known postings need not be new."""
+    monkeypatch.setattr(P, "ROWS", 8)
+    monkeypatch.setattr(P, "CHARS", 8000)
+    draw = random.Random(7)
+    bodies = [t for t in _texts(3, 15) if len(t) > 200]
+    make = lambda i: (i, "a", draw.choice(["Head clerk", "Clerks of the head"]), f"https://x.org/{i * 4 // 5}", str(date(2024, 1, 1) + timedelta(days=draw.randrange(60))) if i % 9 else None, bodies[i % len(bodies)],
+                      draw.choice(["Ottawa", "Laval", None]), draw.choice(["ON", "ON", "somewhere", None]), draw.choice([None, None, "full"]), draw.choice(["s", "t", None]))
+    raw = [make(i) for i in range(150)]
+    df = spark.createDataFrame(raw, SCHEMA)
+    known = df.where("id % 3 > 0")
+    rows = [dict(zip(df.columns, r)) for r in raw]
+    plain = [re.sub(r"\s+", " ", r["body"]).strip() for r in rows]
+
+    def sure(a, b):
+        if a["url"] == b["url"] or a["posted"] and b["posted"] and abs((date.fromisoformat(a["posted"]) - date.fromisoformat(b["posted"])).days) > 21 or a["kind"] and b["kind"] and a["kind"] != b["kind"]:
+            return False
+        vague = "somewhere" in (a["province"], b["province"])
+        same = a["city"] and a["city"] == b["city"] and not vague
+        if a["city"] and b["city"] and not same:
+            return False
+        x, y = plain[a["id"]], plain[b["id"]]
+        cross = a["source"] and b["source"] and a["source"] != b["source"]
+        return x == y or SequenceMatcher(None, x, y).ratio() >= (0.7 if same and cross else 0.9)
+
+    want = {}
+    for a, b in itertools.product(rows, rows):
+        if b["id"] % 3 and (b["id"] < a["id"] or not earlier) and a["id"] not in want and sure(a, b):
+            want[a["id"]] = b["id"]
+    assert len(set(want.values())) > 10
+    assert {r.id: r.duplicate_of for r in P.confident_duplicates(df, known, earlier=earlier).collect()} == want
+    there = {a["id"] for a, b in itertools.product(rows, rows) if (b["id"] % 3 or b["id"] < a["id"]) and sure(a, b)}
+    assert {r.id for r in P.surely_there(df, known).collect()} == there
