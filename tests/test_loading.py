@@ -17,6 +17,16 @@ def test_save_status(spark):
     assert tuple(L.run_summary(got).first()) == (7, 1, 0, 6)
 
 
+def test_save_status_compares_whole_texts(spark):
+    """Postings that are equal for over 2,500 characters and then go apart are two."""
+    row = lambda i, url, body: (i, "a", "Clerk", url, "2024-01-01", body, None, None, None, "s")
+    head = " ".join(str(i * 7919) for i in range(500))
+    one, other = (" ".join(str(i * k) for i in range(2000)) for k in (104729, 1299709))
+    stored = spark.createDataFrame([row(1, "https://x/1", f"{head} {one}")], SCHEMA)
+    new = spark.createDataFrame([row(2, "https://x/2", f"{head} {other}"), row(3, "https://x/3", f"{head} {one} and more")], SCHEMA)
+    assert {r.id: (r.status, r.reason) for r in L.save_status(new, stored).collect()} == {2: ("added", None), 3: ("skipped", "duplicate")}
+
+
 def test_bulk_update_and_backup(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, "b", 2.0), (3, None, None)], "k long, s string, v double")
     updates = spark.createDataFrame([('[{"k":1,"v":5},{"k":9,"v":1},{"k":2,"v":null}]',), ("oops",), (None,)], "p string")
