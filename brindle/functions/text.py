@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,12 +129,14 @@ def letter_count(x: Column, letters: str) -> Column:
 def language_of(chars: Column, en: Column, fr: Column, accents: Column, least_chars: int = 40, sure: float = 0.62, both: float = 0.28) -> Column:
     """en, fr or bilingual by the markers' counts, a French letter as half a marker; null for short texts, few markers and unclear mixtures.
 
-    Counts should be columns of their own, so that each text is read once for each.
+    Counts should be columns of their own, so that each text is read once for each. Shares are
+    decimals: 7 of 25 are 0.28, but less than 0.28 * 25 as doubles.
     """
-    french = fr + accents * 0.5
+    exact = lambda x: F.lit(Decimal(str(x)))
+    french = fr + accents * exact(0.5)
     total = french + en
-    two = (french >= both * total) & (en >= both * total) & (french >= 3) & (en >= 3)
-    said = F.when(two, "bilingual").when(french >= sure * total, "fr").when(en >= sure * total, "en")
+    two = (french >= exact(both) * total) & (en >= exact(both) * total) & (french >= 3) & (en >= 3)
+    said = F.when(two, "bilingual").when(french >= exact(sure) * total, "fr").when(en >= exact(sure) * total, "en")
     return F.when((chars >= least_chars) & (total >= 2), said)
 
 

@@ -39,6 +39,13 @@ def test_accents_and_languages(spark):
     assert [say(39, 9, 0, 0), say(99, 9, 0, 0), say(99, 1, 0, 1), say(99, 0, 1, 4), say(99, 4, 4, 0), say(99, 2, 3, 0), say(99, 4, 1, 9)] == [None, "en", None, "fr", "bilingual", None, "bilingual"]
 
 
+def test_language_shares_are_exact(spark):
+    """A share that is just met counts: 7 of 25 and 14 of 50 are 0.28."""
+    df = spark.createDataFrame([(99, 18, 7, 0), (99, 36, 13, 2), (99, 36, 13, 1), (99, 2, 31, 0)], "n long, en long, fr long, a long")
+    said = [r[0] for r in df.select(T.language_of(*map(F.col, df.columns))).collect()]
+    assert said == ["bilingual", "bilingual", "en", "fr"]
+
+
 def test_texts(spark):
     assert one(spark, places.unglued(lit("EloraEloraElora, ON"))) == "Elora, ON"
     assert one(spark, places.unglued(lit("Elora Elora"))) == "Elora Elora"
