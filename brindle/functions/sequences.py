@@ -103,11 +103,11 @@ def ratio(a: str, b: str, need: float = 0.0, at: dict[str, list[int]] | None = N
 class Block:
     """Texts with what bounds their ratios; characters are counted by the last byte of their codes, which can only raise a bound."""
 
-    def __init__(self, texts: Sequence[str]):
+    def __init__(self, texts: Sequence[str], counted: bool = True):
         self.texts, self.size = list(texts), np.array([len(t) for t in texts], dtype=np.int64)
         self.letters, self.rare = (np.zeros((len(self.texts), 256), dtype=np.int32) for _ in range(2))
         self._at, self._features = {}, None
-        for n, text in enumerate(self.texts):
+        for n, text in enumerate(self.texts if counted else ()):
             codes, counts = np.unique(_codes(text), return_counts=True)
             few = counts <= (len(text) // 100 + 1 if len(text) >= 200 else len(text))
             self.letters[n] = np.bincount(codes & 255, counts, 256)
@@ -118,6 +118,10 @@ class Block:
             self._at[n] = _rare(self.texts[n])
         return self._at[n]
 
+    def some(self, rows: np.ndarray) -> Block:
+        """These texts only, for features()."""
+        return self if len(rows) == len(self.texts) else Block([self.texts[n] for n in rows], False)
+
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, texts): each text's runs of RUN characters, the first, second and further ones of a kind apart, by hash."""
         if self._features is None:
@@ -202,5 +206,7 @@ def possible(a: Block, b: Block, need: np.ndarray, both: bool = False) -> list[n
         open_ = [((letters if x is a else letters.T) >= m) for m, (x, _) in zip(least, sides)]
         if not any(o.any() for o in open_):
             return open_
-        shared = _shared(a, b)
+        rows, columns = (np.flatnonzero(sum((o if x is a else o.T).any(axis) for o, (x, _) in zip(open_, sides))) for axis in (1, 0))
+        shared = np.zeros(letters.shape, dtype=np.int64)
+        shared[np.ix_(rows, columns)] = _shared(a.some(rows), a.some(columns) if b is a else b.some(columns))
         return [o & ((_common(x.letters, y.rare) + 1) * (RUN - 1) + (shared if x is a else shared.T) >= m) for o, m, (x, y) in zip(open_, least, sides)]

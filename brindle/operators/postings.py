@@ -33,8 +33,8 @@ DAYS = 21
 THIN = 80
 #: How alike bodies of a sure posting are: in the same city on another board, and elsewhere.
 ACROSS, ALIKE = 0.7, 0.9
-#: Texts of one role are compared by blocks of so many rows and characters.
-ROWS, CHARS = 512, 1_000_000
+#: Texts of one role are compared by blocks of so many rows and characters; roles of up to POOL texts share blocks.
+ROWS, CHARS, POOL = 512, 1_000_000, 64
 
 
 @F.pandas_udf(DoubleType())
@@ -249,25 +249,27 @@ def _alike_texts(rows: DataFrame, texts: DataFrame, left: Column, right: Column,
     sizes = classes.groupBy("org", "core").agg(F.count(F.lit(1)).alias("_n"), F.sum("long").alias("_long"), F.max((F.col("n") > 1) & F.col("clone").isNull()).alias("_self"))
     # large roles are dealt out by the lengths of their texts, as texts of very unlike lengths aren't alike
     band = F.when((F.col("_n") > ROWS) | (F.col("_long") > CHARS), F.floor(F.log("long") / F.log(F.lit(1.25)))).otherwise(0)
-    classes = classes.join(sizes.where("_n > 1 or _self"), ["org", "core"]).withColumn("band", band).drop("_n", "_long", "_self")
-    bands = classes.groupBy("org", "core", "band").agg(F.greatest(F.ceil(F.sum("long") / CHARS), F.ceil(F.count(F.lit(1)) / ROWS)).alias("_parts"))
-    classes = classes.join(bands, ["org", "core", "band"]).withColumn("block", F.struct("band", F.pmod(F.xxhash64("cls"), F.col("_parts")).alias("part"))).drop("band", "_parts")
+    pool = F.when((F.col("_n") <= POOL) & (F.col("_long") <= CHARS // 8), F.pmod(F.xxhash64("org", "core"), F.lit(-(-2 * classes.count() // ROWS) + 1)).cast("string"))
+    crowd = F.coalesce(pool, F.to_json(F.struct("org", "core")))
+    classes = classes.join(sizes.where("_n > 1 or _self"), ["org", "core"]).withColumns({"band": F.when(pool.isNull(), band).otherwise(0), "crowd": crowd}).drop("_n", "_long", "_self")
+    bands = classes.groupBy("crowd", "band").agg(F.greatest(F.ceil(F.sum("long") / CHARS), F.ceil(F.count(F.lit(1)) / ROWS)).alias("_parts"))
+    classes = classes.join(bands, ["crowd", "band"]).withColumn("block", F.struct("band", F.when(F.col("crowd").startswith("{"), F.pmod(F.xxhash64("cls"), F.col("_parts"))).otherwise(0).alias("part"))).drop("band", "_parts")
     classes = materialize(classes, "posting-blocks")
-    blocks = classes.groupBy("org", "core", "block").agg(F.min("long").alias("least"), F.max("long").alias("most"), F.max(F.col("asks") > 0).alias("asks"), F.max(F.col("answer").isNotNull()).alias("answers"))
+    blocks = classes.groupBy("crowd", "block").agg(F.min("long").alias("least"), F.max("long").alias("most"), F.max(F.col("asks") > 0).alias("asks"), F.max(F.col("answer").isNotNull()).alias("answers"))
     reach = lambda x, y: F.col(f"{x}_most") * (2 - ACROSS) >= F.col(f"{y}_least") * ACROSS
     useful = (F.col("a_asks") & F.col("b_answers")) | (F.col("b_asks") & F.col("a_answers"))
     a, b = _sides(blocks)
-    met = a.join(b, [*_role(), F.col("a_block") <= F.col("b_block"), reach("a", "b"), reach("b", "a"), useful])
+    met = a.join(b, [F.col("a_crowd") == F.col("b_crowd"), F.col("a_block") <= F.col("b_block"), reach("a", "b"), reach("b", "a"), useful])
     ends = F.array_distinct(F.array("a_block", "b_block"))
-    met = met.select(F.col("a_org").alias("org"), F.col("a_core").alias("core"), F.struct("a_block", "b_block").alias("pair"), F.explode(ends).alias("block"))
-    dealt = classes.join(met, ["org", "core", "block"]).join(texts, "row").withColumn("second", F.col("block") == F.col("pair.b_block")).withColumn("alone", F.col("pair.a_block") == F.col("pair.b_block"))
+    met = met.select(F.col("a_crowd").alias("crowd"), F.struct("a_block", "b_block").alias("pair"), F.explode(ends).alias("block"))
+    dealt = classes.join(met, ["crowd", "block"]).join(texts, "row").withColumn("second", F.col("block") == F.col("pair.b_block")).withColumn("alone", F.col("pair.a_block") == F.col("pair.b_block"))
     # as many parts as named: ratios cost far more than their bytes tell, so small parts must not be merged
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    return dealt.drop("block", "row").repartition(parts, "org", "core", "pair").groupBy("org", "core", "pair").applyInPandas(_block_hits, "of string, cls string")
+    return dealt.drop("block", "row").repartition(parts, "crowd", "pair").groupBy("crowd", "pair").applyInPandas(_block_hits, "of string, cls string")
 
 
 def _block_hits(rows: pd.DataFrame) -> pd.DataFrame:
-    """(of, cls) of the classes of two blocks of one role, or of one block with itself (alone), by the rules of _sure_pairs.
+    """(of, cls) of the classes of two blocks, or of one block with itself (alone), by the rules of _sure_pairs.
 
     A row's partners are gone through from the smallest id on, up to one that no other can go before.
     """
@@ -325,19 +327,23 @@ def _needs(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     rank = {x: n for n, x in enumerate(sorted({*last, *first} - {None}))}
     smaller = np.array([rank.get(x, -1) for x in first])[None] < np.array([rank.get(x, -1) for x in last])[:, None]
     useful = (a["asks"].to_numpy() > 0)[:, None] & np.array([x is not None for x in first])[None] & (smaller | np.array([w is True for w in b["whole"]])[None])
-    open_ = useful & near & ~numbers & ~clones & ~((cities & ~same) | hours | kinds) & _same_titles(a["words"], b["words"])
+    open_ = both("org")[0] & both("core")[0] & useful & near & ~numbers & ~clones & ~((cities & ~same) | hours | kinds)
+    open_ &= _same_titles(a["words"], b["words"], open_)
     return np.where(open_, np.where(same & cross, ACROSS, ALIKE), np.nan)
 
 
-def _same_titles(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Where two lists of words are the title of one role; each two distinct ones are compared once."""
+def _same_titles(a: pd.Series, b: pd.Series, open_: np.ndarray) -> np.ndarray:
+    """Where two lists of words are the title of one role, of the pairs that are open; each two distinct ones are compared once."""
 
     def same(x: str, y: str) -> bool:
         one, other = {*x.split()}, {*y.split()}
         return len(one & other) / len(one | other) >= 0.7 or SequenceMatcher(None, x, y).ratio() >= 0.85
 
     (p, left), (q, right) = (pd.factorize(np.array([" ".join(w) for w in side], dtype=object)) for side in (a, b))
-    table = np.array([[same(x, y) for y in right] for x in left])
+    table = np.zeros((len(left), len(right)), dtype=bool)
+    for n in np.unique((p[:, None] * len(right) + q[None])[open_]):
+        x, y = divmod(int(n), len(right))
+        table[x, y] = same(left[x], right[y])
     return table[p[:, None], q[None]]
 
 
